@@ -94,7 +94,7 @@ def rewrite(text: Column, selected: Column) -> Column:
                 r["token"],
             ),
         )
-        tail_from = F.coalesce(F.element_at(reps, -1)["original_end"], F.lit(0))
+        tail_from = F.coalesce(F.try_element_at(reps, F.lit(-1))["original_end"], F.lit(0))
         redacted = F.concat(F.array_join(pieces, ""), F.substring(text, tail_from + 1, 2147483647))
         public = F.transform(
             reps,
