@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from shroud.config import RedactionConfig
 from shroud.functions.normalize import normalize_column
-from shroud.operators.detect import as_matches, dedupe_candidates, with_candidates
-from shroud.operators.redact import REPLACEMENT_TYPE, restore_column, rewrite
-from shroud.operators.resolve import resolve
+from shroud.functions.spans import ident
+from shroud.operators.detect import as_matches_sql, dedupe_candidates_sql, with_candidates
+from shroud.operators.redact import REPLACEMENT_TYPE, restore_sql, rewrite_sql
+from shroud.operators.resolve import resolve_sql
 
 NORM = "__shroud_text"
 CANDS = "__shroud_cands"
@@ -33,6 +34,23 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def spread(df: DataFrame, factor: int = 3) -> DataFrame:
+    """Give a CPU-heavy text projection enough tasks.
+
+    Detection costs far more per byte than reading, so an input with fewer
+    partitions than twice the cluster's cores (e.g. one large parquet row
+    group) is round-robin repartitioned to ``factor`` tasks per core.  A large
+    input already has many more splits than cores and is left as is (no
+    shuffle); streaming inputs are never touched.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(factor * cores)
+
+
 def prepared(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -48,7 +66,7 @@ def prepared(
     """
     config = config or RedactionConfig()
     ks = _keys(keys)
-    base = df.select(*[F.col(k) for k in ks], F.col(text).alias(NORM + "_raw"))
+    base = spread(df.select(*[F.col(k) for k in ks], F.col(text).alias(NORM + "_raw")))
     base = normalize_column(base, NORM + "_raw", NORM, normalize)
     base = base.drop(NORM + "_raw")
     ner_col = None
@@ -67,7 +85,7 @@ def candidates(df, keys, text, config=None, normalize="nfkc", ner=None) -> DataF
     """One row per detector hit before resolution (after D17/D18 de-duplication)."""
     ks = _keys(keys)
     p = prepared(df, ks, text, config, normalize, ner)
-    p = p.select(*ks, F.explode_outer(as_matches(dedupe_candidates(F.col(CANDS)))).alias("m"))
+    p = p.select(*ks, F.explode_outer(F.expr(as_matches_sql(dedupe_candidates_sql(ident(CANDS))))).alias("m"))
     return p.where(F.col("m").isNotNull()).select(*ks, "m.*")
 
 
@@ -75,14 +93,14 @@ def with_selection(df, keys, text, config=None, normalize="nfkc", ner=None) -> D
     """keys, normalised text, selected matches (internal)."""
     ks = _keys(keys)
     p = prepared(df, ks, text, config, normalize, ner)
-    return p.select(*ks, NORM, resolve(F.col(CANDS)).alias(SEL))
+    return p.select(*ks, NORM, F.expr(resolve_sql(ident(CANDS))).alias(SEL))
 
 
 def scan(df, keys, text, config=None, normalize="nfkc", ner=None) -> DataFrame:
     """One row per selected match: keys, start, end, entity_type, value, category, source."""
     ks = _keys(keys)
     s = with_selection(df, ks, text, config, normalize, ner)
-    s = s.select(*ks, F.explode_outer(as_matches(F.col(SEL))).alias("m"))
+    s = s.select(*ks, F.explode_outer(F.expr(as_matches_sql(ident(SEL)))).alias("m"))
     return s.where(F.col("m").isNotNull()).select(*ks, "m.*")
 
 
@@ -104,19 +122,13 @@ def redact(
     """
     ks = _keys(keys)
     s = with_selection(df, ks, text, config, normalize, ner)
-    s = s.select(*ks, F.col(NORM), rewrite(F.col(NORM), F.col(SEL)).alias("r"))
+    s = s.select(*ks, F.col(NORM), F.expr(rewrite_sql(ident(NORM), ident(SEL))).alias("r"))
     cols = [
         *ks,
         F.col("r.redacted_text").alias("redacted_text"),
-        F.transform(
-            F.col("r.replacements"),
-            lambda r: F.struct(
-                r["output_start"].alias("output_start"),
-                r["output_end"].alias("output_end"),
-                r["token"].alias("token"),
-                r["entity_type"].alias("entity_type"),
-                r["category"].alias("category"),
-            ),
+        F.expr(
+            "transform(r.replacements, h_ -> named_struct('output_start', h_.output_start, "
+            "'output_end', h_.output_end, 'token', h_.token, 'entity_type', h_.entity_type, 'category', h_.category))"
         ).alias("highlights"),
         F.col("r.counts_by_type").alias("counts_by_type"),
         F.col("r.counts_by_category").alias("counts_by_category"),
@@ -154,7 +166,7 @@ def vault(redacted: DataFrame, keys) -> DataFrame:
 def restore_own(redacted: DataFrame, keys, text: str = "redacted_text") -> DataFrame:
     """Restore each row from its own replacements (J1): keys, restored_text."""
     ks = _keys(keys)
-    return redacted.select(*ks, restore_column(F.col(text), F.col("replacements")).alias("restored_text"))
+    return redacted.select(*ks, F.expr(restore_sql(ident(text), "replacements")).alias("restored_text"))
 
 
 def restore(edited: DataFrame, vault_df: DataFrame, keys, text: str = "redacted_text") -> DataFrame:
@@ -188,6 +200,6 @@ def restore(edited: DataFrame, vault_df: DataFrame, keys, text: str = "redacted_
     j = edited.join(per_key, on=ks, how="left")
     return j.select(
         *ks,
-        restore_column(F.col(text), F.col("__reps")).alias("restored_text"),
+        F.expr(restore_sql(ident(text), "__reps")).alias("restored_text"),
         F.when(F.col("__reps").isNull(), F.lit("nothing_to_restore")).otherwise(F.lit("restored")).alias("status"),
     )

@@ -16,8 +16,9 @@ Two guards keep this exact and cheap:
   values); both use the same left-to-right ``Matcher.find`` loop, so they
   align for every pattern that cannot match the empty string.
 
-Everything is JVM-side (no Python worker).  The result type is
-``array<struct<start:int,end:int,value:string>>``.
+Expressions are generated as SQL text and parsed once by Spark (building
+them through the Python Column API costs one JVM round trip per node).
+Everything runs in the JVM.  Result type: ``SPAN_TYPE``.
 """
 
 from __future__ import annotations
@@ -25,81 +26,74 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = "\ue000"  # private-use code point: never produced by NFKC of normal text
-SPAN_TYPE = "array<struct<start:int,end:int,value:string>>"
+MARK = "\ue000"  # private-use code point; texts containing it take the two-pass path
+SPAN_TYPE = "ARRAY<STRUCT<`start`: INT, `end`: INT, `value`: STRING>>"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and pass it to ``body`` (a lambda variable).
+def lit(s: str) -> str:
+    """Spark SQL string literal (backslashes and quotes escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def let(value: str, var: str, body: str) -> str:
+    """Evaluate ``value`` once, bind it to lambda variable ``var`` in ``body``.
 
     Higher-order functions are interpreted and get no common-subexpression
-    elimination, so an expression referenced twice inside one lambda tree is
-    evaluated twice.  Binding it through a one-element ``transform`` pins it.
+    elimination; binding through a one-element ``transform`` pins the value.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return f"transform(array({value}), {var} -> {body})[0]"
+
+
+def empty(type_sql: str) -> str:
+    return f"CAST(array() AS {type_sql})"
 
 
-def empty_spans() -> Column:
-    return F.array().cast(SPAN_TYPE)
+def _from_pieces(pieces: str) -> str:
+    hit = "named_struct('start', a_.pos, 'end', a_.pos + length(p_), 'value', p_)"
+    return (
+        f"aggregate({pieces}, named_struct('pos', 0, 'i', 0, 'out', {empty(SPAN_TYPE)}), "
+        f"(a_, p_) -> named_struct('pos', a_.pos + length(p_), 'i', a_.i + 1, "
+        f"'out', IF(a_.i % 2 = 1, concat(a_.out, array({hit})), a_.out)), a_ -> a_.out)"
+    )
 
 
-def _spans_from_pieces(pieces: Column) -> Column:
-    """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces."""
-    init = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("i"),
-        empty_spans().alias("out"),
+def _two_pass(text: str, p: str) -> str:
+    zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
+    step = (
+        "(b_, z_) -> named_struct("
+        "'pos', b_.pos + length(z_['0']) + coalesce(length(z_['1']), 0), "
+        "'out', IF(z_['1'] IS NULL, b_.out, concat(b_.out, array(named_struct("
+        "'start', b_.pos + length(z_['0']), 'end', b_.pos + length(z_['0']) + length(z_['1']), 'value', z_['1'])))))"
     )
+    return f"aggregate({zipped}, named_struct('pos', 0, 'out', {empty(SPAN_TYPE)}), {step}, b_ -> b_.out)"
+
 
-    def step(acc, piece):
-        n = F.length(piece)
-        hit = F.struct(
-            acc["pos"].alias("start"),
-            (acc["pos"] + n).alias("end"),
-            piece.alias("value"),
-        )
-        return F.struct(
-            (acc["pos"] + n).alias("pos"),
-            (acc["i"] + 1).alias("i"),
-            F.when(acc["i"] % 2 == 1, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(pieces, init, step, lambda acc: acc["out"])
-
-
-def _spans_two_pass(text: Column, pattern: str) -> Column:
-    """Fallback for texts that contain the mark character."""
-    gaps = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), 0)
-    zipped = F.arrays_zip(gaps.alias("g"), values.alias("v"))
-    init = F.struct(F.lit(0).alias("pos"), empty_spans().alias("out"))
-
-    def step(acc, z):
-        start = acc["pos"] + F.length(z["g"])
-        hit = F.struct(start.alias("start"), (start + F.length(z["v"])).alias("end"), z["v"].alias("value"))
-        return F.struct(
-            (start + F.coalesce(F.length(z["v"]), F.lit(0))).alias("pos"),
-            F.when(z["v"].isNotNull(), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(zipped, init, step, lambda acc: acc["out"])
-
-
-def find_all(text: Column, pattern: str) -> Column:
-    """All non-overlapping matches of a Java ``pattern``, left to right.
-
-    ``pattern`` must not be able to match the empty string (true for every
-    built-in rule and every quoted keyword).  Null text -> null.
+def find_all_sql(text: str, pattern: str) -> str:
+    """SQL: all non-overlapping matches of Java ``pattern`` in ``text``, left to right.
+
+    ``text`` is a SQL expression (usually a quoted column).  ``pattern`` must
+    not match the empty string (true for every built-in rule and keyword).
+    Null text -> null.
     """
-    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK + "$0" + MARK)), MARK, -1)
+    p = lit(pattern)
+    marked = f"split(regexp_replace({text}, {p}, {lit(MARK + '$0' + MARK)}), {lit(MARK)}, -1)"
     return (
-        F.when(text.isNull(), F.lit(None).cast(SPAN_TYPE))
-        .when(~text.rlike(pattern), empty_spans())
-        .when(F.instr(text, MARK) == 0, _spans_from_pieces(marked))
-        .otherwise(_spans_two_pass(text, pattern))
+        f"CASE WHEN {text} IS NULL THEN NULL "
+        f"WHEN NOT ({text} RLIKE {p}) THEN {empty(SPAN_TYPE)} "
+        f"WHEN instr({text}, {lit(MARK)}) = 0 THEN {_from_pieces(marked)} "
+        f"ELSE {_two_pass(text, p)} END"
     )
 
 
+def find_all(text_col: str, pattern: str) -> Column:
+    """Column form of ``find_all_sql`` over a named column."""
+    return F.expr(find_all_sql(ident(text_col), pattern))
+
+
 def java_quote(literal: str) -> str:
     """Java regex that matches ``literal`` verbatim (``\\Q...\\E`` safe for ``\\E``)."""
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"

@@ -5,6 +5,9 @@ hit still consumed its text, so the filter runs after the scan).  Candidates
 of all detectors are concatenated in emission order into one
 ``array<candidate>`` column.  No shuffle, no Python worker (except the
 optional custom-regex UDF), so the same projection serves batch and streams.
+
+Expressions are SQL text (see ``functions.spans``); each detector becomes one
+column of one projection, so every regex runs once per text.
 """
 
 from __future__ import annotations
@@ -15,68 +18,65 @@ from pyspark.sql import functions as F
 from shroud.config import RedactionConfig, valid_python_regexes
 from shroud.functions import rules as R
 from shroud.functions.custom_regex import custom_regex_spans
-from shroud.functions.spans import SPAN_TYPE, find_all, java_quote, let
-
-CAND_FIELDS = "start:int,end:int,entity_type:string,value:string,category:string,source:string,priority:int,emission:int"
-CAND_TYPE = f"array<struct<{CAND_FIELDS}>>"
-MATCH_TYPE = "array<struct<start:int,end:int,entity_type:string,value:string,category:string,source:string>>"
+from shroud.functions.spans import SPAN_TYPE, empty, find_all_sql, ident, java_quote, let, lit
+
+CAND_STRUCT = (
+    "STRUCT<`start`: INT, `end`: INT, `entity_type`: STRING, `value`: STRING, `category`: STRING, "
+    "`source`: STRING, `priority`: INT, `emission`: INT>"
+)
+CAND_TYPE = f"ARRAY<{CAND_STRUCT}>"
+MATCH_TYPE = (
+    "ARRAY<STRUCT<`start`: INT, `end`: INT, `entity_type`: STRING, `value`: STRING, `category`: STRING, `source`: STRING>>"
+)
+NER_TYPE = "ARRAY<STRUCT<`start`: INT, `end`: INT, `label`: STRING>>"
 
 _ND_FROM, _ND_TO = R.unicode_decimal_digits()
 
 
-def ascii_digits(value: Column) -> Column:
+def ascii_digits_sql(value: str) -> str:
     """Map every Unicode decimal digit to its ASCII digit (Python's ``int`` does the same)."""
-    return F.translate(value, _ND_FROM, _ND_TO)
-
-
-def _digits_only(value: Column) -> Column:
-    return F.regexp_replace(ascii_digits(value), "[^0-9]", "")
+    return f"translate({value}, {lit(_ND_FROM)}, {lit(_ND_TO)})"
 
 
-def _phone_ok(value: Column) -> Column:
+def _phone_ok(v: str) -> str:
     """Not an SSN as a whole, and 7-15 digits."""
-    n = F.length(F.regexp_replace(value, "\\P{Nd}", ""))
-    ssn_whole = value.rlike("^" + R.java_pattern(R.SSN_RE) + "\\z")
-    return (~ssn_whole) & n.between(R.PHONE_MIN_DIGITS, R.PHONE_MAX_DIGITS)
+    ssn_whole = lit("^" + R.java_pattern(R.SSN_RE) + "\\z")
+    n = f"length(regexp_replace({v}, {lit(chr(92) + 'P{Nd}')}, ''))"
+    return f"(NOT ({v} RLIKE {ssn_whole}) AND {n} BETWEEN {R.PHONE_MIN_DIGITS} AND {R.PHONE_MAX_DIGITS})"
 
 
-def _card_ok(value: Column) -> Column:
+def _card_ok(v: str) -> str:
     """13-19 digits and a valid Luhn checksum."""
-    return let(
-        _digits_only(value),
-        lambda d: F.length(d).between(R.CARD_MIN_DIGITS, R.CARD_MAX_DIGITS) & F.call_function("luhn_check", d),
-    )
+    digits = f"regexp_replace({ascii_digits_sql(v)}, '[^0-9]', '')"
+    return let(digits, "d_", f"(length(d_) BETWEEN {R.CARD_MIN_DIGITS} AND {R.CARD_MAX_DIGITS} AND luhn_check(d_))")
 
 
-def _ipv4_ok(value: Column) -> Column:
+def _ipv4_ok(v: str) -> str:
     """Every dotted part is 0-255."""
-    parts = F.split(ascii_digits(value), "\\.", -1)
-    return F.forall(parts, lambda x: x.try_cast("int") <= R.IPV4_MAX_OCTET)
+    return f"forall(split({ascii_digits_sql(v)}, '[.]', -1), o_ -> try_cast(o_ AS INT) <= {R.IPV4_MAX_OCTET})"
 
 
 POST_FILTERS = {"phone": _phone_ok, "card": _card_ok, "ipv4": _ipv4_ok}
 
 
-def rule_spans(text: Column, rule: R.Rule) -> Column:
-    """``array<struct<start,end,value>>`` of one built-in rule, post-filtered."""
-    spans = find_all(text, rule.java)
+def rule_spans_sql(text: str, rule: R.Rule) -> str:
+    """SQL ``SPAN_TYPE`` of one built-in rule, post-filtered (and narrowed to group 1)."""
+    spans = find_all_sql(text, rule.java)
     if rule.check:
-        check = POST_FILTERS[rule.check]
-        spans = F.filter(spans, lambda s: check(s["value"]))
+        spans = f"filter({spans}, s_ -> {POST_FILTERS[rule.check]('s_.value')})"
     if rule.group == 1:
         # The capture group ends the pattern, so it ends where the match ends.
-        java = rule.java
+        narrowed = let(
+            f"regexp_extract(s_.value, {lit(rule.java)}, 1)",
+            "g_",
+            "named_struct('start', s_.`end` - length(g_), 'end', s_.`end`, 'value', g_)",
+        )
+        spans = f"filter(transform({spans}, s_ -> {narrowed}), s_ -> s_.start < s_.`end`)"
+    return spans
 
-        def narrow(s):
-            return let(
-                F.regexp_extract(s["value"], java, 1),
-                lambda g: F.struct(
-                    (s["end"] - F.length(g)).alias("start"), s["end"].alias("end"), g.alias("value")
-                ),
-            )
 
-        spans = F.filter(F.transform(spans, narrow), lambda s: s["start"] < s["end"])
-    return spans
+def rule_spans(text_col: str, rule: R.Rule) -> Column:
+    return F.expr(rule_spans_sql(ident(text_col), rule))
 
 
 def keyword_pattern(keyword: str) -> str:
@@ -84,27 +84,17 @@ def keyword_pattern(keyword: str) -> str:
     return "(?iU)\\b" + java_quote(keyword) + "\\b"
 
 
-def _tag(spans: Column, entity_type, category: str, source: str, emission) -> Column:
+def _tag(spans: str, entity_type: str, category: str, emission: int | str, source: str | None = None) -> str:
     priority = R.CATEGORY_PRIORITY.get(category, R.UNKNOWN_PRIORITY)
-    et = entity_type if isinstance(entity_type, Column) else F.lit(entity_type)
-    em = emission if isinstance(emission, Column) else F.lit(emission)
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            et.alias("entity_type"),
-            s["value"].alias("value"),
-            F.lit(category).alias("category"),
-            F.lit(source).alias("source"),
-            F.lit(priority).alias("priority"),
-            em.alias("emission"),
-        ),
+    src = lit(source or category)
+    return (
+        f"transform({spans}, t_ -> named_struct('start', t_.start, 'end', t_.`end`, 'entity_type', {lit(entity_type)}, "
+        f"'value', t_.value, 'category', {lit(category)}, 'source', {src}, 'priority', {priority}, 'emission', {emission}))"
     )
 
 
-def _ner_candidates(text: Column, ner: Column, config: RedactionConfig) -> list[Column]:
-    """External NER spans ``array<struct<start,end,label>>`` -> PERSON / LOCATION candidates."""
+def _ner_candidates(text: str, ner: str, config: RedactionConfig) -> list[str]:
+    """External NER spans ``NER_TYPE`` -> PERSON / LOCATION candidates."""
     out = []
     groups = []
     if config.enabled("names"):
@@ -112,128 +102,102 @@ def _ner_candidates(text: Column, ner: Column, config: RedactionConfig) -> list[
     if config.enabled("addresses"):
         groups.append((R.NER_LOCATION_LABELS, "LOCATION", "location", R.NER_LOCATION_EMISSION))
     for labels, etype, cat, emission in groups:
-        picked = F.filter(
-            F.coalesce(ner, F.array().cast("array<struct<start:int,end:int,label:string>>")),
-            lambda s: F.upper(s["label"]).isin(*labels) & (s["start"] < s["end"]) & (s["start"] >= 0),
+        label_list = ", ".join(lit(x) for x in labels)
+        picked = (
+            f"filter(coalesce({ner}, {empty(NER_TYPE)}), n_ -> upper(n_.label) IN ({label_list}) "
+            f"AND n_.start >= 0 AND n_.start < n_.`end`)"
         )
-        spans = F.transform(
-            picked,
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
-            ),
+        spans = (
+            f"transform({picked}, n_ -> named_struct('start', n_.start, 'end', n_.`end`, "
+            f"'value', substring({text}, n_.start + 1, n_.`end` - n_.start)))"
         )
-        out.append(_tag(spans, etype, cat, cat, emission))
+        out.append(_tag(spans, etype, cat, emission))
     return out
 
 
-def detector_columns(
-    text: Column, config: RedactionConfig, ner: Column | None = None
-) -> list[tuple[str, Column]]:
-    """(name, tagged candidate array) per active detector, in emission order.
+def detector_sql(text: str, config: RedactionConfig, ner: str | None = None) -> list[tuple[str, str]]:
+    """(name, SQL of the tagged candidate array) per active native detector, emission order.
 
     Detectors whose category switch is off are pruned from the plan (the
     reference filters their matches before resolution; same result, less work).
+    Custom regexes (a Python UDF) are added separately by ``with_candidates``.
     """
-    cols: list[tuple[str, Column]] = []
+    cols: list[tuple[str, str]] = []
     for rule in R.BUILTIN_RULES:
         if rule.entity_type == "PERSON" and ner is not None:
             continue  # an NER span table replaces the name pattern
         if not config.enabled(*rule.toggles):
             continue
-        cols.append((rule.entity_type, _tag(rule_spans(text, rule), rule.entity_type, rule.category, rule.category, rule.emission)))
+        cols.append((rule.entity_type, _tag(rule_spans_sql(text, rule), rule.entity_type, rule.category, rule.emission)))
     if ner is not None:
         for i, c in enumerate(_ner_candidates(text, ner, config)):
             cols.append((f"NER{i}", c))
     if config.custom_active:
-        regexes = valid_python_regexes(config.custom_regex)
-        if regexes:
-            spans = custom_regex_spans(text, regexes)
-            tagged = F.transform(
-                spans,
-                lambda s: F.struct(
-                    s["start"].alias("start"),
-                    s["end"].alias("end"),
-                    F.lit("CUSTOM").alias("entity_type"),
-                    s["value"].alias("value"),
-                    F.lit("custom").alias("category"),
-                    F.lit("custom").alias("source"),
-                    F.lit(R.CATEGORY_PRIORITY["custom"]).alias("priority"),
-                    (F.lit(R.CUSTOM_EMISSION_BASE) + s["rule"]).alias("emission"),
-                ),
-            )
-            cols.append(("CUSTOM_RX", tagged))
-        base = R.CUSTOM_EMISSION_BASE + len(regexes)
+        base = R.CUSTOM_EMISSION_BASE + len(valid_python_regexes(config.custom_regex))
         for j, kw in enumerate(k for k in config.custom_keywords if k):
-            spans = find_all(text, keyword_pattern(kw))
-            cols.append((f"CUSTOM_KW{j}", _tag(spans, "CUSTOM", "custom", "custom", base + j)))
+            cols.append((f"KW{j}", _tag(find_all_sql(text, keyword_pattern(kw)), "CUSTOM", "custom", base + j)))
     return cols
 
 
+def _custom_regex_tagged(spans_col: str) -> str:
+    return (
+        f"transform({spans_col}, c_ -> named_struct('start', c_.start, 'end', c_.`end`, 'entity_type', 'CUSTOM', "
+        f"'value', c_.value, 'category', 'custom', 'source', 'custom', 'priority', {R.CATEGORY_PRIORITY['custom']}, "
+        f"'emission', {R.CUSTOM_EMISSION_BASE} + c_.rule))"
+    )
+
+
 def with_candidates(
     df: DataFrame, text_col: str, config: RedactionConfig, ner_col: str | None = None, out_col: str = "cands"
 ) -> DataFrame:
-    """Add ``out_col``: all candidates of the active detectors (R1), emission order.
-
-    Each detector is computed in its own column of one projection, then the
-    arrays are concatenated; every regex runs exactly once per text.
-    """
-    text = F.col(text_col)
-    ner = F.col(ner_col) if ner_col else None
-    dets = detector_columns(text, config, ner)
-    tmp = [f"__det_{i}" for i in range(len(dets))]
+    """Add ``out_col``: all candidates of the active detectors (R1), emission order."""
+    text = ident(text_col)
+    ner = ident(ner_col) if ner_col else None
+    dets = detector_sql(text, config, ner)
     keep = [F.col(c) for c in df.columns]
-    df = df.select(*keep, *[c.alias(n) for n, (_, c) in zip(tmp, dets)])
-    if tmp:
-        cands = F.concat(*[F.coalesce(F.col(n), F.array().cast(CAND_TYPE)) for n in tmp])
-        cands = F.when(text.isNull(), F.lit(None).cast(CAND_TYPE)).otherwise(cands)
-    else:
-        cands = F.when(text.isNull(), F.lit(None).cast(CAND_TYPE)).otherwise(F.array().cast(CAND_TYPE))
-    return df.select(*keep, cands.cast(CAND_TYPE).alias(out_col))
-
-
-def dedupe_candidates(cands: Column) -> Column:
+    names = [f"__det_{i}" for i in range(len(dets))]
+    cols = [F.expr(sql).alias(n) for n, (_, sql) in zip(names, dets)]
+    regexes = valid_python_regexes(config.custom_regex) if config.custom_active else []
+    order = list(names)
+    if regexes:
+        # User regexes run in Python (Arrow batches); in emission order they
+        # come after the native rules and before the keywords.
+        cols.append(custom_regex_spans(F.col(text_col), regexes).alias("__det_rx"))
+        kw = [n for n, (name, _) in zip(names, dets) if name.startswith("KW")]
+        order = [n for n in names if n not in kw] + ["__det_rx"] + kw
+    df = df.select(*keep, *cols)
+    parts = []
+    for n in order:
+        col_sql = _custom_regex_tagged(ident(n)) if n == "__det_rx" else ident(n)
+        parts.append(f"coalesce({col_sql}, {empty(CAND_TYPE)})")
+    body = f"concat({', '.join(parts)})" if parts else empty(CAND_TYPE)
+    cands = F.expr(f"CASE WHEN {text} IS NULL THEN NULL ELSE CAST({body} AS {CAND_TYPE}) END")
+    return df.select(*keep, cands.alias(out_col))
+
+
+def dedupe_candidates_sql(cands: str) -> str:
     """Detector-level de-duplication (D17, D18) for the candidates view.
 
     Keeps the first candidate per (start, end, entity_type) within pii and
     within location, and per (start, end) within custom.  Resolution gives the
     same result with or without it; it only matters for the raw view.
     """
-    def same(a, b):
-        span = (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["category"] == b["category"])
-        return span & ((a["category"] == "custom") | (a["entity_type"] == b["entity_type"])) & a["category"].isin(
-            "pii", "location", "custom"
-        )
-
-    indexed = F.transform(cands, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    kept = F.filter(indexed, lambda x: ~F.exists(F.slice(cands, 1, x["i"]), lambda p: same(p, x["c"])))
-    return F.transform(kept, lambda x: x["c"])
-
-
-def as_matches(cands: Column) -> Column:
-    """Candidate structs -> public match structs (drop ranking fields)."""
-    return F.transform(
+    same = (
+        "(p_.start = x_.c.start AND p_.`end` = x_.c.`end` AND p_.category = x_.c.category "
+        "AND p_.category IN ('pii', 'location', 'custom') "
+        "AND (p_.category = 'custom' OR p_.entity_type = x_.c.entity_type))"
+    )
+    return let(
         cands,
-        lambda c: F.struct(
-            c["start"].alias("start"),
-            c["end"].alias("end"),
-            c["entity_type"].alias("entity_type"),
-            c["value"].alias("value"),
-            c["category"].alias("category"),
-            c["source"].alias("source"),
-        ),
+        "cs_",
+        f"transform(filter(transform(cs_, (c_, i_) -> named_struct('c', c_, 'i', i_)), "
+        f"x_ -> NOT exists(slice(cs_, 1, x_.i), p_ -> {same})), x_ -> x_.c)",
     )
 
 
-__all__ = [
-    "CAND_TYPE",
-    "MATCH_TYPE",
-    "SPAN_TYPE",
-    "as_matches",
-    "dedupe_candidates",
-    "detector_columns",
-    "keyword_pattern",
-    "rule_spans",
-    "with_candidates",
-]
+def as_matches_sql(cands: str) -> str:
+    """Candidate structs -> public match structs (drop ranking fields)."""
+    return (
+        f"transform({cands}, m_ -> named_struct('start', m_.start, 'end', m_.`end`, 'entity_type', m_.entity_type, "
+        f"'value', m_.value, 'category', m_.category, 'source', m_.source))"
+    )

@@ -8,122 +8,70 @@ One ``aggregate`` walks the matches once and builds the replacement records
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from shroud.functions import rules as R
-from shroud.functions.spans import let
+from shroud.functions.spans import empty, let, lit
 
-REPLACEMENT_FIELDS = (
-    "original_start:int,original_end:int,output_start:int,output_end:int,"
-    "token:string,original_value:string,entity_type:string,category:string"
+REPLACEMENT_NAMES = (
+    "original_start", "original_end", "output_start", "output_end",
+    "token", "original_value", "entity_type", "category",
+)
+REPLACEMENT_STRUCT = (
+    "STRUCT<`original_start`: INT, `original_end`: INT, `output_start`: INT, `output_end`: INT, "
+    "`token`: STRING, `original_value`: STRING, `entity_type`: STRING, `category`: STRING>"
 )
-REPLACEMENT_TYPE = f"array<struct<{REPLACEMENT_FIELDS}>>"
-_WORK_TYPE = f"array<struct<{REPLACEMENT_FIELDS},prefix:string>>"
+REPLACEMENT_TYPE = f"ARRAY<{REPLACEMENT_STRUCT}>"
+_WORK_TYPE = f"ARRAY<{REPLACEMENT_STRUCT[:-1]}, `prefix`: STRING>>"
 
 
-def token_prefix(entity_type: Column) -> Column:
+def token_prefix_sql(entity_type: str) -> str:
     """Upper case, runs outside ``A-Z0-9`` -> ``_``, strip ``_``; empty -> REDACTED."""
-    raw = F.regexp_replace(F.upper(entity_type), "[^A-Z0-9]+", "_")
-    stripped = F.regexp_replace(raw, "^_+|_+$", "")
-    return F.coalesce(F.nullif(stripped, F.lit("")), F.lit(R.FALLBACK_PREFIX))
+    raw = f"regexp_replace(upper({entity_type}), '[^A-Z0-9]+', '_')"
+    return f"coalesce(nullif(regexp_replace({raw}, '^_+|_+$', ''), ''), {lit(R.FALLBACK_PREFIX)})"
 
 
-def _work(selected: Column) -> Column:
+def _work(selected: str) -> str:
     """Replacement records (+ prefix) for matches sorted by start."""
-    init = F.struct(F.lit(0).alias("delta"), F.array().cast(_WORK_TYPE).alias("reps"))
-
-    def step(acc, m):
-        return let(
-            token_prefix(m["entity_type"]),
-            lambda p: let(
-                F.concat(
-                    F.lit("["),
-                    p,
-                    F.lit("_"),
-                    (F.size(F.filter(acc["reps"], lambda r: r["prefix"] == p)) + 1).cast("string"),
-                    F.lit("]"),
-                ),
-                lambda tok: F.struct(
-                    (acc["delta"] + F.length(tok) - (m["end"] - m["start"])).alias("delta"),
-                    F.concat(
-                        acc["reps"],
-                        F.array(
-                            F.struct(
-                                m["start"].alias("original_start"),
-                                m["end"].alias("original_end"),
-                                (m["start"] + acc["delta"]).alias("output_start"),
-                                (m["start"] + acc["delta"] + F.length(tok)).alias("output_end"),
-                                tok.alias("token"),
-                                m["value"].alias("original_value"),
-                                m["entity_type"].alias("entity_type"),
-                                m["category"].alias("category"),
-                                p.alias("prefix"),
-                            )
-                        ),
-                    ).alias("reps"),
-                ),
-            ),
-        )
-
-    return F.aggregate(selected, init, step, lambda acc: acc["reps"])
+    tok = "concat('[', p_, '_', CAST(size(filter(w_.reps, r_ -> r_.prefix = p_)) + 1 AS STRING), ']')"
+    rec = (
+        "named_struct('original_start', m_.start, 'original_end', m_.`end`, "
+        "'output_start', m_.start + w_.delta, 'output_end', m_.start + w_.delta + length(t_), "
+        "'token', t_, 'original_value', m_.value, 'entity_type', m_.entity_type, 'category', m_.category, 'prefix', p_)"
+    )
+    body = let(tok, "t_", f"named_struct('delta', w_.delta + length(t_) - (m_.`end` - m_.start), 'reps', concat(w_.reps, array({rec})))")
+    step = "(w_, m_) -> " + let(token_prefix_sql("m_.entity_type"), "p_", body)
+    return f"aggregate({selected}, named_struct('delta', 0, 'reps', {empty(_WORK_TYPE)}), {step}, w_ -> w_.reps)"
 
 
-def _count_map(keys: Column) -> Column:
+def _count_map(keys: str) -> str:
     """map key -> occurrences, keys in first-seen order."""
-    return let(
-        keys,
-        lambda ks: F.map_from_entries(
-            F.transform(F.array_distinct(ks), lambda k: F.struct(k.alias("key"), F.size(F.filter(ks, lambda x: x == k)).alias("value")))
-        ),
+    return let(keys, "ks_", "map_from_entries(transform(array_distinct(ks_), k_ -> named_struct('key', k_, 'value', size(filter(ks_, y_ -> y_ = k_)))))")
+
+
+def rewrite_sql(text: str, selected: str) -> str:
+    """SQL struct<redacted_text, replacements, token_to_original, counts_by_type, counts_by_category>."""
+    prev_end = "coalesce(get(rs_, i_ - 1).original_end, 0)"
+    pieces = f"transform(rs_, (r_, i_) -> concat(substring({text}, {prev_end} + 1, r_.original_start - {prev_end}), r_.token))"
+    tail_from = "coalesce(try_element_at(rs_, -1).original_end, 0)"
+    redacted = f"concat(array_join({pieces}, ''), substring({text}, {tail_from} + 1))"
+    public = "transform(rs_, r_ -> named_struct(" + ", ".join(f"'{n}', r_.{n}" for n in REPLACEMENT_NAMES) + "))"
+    body = (
+        f"named_struct('redacted_text', {redacted}, 'replacements', {public}, "
+        f"'token_to_original', map_from_entries(transform(rs_, r_ -> named_struct('key', r_.token, 'value', r_.original_value))), "
+        f"'counts_by_type', {_count_map('transform(rs_, r_ -> r_.prefix)')}, "
+        f"'counts_by_category', {_count_map('transform(rs_, r_ -> r_.category)')})"
     )
+    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(_work(selected), 'rs_', body)} END"
 
 
-def rewrite(text: Column, selected: Column) -> Column:
-    """``struct<redacted_text, replacements, token_to_original, counts_by_type, counts_by_category>``."""
-
-    def build(reps):
-        pieces = F.transform(
-            reps,
-            lambda r, i: F.concat(
-                F.substring(
-                    text,
-                    F.coalesce(F.get(reps, i - 1)["original_end"], F.lit(0)) + 1,
-                    r["original_start"] - F.coalesce(F.get(reps, i - 1)["original_end"], F.lit(0)),
-                ),
-                r["token"],
-            ),
-        )
-        tail_from = F.coalesce(F.try_element_at(reps, F.lit(-1))["original_end"], F.lit(0))
-        redacted = F.concat(F.array_join(pieces, ""), F.substring(text, tail_from + 1, 2147483647))
-        public = F.transform(
-            reps,
-            lambda r: F.struct(*[r[f.split(":")[0]].alias(f.split(":")[0]) for f in REPLACEMENT_FIELDS.split(",")]),
-        )
-        return F.struct(
-            redacted.alias("redacted_text"),
-            public.alias("replacements"),
-            F.map_from_entries(
-                F.transform(reps, lambda r: F.struct(r["token"].alias("key"), r["original_value"].alias("value")))
-            ).alias("token_to_original"),
-            _count_map(F.transform(reps, lambda r: r["prefix"])).alias("counts_by_type"),
-            _count_map(F.transform(reps, lambda r: r["category"])).alias("counts_by_category"),
-        )
-
-    return F.when(text.isNull(), F.lit(None)).otherwise(let(_work(selected), build))
-
-
-def restore_column(text: Column, replacements: Column) -> Column:
+def restore_sql(text: str, replacements: str) -> str:
     """Replace every token by its value, longest token first, stable by position.
 
     Works on the redacted text or on an edited copy of it.  A literal token
     already present in the input, or a restored value that contains a later
     token, is replaced too (same behaviour as the reference).
     """
-    order = F.sort_array(
-        F.transform(
-            F.coalesce(replacements, F.array().cast(REPLACEMENT_TYPE)),
-            lambda r, i: F.struct((-F.length(r["token"])).alias("k"), i.alias("i"), r["token"].alias("t"), r["original_value"].alias("v")),
-        )
+    order = (
+        f"sort_array(transform(coalesce({replacements}, {empty(REPLACEMENT_TYPE)}), "
+        f"(r_, i_) -> named_struct('k', -length(r_.token), 'i', i_, 't', r_.token, 'v', r_.original_value)))"
     )
-    return F.aggregate(order, text, lambda acc, r: F.replace(acc, r["t"], r["v"]))
+    return f"aggregate({order}, {text}, (acc_, r_) -> replace(acc_, r_.t, r_.v))"

@@ -14,49 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shroud.functions.spans import empty, ident, let
 from shroud.operators.detect import CAND_TYPE
-from shroud.functions.spans import let
 
 
-def overlaps(a, b) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
-def _pairwise_disjoint(by_start: Column) -> Column:
-    n = F.size(by_start)
-    return (n < 2) | F.forall(
-        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-        lambda i: F.get(by_start, i)["start"] >= F.get(by_start, i - 1)["end"],
-    )
-
-
-def _greedy(cands: Column) -> Column:
-    ranked = F.sort_array(
-        F.transform(
-            cands,
-            lambda c: F.struct(
-                (c["start"] - c["end"]).alias("neg_len"),
-                c["priority"].alias("priority"),
-                c["start"].alias("start"),
-                c["emission"].alias("emission"),
-                c.alias("c"),
-            ),
-        )
+def _greedy(by_start: str) -> str:
+    ranked = (
+        f"sort_array(transform({by_start}, r_ -> named_struct('neg_len', r_.start - r_.`end`, "
+        f"'priority', r_.priority, 'start', r_.start, 'emission', r_.emission, 'c', r_)))"
     )
-    kept = F.aggregate(
-        ranked,
-        F.array().cast(CAND_TYPE),
-        lambda acc, k: F.when(F.exists(acc, lambda a: overlaps(a, k["c"])), acc).otherwise(
-            F.concat(acc, F.array(k["c"]))
-        ),
+    step = (
+        "(k_, x_) -> IF(exists(k_, a_ -> a_.start < x_.c.`end` AND x_.c.start < a_.`end`), "
+        "k_, concat(k_, array(x_.c)))"
     )
-    return F.sort_array(kept)  # the struct starts with `start`; kept spans are disjoint
+    # the candidate struct starts with `start`; kept spans are disjoint
+    return f"sort_array(aggregate({ranked}, {empty(CAND_TYPE)}, {step}))"
 
 
-def resolve(cands: Column) -> Column:
+def resolve_sql(cands: str) -> str:
     """Selected, disjoint candidates sorted by start (null in -> null out)."""
-    nonempty = F.filter(cands, lambda c: c["start"] < c["end"])
+    disjoint = (
+        "(size(b_) < 2 OR forall(sequence(1, greatest(size(b_) - 1, 1)), "
+        "j_ -> get(b_, j_).start >= get(b_, j_ - 1).`end`))"
+    )
     return let(
-        F.sort_array(nonempty),
-        lambda by_start: F.when(_pairwise_disjoint(by_start), by_start).otherwise(_greedy(by_start)),
+        f"sort_array(filter({cands}, c_ -> c_.start < c_.`end`))",
+        "b_",
+        f"IF({disjoint}, b_, {_greedy('b_')})",
     )
+
+
+def resolve(cands_col: str) -> Column:
+    return F.expr(resolve_sql(ident(cands_col)))

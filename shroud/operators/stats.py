@@ -14,47 +14,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.functions import rules as R
-from shroud.functions.spans import let
+from shroud.functions.spans import ident, let, lit
 
 
-def _label_map() -> Column:
-    pairs = []
-    for k, v in R.STATUS_LABELS.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)
+def _label_map_sql() -> str:
+    pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in R.STATUS_LABELS.items())
+    return f"map({pairs})"
 
 
-def status_column(counts_by_type: Column) -> Column:
+def status_sql(counts_by_type: str) -> str:
     """"n label, ... redacted" (labels summed, sorted) or "No redactions found" (A4)."""
-    labels = _label_map()
-    labeled = F.transform(
-        F.map_entries(F.coalesce(counts_by_type, F.create_map().cast("map<string,int>"))),
-        lambda e: F.struct(
-            F.coalesce(F.try_element_at(labels, e["key"]), F.lower(e["key"])).alias("label"),
-            e["value"].alias("n"),
-        ),
+    labeled = (
+        f"transform(map_entries(coalesce({counts_by_type}, CAST(map() AS MAP<STRING, INT>))), "
+        f"e_ -> named_struct('label', coalesce(try_element_at({_label_map_sql()}, e_.key), lower(e_.key)), 'n', e_.value))"
     )
+    parts = (
+        "transform(array_sort(array_distinct(transform(xs_, x_ -> x_.label))), l_ -> concat("
+        "CAST(aggregate(filter(xs_, x_ -> x_.label = l_), 0L, (a_, x_) -> a_ + x_.n) AS STRING), ' ', l_))"
+    )
+    body = let(parts, "ps_", "IF(size(ps_) = 0, 'No redactions found', concat(array_join(ps_, ', '), ' redacted'))")
+    return let(labeled, "xs_", body)
 
-    def build(xs):
-        names = F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["label"])))
-        parts = F.transform(
-            names,
-            lambda name: F.concat(
-                F.aggregate(F.filter(xs, lambda x: x["label"] == name), F.lit(0).cast("long"), lambda a, x: a + x["n"]).cast("string"),
-                F.lit(" "),
-                name,
-            ),
-        )
-        return F.when(F.size(parts) == 0, F.lit("No redactions found")).otherwise(
-            F.concat(F.array_join(parts, ", "), F.lit(" redacted"))
-        )
 
-    return let(labeled, build)
+def status_column(counts_by_type: str = "counts_by_type") -> Column:
+    return F.expr(status_sql(ident(counts_by_type)))
 
 
 def status_line(redacted: DataFrame, keys) -> DataFrame:
     ks = [keys] if isinstance(keys, str) else list(keys)
-    return redacted.select(*ks, status_column(F.col("counts_by_type")).alias("status"))
+    return redacted.select(*ks, status_column("counts_by_type").alias("status"))
 
 
 WHITESPACE_RUN_FREE = r"(?U)[^\s\x1C-\x1F]+"

@@ -41,7 +41,7 @@ def _detector_query(entity: str, table: str, key: str, col: str):
     def run(spark, sf_dir):
         df = _read(spark, sf_dir, table).select(key, F.col(col).alias("__raw"))
         df = normalize_column(df, "__raw", "__t").select(key, "__t")
-        out = df.select(key, F.explode_outer(rule_spans(F.col("__t"), rule)).alias("m"))
+        out = df.select(key, F.explode_outer(rule_spans("__t", rule)).alias("m"))
         return out.where(F.col("m").isNotNull()).select(key, "m.start", "m.end", "m.value")
 
     src = O.source_sql(table, key, col)
@@ -169,7 +169,8 @@ def roundtrip_audit(spark, sf_dir):
 
 
 def restore_join(spark, sf_dir):
-    red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True)
+    # redact once, store it (checkpoint folder = shared storage), restore from the vault
+    red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True).checkpoint(eager=True)
     v = api.vault(red, "doc_id")
     edited = red.select("doc_id", F.concat(F.lit("EDITED: "), F.col("redacted_text")).alias("redacted_text"))
     return api.restore(edited, v, "doc_id").select("doc_id", "restored_text")
