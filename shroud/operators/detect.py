@@ -61,7 +61,7 @@ POST_FILTERS = {"phone": _phone_ok, "card": _card_ok, "ipv4": _ipv4_ok}
 
 def rule_spans_sql(text: str, rule: R.Rule) -> str:
     """SQL ``SPAN_TYPE`` of one built-in rule, post-filtered (and narrowed to group 1)."""
-    spans = find_all_sql(text, rule.java)
+    spans = find_all_sql(text, rule.java, rule.needs)
     if rule.check:
         spans = f"filter({spans}, s_ -> {POST_FILTERS[rule.check]('s_.value')})"
     if rule.group == 1:
