@@ -123,7 +123,8 @@ def detector_sql(text: str, config: RedactionConfig, ner: str | None = None) ->
     Custom regexes (a Python UDF) are added separately by ``with_candidates``.
     """
     cols: list[tuple[str, str]] = []
-    for rule in R.BUILTIN_RULES:
+    rules = R.PII_RULES + R.secret_rules(config.catalogue) + R.LOCATION_RULES
+    for rule in rules:
         if rule.entity_type == "PERSON" and ner is not None:
             continue  # an NER span table replaces the name pattern
         if not config.enabled(*rule.toggles):
