@@ -72,19 +72,21 @@ def _two_pass(text: str, p: str) -> str:
     return f"aggregate({zipped}, named_struct('pos', 0, 'out', {empty(SPAN_TYPE)}), {step}, b_ -> b_.out)"
 
 
-def find_all_sql(text: str, pattern: str, needs: tuple[str, ...] = ()) -> str:
+def find_all_sql(text: str, pattern: str, needs: tuple[str, ...] = (), guard: str | None = None) -> str:
     """SQL: all non-overlapping matches of Java ``pattern`` in ``text``, left to right.
 
     ``text`` is a SQL expression (usually a quoted column).  ``pattern`` must
     not match the empty string (true for every built-in rule and keyword).
     ``needs``: literals of which every match contains one; texts without any
-    skip the regex (a byte search instead of a regex scan).  Null text -> null.
+    skip the regex (a byte search instead of a regex scan).  ``guard``: a SQL
+    boolean that is false only for texts without a match (e.g. a per-row
+    "contains a digit" column shared by several rules).  Null text -> null.
     """
     p = lit(pattern)
-    pre = ""
+    pre = f"WHEN NOT {guard} THEN {empty(SPAN_TYPE)} " if guard else ""
     if needs:
         any_of = " OR ".join(f"instr({text}, {lit(n)}) > 0" for n in needs)
-        pre = f"WHEN NOT ({any_of}) THEN {empty(SPAN_TYPE)} "
+        pre += f"WHEN NOT ({any_of}) THEN {empty(SPAN_TYPE)} "
     marked = f"split(regexp_replace({text}, {p}, {lit(MARK + '$0' + MARK)}), {lit(MARK)}, -1)"
     return (
         f"CASE WHEN {text} IS NULL THEN NULL "

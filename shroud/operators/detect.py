@@ -59,9 +59,17 @@ def _ipv4_ok(v: str) -> str:
 POST_FILTERS = {"phone": _phone_ok, "card": _card_ok, "ipv4": _ipv4_ok}
 
 
-def rule_spans_sql(text: str, rule: R.Rule) -> str:
-    """SQL ``SPAN_TYPE`` of one built-in rule, post-filtered (and narrowed to group 1)."""
-    spans = find_all_sql(text, rule.java, rule.needs)
+HAS_DIGIT = "(?U)\\d"  # any Unicode decimal digit
+
+
+def rule_spans_sql(text: str, rule: R.Rule, digit_guard: str | None = None) -> str:
+    """SQL ``SPAN_TYPE`` of one built-in rule, post-filtered (and narrowed to group 1).
+
+    ``digit_guard``: SQL boolean "text contains a decimal digit", computed once
+    per row and shared by every rule whose hits always contain a digit.
+    """
+    guard = (digit_guard or f"({text} RLIKE {lit(HAS_DIGIT)})") if rule.digit else None
+    spans = find_all_sql(text, rule.java, rule.needs, guard)
     if rule.check:
         spans = f"filter({spans}, s_ -> {POST_FILTERS[rule.check]('s_.value')})"
     if rule.group == 1:
@@ -115,7 +123,9 @@ def _ner_candidates(text: str, ner: str, config: RedactionConfig) -> list[str]:
     return out
 
 
-def detector_sql(text: str, config: RedactionConfig, ner: str | None = None) -> list[tuple[str, str]]:
+def detector_sql(
+    text: str, config: RedactionConfig, ner: str | None = None, digit_guard: str | None = None
+) -> list[tuple[str, str]]:
     """(name, SQL of the tagged candidate array) per active native detector, emission order.
 
     Detectors whose category switch is off are pruned from the plan (the
@@ -129,7 +139,8 @@ def detector_sql(text: str, config: RedactionConfig, ner: str | None = None) ->
             continue  # an NER span table replaces the name pattern
         if not config.enabled(*rule.toggles):
             continue
-        cols.append((rule.entity_type, _tag(rule_spans_sql(text, rule), rule.entity_type, rule.category, rule.emission)))
+        spans = rule_spans_sql(text, rule, digit_guard)
+        cols.append((rule.entity_type, _tag(spans, rule.entity_type, rule.category, rule.emission)))
     if ner is not None:
         for i, c in enumerate(_ner_candidates(text, ner, config)):
             cols.append((f"NER{i}", c))
@@ -154,8 +165,10 @@ def with_candidates(
     """Add ``out_col``: all candidates of the active detectors (R1), emission order."""
     text = ident(text_col)
     ner = ident(ner_col) if ner_col else None
-    dets = detector_sql(text, config, ner)
     keep = [F.col(c) for c in df.columns]
+    # one "has a digit" scan per row, shared by the seven digit-bearing rules
+    df = df.select(*keep, F.expr(f"{text} RLIKE {lit(HAS_DIGIT)}").alias("__has_digit"))
+    dets = detector_sql(text, config, ner, digit_guard="`__has_digit`")
     names = [f"__det_{i}" for i in range(len(dets))]
     cols = [F.expr(sql).alias(n) for n, (_, sql) in zip(names, dets)]
     regexes = valid_python_regexes(config.custom_regex) if config.custom_active else []
