@@ -45,6 +45,16 @@ def status_line(redacted: DataFrame, keys) -> DataFrame:
     return redacted.select(*ks, status_column("counts_by_type").alias("status"))
 
 
+def input_status(df: DataFrame, keys, text: str) -> DataFrame:
+    """Blank-input guard (P3): 'empty' for null or whitespace-only text, else 'ok'.
+
+    Rows are kept either way; a blank text simply has nothing to redact.
+    """
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    blank = F.col(text).isNull() | (F.length(F.regexp_replace(F.col(text), r"(?U)\s+", "")) == 0)
+    return df.select(*ks, F.when(blank, F.lit("empty")).otherwise(F.lit("ok")).alias("input_status"))
+
+
 WHITESPACE_RUN_FREE = r"(?U)[^\s\x1C-\x1F]+"
 
 

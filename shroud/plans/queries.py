@@ -195,6 +195,58 @@ def events_props_findings(spark, sf_dir):
     return api.scan(ev, "event_id", "props")
 
 
+def normalized_text(spark, sf_dir):
+    """P1 + P2 on every document (BOM strip, NFKC)."""
+    df = normalize_column(_docs(spark, sf_dir), "text", "normalized_text")
+    return df.select("doc_id", "normalized_text")
+
+
+def input_status(spark, sf_dir):
+    return stats.input_status(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+
+    from shroud.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stream_redact(spark, sf_dir):
+    """documents as a file stream -> redaction -> exactly-once parquet sink, read back."""
+    from shroud.streaming.stream import redact_stream
+
+    base = _scratch(spark, "stream-redact")
+    sdf = (
+        spark.readStream.schema("doc_id long, text string")
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf_dir)
+    )
+    q = (
+        redact_stream(sdf, "doc_id", "text")
+        .select("doc_id", "redacted_text")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", base + "/_checkpoint")
+        .trigger(availableNow=True)
+        .start(base + "/out")
+    )
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out")
+
+
+def text_files_redact(spark, sf_dir):
+    """Every document written as its own .txt file, read back with binaryFile, redacted."""
+    from shroud.sources.files import read_text_files
+
+    base = _scratch(spark, "text-files")
+    _docs(spark, sf_dir).write.partitionBy("doc_id").text(base)
+    files = read_text_files(spark, base)
+    keyed = files.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text")
+    return api.redact(keyed, "doc_id", "text").select("doc_id", "redacted_text")
+
+
 def type_totals(spark, sf_dir):
     found = api.scan(_docs(spark, sf_dir), "doc_id", "text")
     return stats.type_totals(found)
@@ -255,6 +307,16 @@ def _oracles() -> dict[str, str]:
     ev = O.source_sql("events", "event_id", "props")
     out["events_props_findings"] = f"SELECT {_sel_cols('event_id')} FROM {O.selected_sql(ev)}"
     out["type_totals"] = f"SELECT entity_type, count(*) AS n FROM {O.selected_sql(docs)} GROUP BY entity_type"
+    # the driver tables contain no BOM and nothing NFKC changes: normalisation is the identity here
+    out["normalized_text"] = "SELECT doc_id, text AS normalized_text FROM documents"
+    out["input_status"] = (
+        "SELECT conv_id, turn, CASE WHEN text IS NULL OR length(regexp_replace(text, "
+        "'[\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x{85}\\p{Z}]+', '', 'g')) = 0 THEN 'empty' ELSE 'ok' END AS input_status "
+        "FROM conversations"
+    )
+    out["stream_redact"] = out["redacted_text"]
+    files_src = "(SELECT doc_id AS k, text || chr(10) AS text FROM documents)"
+    out["text_files_redact"] = f"SELECT k AS doc_id, redacted_text FROM {O.redacted_sql(files_src)}"
     return out
 
 
@@ -281,6 +343,10 @@ QUERIES.update(
         "benchmark_redact": benchmark_redact,
         "events_props_findings": events_props_findings,
         "type_totals": type_totals,
+        "normalized_text": normalized_text,
+        "input_status": input_status,
+        "stream_redact": stream_redact,
+        "text_files_redact": text_files_redact,
     }
 )
 ORACLES = _oracles()
