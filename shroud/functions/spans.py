@@ -52,13 +52,28 @@ def empty(type_sql: str) -> str:
     return f"CAST(array() AS {type_sql})"
 
 
-def _from_pieces(pieces: str) -> str:
-    hit = "named_struct('start', a_.pos, 'end', a_.pos + length(p_), 'value', p_)"
+def _offsets(lengths: str) -> str:
+    """Start offset of every piece: a running sum carried as ints only.
+
+    ``aggregate`` copies its accumulator on every step, so it carries plain
+    integers; the span structs (with their strings) are built afterwards in
+    one ``transform``.
+    """
     return (
-        f"aggregate({pieces}, named_struct('pos', 0, 'i', 0, 'out', {empty(SPAN_TYPE)}), "
-        f"(a_, p_) -> named_struct('pos', a_.pos + length(p_), 'i', a_.i + 1, "
-        f"'out', IF(a_.i % 2 = 1, concat(a_.out, array({hit})), a_.out)), a_ -> a_.out)"
+        f"aggregate({lengths}, named_struct('pos', 0, 'acc', CAST(array() AS ARRAY<INT>)), "
+        f"(a_, l_) -> named_struct('pos', a_.pos + l_, 'acc', concat(a_.acc, array(a_.pos))), a_ -> a_.acc)"
+    )
+
+
+def _from_pieces(pieces: str) -> str:
+    """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces."""
+    body = let(
+        _offsets("transform(pp_, x_ -> length(x_))"),
+        "cc_",
+        "IF(size(pp_) < 3, " + empty(SPAN_TYPE) + ", transform(sequence(1, size(pp_) - 2, 2), "
+        "i_ -> named_struct('start', get(cc_, i_), 'end', get(cc_, i_) + length(get(pp_, i_)), 'value', get(pp_, i_))))",
     )
+    return let(pieces, "pp_", body)
 
 
 def _two_pass(text: str, p: str) -> str:

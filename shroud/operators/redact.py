@@ -29,17 +29,45 @@ def token_prefix_sql(entity_type: str) -> str:
     return f"coalesce(nullif(regexp_replace({raw}, '^_+|_+$', ''), ''), {lit(R.FALLBACK_PREFIX)})"
 
 
+_COUNTS_TYPE = "ARRAY<STRUCT<`p`: STRING, `n`: INT>>"
+
+
 def _work(selected: str) -> str:
-    """Replacement records (+ prefix) for matches sorted by start."""
-    tok = "concat('[', p_, '_', CAST(size(filter(w_.reps, r_ -> r_.prefix = p_)) + 1 AS STRING), ']')"
+    """Replacement records (+ prefix) for matches sorted by start.
+
+    One ``aggregate`` walks the hits carrying only integers - the output
+    shift before each hit and its token number (from a tiny per-prefix
+    counter) - because ``aggregate`` copies its accumulator at every step.
+    The records, with their strings, are then built by one ``transform``.
+    """
+    num = "coalesce(try_element_at(filter(w_.counts, c_ -> c_.p = p_), 1).n, 0) + 1"
+    counts = (
+        "IF(exists(w_.counts, c_ -> c_.p = p_), "
+        "transform(w_.counts, c_ -> IF(c_.p = p_, named_struct('p', c_.p, 'n', c_.n + 1), c_)), "
+        "concat(w_.counts, array(named_struct('p', p_, 'n', 1))))"
+    )
+    tok_len = f"(length(p_) + length(CAST({num} AS STRING)) + 3)"
+    body = (
+        f"named_struct('delta', w_.delta + {tok_len} - (m_.`end` - m_.start), 'counts', {counts}, "
+        f"'nums', concat(w_.nums, array({num})), 'deltas', concat(w_.deltas, array(w_.delta)))"
+    )
+    step = "(w_, m_) -> " + let(token_prefix_sql("m_.entity_type"), "p_", body)
+    init = (
+        f"named_struct('delta', 0, 'counts', {empty(_COUNTS_TYPE)}, "
+        f"'nums', CAST(array() AS ARRAY<INT>), 'deltas', CAST(array() AS ARRAY<INT>))"
+    )
+    walk = f"aggregate(ms_, {init}, {step})"
     rec = (
         "named_struct('original_start', m_.start, 'original_end', m_.`end`, "
-        "'output_start', m_.start + w_.delta, 'output_end', m_.start + w_.delta + length(t_), "
+        "'output_start', m_.start + get(wk_.deltas, i_), 'output_end', m_.start + get(wk_.deltas, i_) + length(t_), "
         "'token', t_, 'original_value', m_.value, 'entity_type', m_.entity_type, 'category', m_.category, 'prefix', p_)"
     )
-    body = let(tok, "t_", f"named_struct('delta', w_.delta + length(t_) - (m_.`end` - m_.start), 'reps', concat(w_.reps, array({rec})))")
-    step = "(w_, m_) -> " + let(token_prefix_sql("m_.entity_type"), "p_", body)
-    return f"aggregate({selected}, named_struct('delta', 0, 'reps', {empty(_WORK_TYPE)}), {step}, w_ -> w_.reps)"
+    per_hit = let(
+        token_prefix_sql("m_.entity_type"),
+        "p_",
+        let("concat('[', p_, '_', CAST(get(wk_.nums, i_) AS STRING), ']')", "t_", rec),
+    )
+    return let(selected, "ms_", let(walk, "wk_", f"transform(ms_, (m_, i_) -> {per_hit})"))
 
 
 def _count_map(keys: str) -> str:

@@ -19,16 +19,19 @@ from shroud.operators.detect import CAND_TYPE
 
 
 def _greedy(by_start: str) -> str:
+    """Greedy selection over ``by_start``; the accumulator holds only (start, end, index) ints."""
     ranked = (
-        f"sort_array(transform({by_start}, r_ -> named_struct('neg_len', r_.start - r_.`end`, "
-        f"'priority', r_.priority, 'start', r_.start, 'emission', r_.emission, 'c', r_)))"
+        f"sort_array(transform({by_start}, (r_, i_) -> named_struct('neg_len', r_.start - r_.`end`, "
+        f"'priority', r_.priority, 'start', r_.start, 'emission', r_.emission, 'i', i_)))"
     )
+    cand = f"get({by_start}, x_.i)"
     step = (
-        "(k_, x_) -> IF(exists(k_, a_ -> a_.start < x_.c.`end` AND x_.c.start < a_.`end`), "
-        "k_, concat(k_, array(x_.c)))"
+        f"(k_, x_) -> IF(exists(k_, a_ -> a_.s < {cand}.`end` AND {cand}.start < a_.e), k_, "
+        f"concat(k_, array(named_struct('s', {cand}.start, 'e', {cand}.`end`, 'i', x_.i))))"
     )
-    # the candidate struct starts with `start`; kept spans are disjoint
-    return f"sort_array(aggregate({ranked}, {empty(CAND_TYPE)}, {step}))"
+    kept = f"aggregate({ranked}, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, i: INT>>), {step})"
+    # kept spans are disjoint, so sorting by start orders them completely
+    return f"transform(sort_array({kept}), a_ -> get({by_start}, a_.i))"
 
 
 def resolve_sql(cands: str) -> str:
