@@ -37,17 +37,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays (of its repeated rows one)."""
-    found = simhash_bytes.near_duplicates(docs, shingle=queries.SHINGLE, max_bits=queries.MAX_BITS)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__id"])).drop("__id")
-    return kept.dropDuplicates(["doc_id"])
+    """Of each SimHash component one document stays, that with the smallest id."""
+    return simhash_bytes.representatives(docs, shingle=queries.SHINGLE, max_bits=queries.MAX_BITS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = pareto_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    copied = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    taken = pareto_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    taken = taken.distinct()  # equal rows have equal copies
+    sized = docs.withColumn("__own", pareto_mix.size_of("text"))
+    copied = sized.join(taken, sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__source"]) & (sized["__own"] == taken["__size"]))
     return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

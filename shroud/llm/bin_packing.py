@@ -15,7 +15,7 @@ the histogram of lengths: at most ``capacity`` counts, whatever the corpus size.
 The result is a list of patterns (lengths and how many sequences have them).
 A step handles a whole run of equal pieces and equal gaps at once; it uses up a
 length or a gap, so patterns number at most a few times the capacity.  Pieces
-are then numbered within their length (in hash buckets of bounded size, so that
+are then numbered within their length (in hash buckets, about the square root of its count, so that
 a length with a third of all pieces is spread over tasks) and take the slots of
 their length in order.  Slots join by (length, chunk of slot numbers).
 
@@ -33,6 +33,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 from pathlib import Path
 
 import numpy as np
@@ -49,8 +50,6 @@ SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WHITE_END = re.compile(f"[{WHITE}]\\Z")
 #: Segments whose ids a worker remembers; it starts anew when full.
 REMEMBERED = 800_000
-#: Pieces of one length that one task numbers, about.
-BUCKET_ROWS = 20_000
 #: Slots of one length per join key.
 SLOT_CHUNK = 4096
 
@@ -237,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     slots = spark.createDataFrame(_slots(plan(histogram, capacity)), "length bigint, lo bigint, hi bigint, sequence0 bigint, offset bigint")
     chunk = lambda c: F.floor(F.col(c) / SLOT_CHUNK)
     slots = slots.select("*", F.explode(F.sequence(chunk("lo"), F.floor((F.col("hi") - 1) / SLOT_CHUNK))).alias("chunk"))
-    buckets = max(1, max(histogram.values(), default=0) // BUCKET_ROWS)
+    buckets = max(1, isqrt(max(histogram.values(), default=0)))  # as many as rows in a bucket of the commonest length
     dealt = cutting.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,9 +38,14 @@ LEVELS = 3
 RANGES = 32
 
 
+def size_of(text_col: str) -> Column:
+    """Words of the text; null: 0."""
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     rows = columns(docs, doc_id=id_col, source=source_col, text=text_col)
-    return rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return rows.select("doc_id", "source", size_of("text").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = 3.0) -> DataFrame:

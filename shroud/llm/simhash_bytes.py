@@ -66,15 +66,15 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
-    rows = columns(docs, doc_id=id_col, text=text_col)
+    """``doc_id``, ``text_hash`` and ``fp``, the fingerprint as a signed long."""
+    rows = columns(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
             fp = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, fp bigint")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -147,15 +147,29 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, posting_limit: int = POSTING_LIMIT
 ) -> DataFrame:
-    """``doc_id``, ``fp``, ``component_id`` (smallest id reachable) for every row."""
+    """``doc_id, text_hash, fp, root, component_id`` for every row: the smallest
+    fingerprint and the smallest id reachable."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(near_links(nodes.select("fp"), max_bits, posting_limit))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(firsts, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    classes = rooted.join(firsts, "root").select("fp", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    return salted.join(classes, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return salted.join(classes, ["fp", "salt"]).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, posting_limit: int = POSTING_LIMIT
+) -> DataFrame:
+    """The input's rows of which each stands for one component: the one with its
+    smallest id (where that id has several texts in the component, one of them)."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits, posting_limit)
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = own.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"))
+    hashed = docs.withColumn("__own", F.xxhash64(text_col))
+    kept = hashed.join(firsts, hashed[id_col].eqNullSafe(firsts["__id"]) & (hashed["__own"] == firsts["__hash"]))
+    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:
