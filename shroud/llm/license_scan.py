@@ -89,7 +89,7 @@ class Scanner:
         for seed, at in where.items():
             self.automaton.add_word(seed, (len(seed), at))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}") if n.edits else None for n in notices]
+        self.patterns = [regex.compile(f"(?e)(?<= )(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?= )") if n.edits else None for n in notices]
 
     def windows(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(notice, start, end) of every stretch of text that can hold a match."""
@@ -117,14 +117,10 @@ class Scanner:
                 if text[start - 1 : start] == " " and text[end : end + 1] == " ":
                     out.add((i, start, end, 0))
                 continue
-            for m in self.patterns[i].finditer(text, start, end, overlapped=True):
-                s, e = m.span()
-                e -= len(m.group()) - len(m.group().rstrip(" "))
-                s += len(m.group()) - len(m.group().lstrip(" "))
-                core = n.core.split()
-                words = iter(text[s:e].split(" "))
-                if s < e and text[s - 1 : s] == " " and text[e : e + 1] == " " and all(w in words for w in core):
-                    out.add((i, s, e, sum(m.fuzzy_counts)))
+            for m in self.patterns[i].finditer(text, start, end + 1, overlapped=True):
+                words = iter(m.group().split(" "))
+                if all(w in words for w in n.core.split()):
+                    out.add((i, *m.span(), sum(m.fuzzy_counts)))
         return self.best(sorted(out))
 
     def best(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
