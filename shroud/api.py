@@ -34,21 +34,18 @@ def _keys(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def spread(df: DataFrame, factor: int = 3) -> DataFrame:
-    """Give a CPU-heavy text projection enough tasks.
-
-    Detection costs far more per byte than reading, so an input with fewer
-    partitions than twice the cluster's cores (e.g. one large parquet row
-    group) is round-robin repartitioned to ``factor`` tasks per core.  A large
-    input already has many more splits than cores and is left as is (no
-    shuffle); streaming inputs are never touched.
+SCAN_PARTITIONS = "shroud.scan.partitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition, if the session asks for it.
+
+    Detection costs far more per byte than reading.  Where the input has too few
+    splits (one large row group, say), set ``shroud.scan.partitions``; unset,
+    the input's own splits are used and nothing is shuffled.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(factor * cores)
+    wanted = None if df.isStreaming else df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def prepared(

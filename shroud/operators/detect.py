@@ -59,7 +59,7 @@ def _ipv4_ok(v: str) -> str:
 POST_FILTERS = {"phone": _phone_ok, "card": _card_ok, "ipv4": _ipv4_ok}
 
 
-HAS_DIGIT = "(?U)\\d"  # any Unicode decimal digit
+HAS_DIGIT = "\\p{Nd}"  # any Unicode decimal digit
 
 
 def rule_spans_sql(text: str, rule: R.Rule, digit_guard: str | None = None) -> str:
@@ -89,7 +89,7 @@ def rule_spans(text_col: str, rule: R.Rule) -> Column:
 
 def keyword_pattern(keyword: str) -> str:
     """Whole-word, case-insensitive literal."""
-    return "(?iU)\\b" + java_quote(keyword) + "\\b"
+    return "(?iu)" + R.BOUNDARY + java_quote(keyword) + R.BOUNDARY
 
 
 def _tag(spans: str, entity_type: str, category: str, emission: int | str, source: str | None = None) -> str:
@@ -113,7 +113,7 @@ def _ner_candidates(text: str, ner: str, config: RedactionConfig) -> list[str]:
         label_list = ", ".join(lit(x) for x in labels)
         picked = (
             f"filter(coalesce({ner}, {empty(NER_TYPE)}), n_ -> upper(n_.label) IN ({label_list}) "
-            f"AND n_.start >= 0 AND n_.start < n_.`end`)"
+            f"AND n_.start >= 0 AND n_.start < n_.`end` AND n_.`end` <= length({text}))"
         )
         spans = (
             f"transform({picked}, n_ -> named_struct('start', n_.start, 'end', n_.`end`, "

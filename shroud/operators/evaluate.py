@@ -25,21 +25,21 @@ def _keys(keys) -> list[str]:
 
 
 def expected_misses(expected: DataFrame, redacted: DataFrame, keys, expected_col: str = "expected_any") -> DataFrame:
-    """keys, item: expected items with no token of any alternative prefix in the row."""
+    """keys, item_no, item: expected items with no token of any alternative prefix in the row."""
     ks = _keys(keys)
     items = expected.select(*ks, F.posexplode(expected_col).alias("item_no", "item"))
     alts = items.select(*ks, "item_no", "item", F.explode(F.split("item", r"\|")).alias("prefix"))
     found = redacted.select(*ks, F.explode(F.map_keys("counts_by_type")).alias("prefix")).distinct()
     hit = alts.join(found, on=ks + ["prefix"], how="left_semi").select(*ks, "item_no").distinct()
-    return items.join(hit, on=ks + ["item_no"], how="left_anti").select(*ks, "item")
+    return items.join(hit, on=ks + ["item_no"], how="left_anti").select(*ks, "item_no", "item")
 
 
 def recall_report(expected: DataFrame, redacted: DataFrame, keys, expected_col: str = "expected_any") -> DataFrame:
     """item, expected, found, recall - per expected item (alternatives kept as written)."""
     ks = _keys(keys)
-    items = expected.select(*ks, F.explode(expected_col).alias("item"))
+    items = expected.select(*ks, F.posexplode(expected_col).alias("item_no", "item"))
     misses = expected_misses(expected, redacted, ks, expected_col).withColumn("missed", F.lit(1))
-    j = items.join(misses, on=ks + ["item"], how="left")
+    j = items.join(misses.drop("item"), on=ks + ["item_no"], how="left")
     return j.groupBy("item").agg(
         F.count(F.lit(1)).alias("expected"),
         (F.count(F.lit(1)) - F.count("missed")).alias("found"),
@@ -60,8 +60,7 @@ def toggle_leaks(findings: DataFrame, toggles: dict[str, bool]) -> DataFrame:
     on = dict(R.DEFAULT_TOGGLES)
     on.update(toggles)
     off_types = [
-        t for t in set(R.RULES_BY_TYPE) | {"LOCATION"}
-        if not all(on.get(k, True) for k in R.toggles_for(t, R.RULES_BY_TYPE[t].category if t in R.RULES_BY_TYPE else "location"))
+        t for t, switches in R.TOGGLES_BY_TYPE.items() if not all(on.get(k, True) for k in switches)
     ]
     cond = F.col("entity_type").isin(*off_types) if off_types else F.lit(False)
     if not on.get("custom", True):

@@ -51,11 +51,11 @@ def input_status(df: DataFrame, keys, text: str) -> DataFrame:
     Rows are kept either way; a blank text simply has nothing to redact.
     """
     ks = [keys] if isinstance(keys, str) else list(keys)
-    blank = F.col(text).isNull() | (F.length(F.regexp_replace(F.col(text), r"(?U)\s+", "")) == 0)
+    blank = F.col(text).isNull() | (F.length(F.regexp_replace(F.col(text), f"[{R.SPACE_SET}]+", "")) == 0)
     return df.select(*ks, F.when(blank, F.lit("empty")).otherwise(F.lit("ok")).alias("input_status"))
 
 
-WHITESPACE_RUN_FREE = r"(?U)[^\s\x1C-\x1F]+"
+WHITESPACE_RUN_FREE = f"[^{R.SPACE_SET}]+"
 
 
 def text_sizes(df: DataFrame, keys, text: str) -> DataFrame:
@@ -64,7 +64,7 @@ def text_sizes(df: DataFrame, keys, text: str) -> DataFrame:
     return df.select(
         *ks,
         F.length(text).cast("long").alias("n_chars"),
-        F.size(F.regexp_extract_all(F.col(text), F.lit(WHITESPACE_RUN_FREE), 0)).cast("long").alias("n_words"),
+        F.regexp_count(F.col(text), F.lit(WHITESPACE_RUN_FREE)).cast("long").alias("n_words"),
     )
 
 

@@ -143,12 +143,12 @@ def replacement_offsets(spark, sf_dir):
 
 def counts_by_type(spark, sf_dir):
     red = api.redact(_docs(spark, sf_dir), "doc_id", "text")
-    return red.select("doc_id", F.explode("counts_by_type").alias("token_prefix", "n")).withColumn("n", F.col("n").cast("long"))
+    return red.select("doc_id", F.explode_outer("counts_by_type").alias("token_prefix", "n")).where("n is not null").withColumn("n", F.col("n").cast("long"))
 
 
 def counts_by_category(spark, sf_dir):
     red = api.redact(_docs(spark, sf_dir), "doc_id", "text")
-    return red.select("doc_id", F.explode("counts_by_category").alias("category", "n")).withColumn("n", F.col("n").cast("long"))
+    return red.select("doc_id", F.explode_outer("counts_by_category").alias("category", "n")).where("n is not null").withColumn("n", F.col("n").cast("long"))
 
 
 def corpus_stats(spark, sf_dir):
@@ -169,11 +169,8 @@ def roundtrip_audit(spark, sf_dir):
 
 
 def restore_join(spark, sf_dir):
-    # redact once, store it (checkpoint folder = shared storage), restore from the vault
-    from shroud.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True).checkpoint(eager=True)
+    # redact once for both sides; values stay with the executors and are written nowhere
+    red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True).persist()
     v = api.vault(red, "doc_id")
     edited = red.select("doc_id", F.concat(F.lit("EDITED: "), F.col("redacted_text")).alias("redacted_text"))
     return api.restore(edited, v, "doc_id").select("doc_id", "restored_text")

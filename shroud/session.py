@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("shroud.scan.partitions", str(3 * (int(cores) if str(cores).isdigit() else os.cpu_count() or 1)))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SHROUD_DRIVER_MEMORY", "16g"))
         .getOrCreate()
@@ -32,16 +34,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only when unset.
+    """The cluster's shared checkpoint folder; a scratch folder only in local mode.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and
-    is used as is.  Only a session without it (tests, local runs) gets a
-    fresh scratch folder.
+    ``spark.checkpoint.dir`` names a shared, durable folder and is used as is.
+    Without it only a session whose executors live in the driver's process gets
+    a scratch folder of its own: on a cluster a machine-local one would lose rows.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="shroud-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)

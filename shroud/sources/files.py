@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +34,24 @@ def read_text_files(
     path: str,
     extensions: Sequence[str] | None = R.TEXT_SUFFIXES,
     recursive: bool = True,
+    max_bytes: int = 2_000_000_000,
 ) -> DataFrame:
-    """``path, name, text, error`` per file; ``extensions=None`` accepts every file."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    df = raw.select("path", name.alias("name"), "content")
-    if extensions is not None:
-        df = df.where(file_suffix(F.col("name")).isin(*[e.lower() for e in extensions]))
+    """``path, name, text, error`` per file; ``extensions=None`` accepts every file.
+
+    A file that is not read has a null text and its reason in ``error``: another
+    suffix, more than ``max_bytes``, or bytes that are not UTF-8.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    files = files.withColumn("name", F.element_at(F.split(F.col("path"), "/"), -1))
+    known = F.lit(True) if extensions is None else file_suffix(F.col("name")).isin(*[e.lower() for e in extensions])
+    small = F.col("length") <= max_bytes  # reaches the reader: larger files are not opened
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
-    text = F.regexp_replace(decoded, "\r\n?", "\n")
-    return df.select(
-        "path",
-        "name",
-        text.alias("text"),
-        F.when(decoded.isNull(), F.lit("invalid utf-8")).alias("error"),
+    read = files.where(small).where(known).select(
+        "path", "name", F.regexp_replace(decoded, "\r\n?", "\n").alias("text"), F.when(decoded.isNull(), F.lit("invalid utf-8")).alias("error")
     )
+    reason = F.when(~known, F.lit("unsupported file type")).otherwise(F.lit("file too large"))
+    left_out = files.where(~known | ~small).select("path", "name", F.lit(None).cast("string").alias("text"), reason.alias("error"))
+    return read.unionByName(left_out)
 
 
 def read_table(spark: SparkSession, source: str, keys: Sequence[str], text: str, fmt: str = "parquet") -> DataFrame:
@@ -86,10 +90,12 @@ def read_rules_file(spark: SparkSession, path: str) -> list[str]:
 
 
 def load_config(spark: SparkSession, path: str) -> RedactionConfig:
-    """Settings from a JSON file or folder; defaults when missing, unreadable or invalid."""
+    """Settings from a JSON file or folder; defaults where there is none, or no valid JSON."""
     try:
         rows = spark.read.text(path, wholetext=True).collect()
-    except Exception:  # missing path or unreadable: defaults, like the reference
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # an outage must not switch the custom rules off
         return RedactionConfig()
     text = "".join(r["value"] for r in rows)
     return RedactionConfig.from_json(text)
@@ -101,9 +107,10 @@ def save_config(spark: SparkSession, config: RedactionConfig, path: str) -> None
 
 
 def write_redacted(redacted: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write redacted rows, skipping all-blank outputs (S8).  Never writes values."""
+    """Write redacted rows, skipping all-blank (not null) outputs (S8).  Never writes values."""
     cols = [c for c in redacted.columns if c not in ("original_text", "replacements", "token_to_original")]
-    out = redacted.where(F.trim(F.col("redacted_text")) != "").select(*cols)
+    blank = F.regexp_replace("redacted_text", f"[{R.SPACE_SET}]+", "") == ""
+    out = redacted.where(~F.coalesce(blank, F.lit(False))).select(*cols)  # null texts are rows of the table and stay
     out.write.format(fmt).mode(mode).save(path)
 
 

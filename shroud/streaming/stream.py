@@ -5,15 +5,18 @@ streaming DataFrame goes through ``api.redact`` unchanged (append mode, no
 state).  Running counts per token prefix use event-time windows with a
 watermark, so their state is bounded.  ``write_redacted_and_vault`` writes
 the redacted rows and (optionally) the vault rows of every micro-batch in one
-``foreachBatch``; each batch overwrites its own ``batch_id`` partition, so a
-replayed batch after a failure replaces, never duplicates, its output.
+``foreachBatch``; each batch overwrites its own (stream, batch) partition, so a
+replayed batch replaces its output, and a stream with a new checkpoint, or a
+second one, never touches what another wrote.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud import api
@@ -46,6 +49,20 @@ def windowed_type_counts(
     )
 
 
+def _stream_id(spark: SparkSession, checkpoint_path: str) -> str:
+    """The stream's name, kept beside its checkpoint: as long as that lives, batch
+    numbers go on; a new checkpoint counts from 0 under a new name."""
+    path = f"{checkpoint_path.rstrip('/')}/shroud_stream_id"
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    return name
+
+
 def write_redacted_and_vault(
     redacted_with_vault: DataFrame,
     keys: Sequence[str],
@@ -56,16 +73,22 @@ def write_redacted_and_vault(
 ):
     """Start a query writing redacted rows (and vault rows) per micro-batch, idempotently."""
     keys = list(keys)
+    stream_id = _stream_id(redacted_with_vault.sparkSession, checkpoint_path)
+
+    def put(rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id").parquet(path)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        stamped = batch.withColumn("batch_id", F.lit(batch_id))
-        public = stamped.drop("original_text", "replacements", "token_to_original")
-        (public.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        stamped = batch.withColumn("stream_id", F.lit(stream_id)).withColumn("batch_id", F.lit(batch_id))
         if vault_path is not None:
-            v = api.vault(stamped, keys + ["batch_id"])
-            (v.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(vault_path))
+            stamped = stamped.persist()  # written twice, computed once
+        try:
+            put(stamped.drop("original_text", "replacements", "token_to_original"), out_path)
+            if vault_path is not None:
+                put(api.vault(stamped, keys + ["stream_id", "batch_id"]), vault_path)
+        finally:
+            if vault_path is not None:
+                stamped.unpersist()
 
     w = redacted_with_vault.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     w = w.trigger(**(trigger or {"availableNow": True}))
