@@ -22,7 +22,9 @@ empty, every text gets the share of toxic labels; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -194,13 +196,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
     return Model(table, tuple(float(v) for v in _logistic(x, y)))
 
 
+@lru_cache(maxsize=2)
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype=np.float16)
+
+
 def scored(rows: DataFrame, table: np.ndarray, also: list[str]) -> DataFrame:
     """``doc_id``, the columns ``also``, and the features ``mean``, ``top`` of ``text``."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)  # GRAMS half floats: 64 MB
+    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))  # at most GRAMS half floats, 64 MB
     given = rows.select("doc_id", "text", *also)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held = _unpacked(shared.value)
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]
             own = [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns))]
