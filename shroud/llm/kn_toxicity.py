@@ -179,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
     those to fit the logistic on (a bounded sample of these, by hash)."""
     rows = columns(docs, doc_id=id_col, text=text_col)
     marks = columns(labels, doc_id="doc_id", toxic=label_col).where("doc_id is not null and toxic is not null")
-    counted = rows.where(learn).join(marks.where(learn), "doc_id").select("text", "toxic")
+    # labels grow with the corpus: both sides are shuffled, whatever their size here
+    counted = rows.where(learn).join(marks.where(learn).hint("merge"), "doc_id").select("text", "toxic")
     grams = gram_counts(counted).toArrow()  # at most 2**25 rows
     gram, n_toxic, n_plain = (grams.column(i).to_numpy() for i in range(3))
     if not n_toxic.sum() or not n_plain.sum():
