@@ -87,4 +87,45 @@ QUERIES = {
     for f in (op1_license_scan, op2_line_templates, op3_norm_topk, op4_pareto_mix, op5_fm_quality, op6_kn_toxicity, op7_host_rules, op8_simhash_bytes, op9_bin_packing, op10_token_fst, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
+#: Quadratic in the vectors, for small tables.
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+#: The templates as texts instead of hashes.
+LINE_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), raw AS (
+  SELECT doc_id, pos, list_filter(string_split_regex(line, '[ \t-\r]+'), lambda t: t <> '') AS r FROM lines
+), masked AS (
+  SELECT doc_id, pos, r, list_transform(r, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS m FROM raw WHERE len(r) >= 8
+), t AS (
+  SELECT doc_id, pos, CASE WHEN 2 * len(list_filter(m, lambda x: x = '<*>')) <= len(r) THEN m ELSE r END AS t FROM masked
+), parts AS (
+  SELECT doc_id, pos, len(t) AS n, array_to_string(t[1:4], ' ') AS lead,
+    list_transform([0, 1, 2, 3], lambda i: array_to_string(t[5 + (len(t) - 4) * i // 4 : 4 + (len(t) - 4) * (i + 1) // 4], ' ')) AS s FROM t
+), keys AS (
+  SELECT doc_id, pos, unnest([
+    concat_ws(chr(10), n, lead, 0, s[2], s[3], s[4]), concat_ws(chr(10), n, lead, 1, s[1], s[3], s[4]),
+    concat_ws(chr(10), n, lead, 2, s[1], s[2], s[4]), concat_ws(chr(10), n, lead, 3, s[1], s[2], s[3])]) AS k FROM parts
+), recurring AS (
+  SELECT k, min(doc_id) AS first FROM keys GROUP BY k HAVING min(doc_id) < max(doc_id)
+), dropped AS (
+  SELECT DISTINCT keys.doc_id, pos FROM keys JOIN recurring USING (k) WHERE keys.doc_id <> first
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(d.pos) AS BIGINT) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY lines.pos) FILTER (WHERE d.pos IS NULL), '') AS text
+FROM lines LEFT JOIN dropped d USING (doc_id, pos) GROUP BY doc_id
+"""
+
+#: Licence labels of the fuzzy search, models, fingerprints, samples and token ids have no SQL form: tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_line_templates": LINE_SQL, "op3_norm_topk": TOP_K_SQL}
