@@ -29,6 +29,9 @@ HEADLINE = [
     "conversation_redact",
     "custom_regex_findings",
     "keyword_findings",
+    "counts_by_type",
+    "counts_by_category",
+    "stream_redact",
 ]
 
 
