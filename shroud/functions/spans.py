@@ -3,7 +3,7 @@
 Spark has ``regexp_extract_all`` (values) but nothing that returns match
 positions.  We get both from a single regex pass: ``regexp_replace`` wraps
 every match in a private-use mark, a plain one-character ``split`` cuts the
-marked text into ``gap, match, gap, match, ..., gap``, and one ``aggregate``
+marked text into ``gap, match, gap, match, ..., gap``, and one running sum
 turns the piece lengths into code-point offsets (Spark's ``length`` counts
 code points, the same unit as Python string indices).
 
@@ -23,9 +23,6 @@ Everything runs in the JVM.  Result type: ``SPAN_TYPE``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MARK = "\ue000"  # private-use code point; texts containing it take the two-pass path
 SPAN_TYPE = "ARRAY<STRUCT<`start`: INT, `end`: INT, `value`: STRING>>"
 
@@ -52,39 +49,58 @@ def empty(type_sql: str) -> str:
     return f"CAST(array() AS {type_sql})"
 
 
-def _offsets(lengths: str) -> str:
-    """Start offset of every piece: a running sum carried as ints only.
+def chunk_width(items: str) -> str:
+    """Square root of the number of elements, rounded up, at least 1."""
+    return f"greatest(CAST(ceil(sqrt(size({items}))) AS INT), 1)"
 
-    ``aggregate`` copies its accumulator on every step, so it carries plain
-    integers; the span structs (with their strings) are built afterwards in
-    one ``transform``.
-    """
+
+def chunks(items: str, width: str) -> str:
+    """``items`` as consecutive slices of ``width`` (one empty slice if there are none)."""
     return (
-        f"aggregate({lengths}, named_struct('pos', 0, 'acc', CAST(array() AS ARRAY<INT>)), "
-        f"(a_, l_) -> named_struct('pos', a_.pos + l_, 'acc', concat(a_.acc, array(a_.pos))), a_ -> a_.acc)"
+        f"transform(sequence(0, greatest(CAST(ceil(size({items}) / {width}) AS INT) - 1, 0)), "
+        f"ci_ -> slice({items}, ci_ * {width} + 1, {width}))"
+    )
+
+
+def running(items: str, init: str, step: str, emit: str, out_type: str) -> str:
+    """One output per element from a state that runs over ``items``.
+
+    ``emit`` and ``step`` are SQL over the state before the element (``st_``) and
+    the element (``x_``).  ``aggregate`` copies its accumulator at every step, so
+    the walk has two levels, chunks of square-root size and the elements of one:
+    n outputs cost n * sqrt(n) copies instead of n * n.
+    """
+    emitted = let("si_.s", "st_", f"named_struct('s', {step}, 'o', concat(si_.o, array({emit})))")
+    inner = f"aggregate(sc_, named_struct('s', so_.s, 'o', {empty(out_type)}), (si_, x_) -> {emitted})"
+    outer = let(inner, "sr_", "named_struct('s', sr_.s, 'o', concat(so_.o, sr_.o))")
+    return let(
+        items,
+        "sq_",
+        let(
+            chunk_width("sq_"),
+            "sw_",
+            f"aggregate({chunks('sq_', 'sw_')}, named_struct('s', {init}, 'o', {empty(out_type)}), "
+            f"(so_, sc_) -> {outer}, so_ -> so_.o)",
+        ),
     )
 
 
 def _from_pieces(pieces: str) -> str:
     """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces."""
     body = let(
-        _offsets("transform(pp_, x_ -> length(x_))"),
+        running("transform(pp_, e_ -> length(e_))", "0", "st_ + x_", "st_", "ARRAY<INT>"),
         "cc_",
-        "IF(size(pp_) < 3, " + empty(SPAN_TYPE) + ", transform(sequence(1, size(pp_) - 2, 2), "
-        "i_ -> named_struct('start', get(cc_, i_), 'end', get(cc_, i_) + length(get(pp_, i_)), 'value', get(pp_, i_))))",
+        "transform(sequence(1, size(pp_) - 2, 2), "
+        "i_ -> named_struct('start', get(cc_, i_), 'end', get(cc_, i_) + length(get(pp_, i_)), 'value', get(pp_, i_)))",
     )
-    return let(pieces, "pp_", body)
+    return let(pieces, "pp_", f"IF(size(pp_) < 3, {empty(SPAN_TYPE)}, {body})")
 
 
 def _two_pass(text: str, p: str) -> str:
+    """The same pieces from two passes: gaps by ``split``, values by ``regexp_extract_all``."""
     zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
-    step = (
-        "(b_, z_) -> named_struct("
-        "'pos', b_.pos + length(z_['0']) + coalesce(length(z_['1']), 0), "
-        "'out', IF(z_['1'] IS NULL, b_.out, concat(b_.out, array(named_struct("
-        "'start', b_.pos + length(z_['0']), 'end', b_.pos + length(z_['0']) + length(z_['1']), 'value', z_['1'])))))"
-    )
-    return f"aggregate({zipped}, named_struct('pos', 0, 'out', {empty(SPAN_TYPE)}), {step}, b_ -> b_.out)"
+    pairs = f"flatten(transform({zipped}, z_ -> array(z_['0'], coalesce(z_['1'], ''))))"
+    return let(pairs, "zp_", _from_pieces("slice(zp_, 1, size(zp_) - 1)"))
 
 
 def find_all_sql(text: str, pattern: str, needs: tuple[str, ...] = (), guard: str | None = None) -> str:
@@ -112,11 +128,6 @@ def find_all_sql(text: str, pattern: str, needs: tuple[str, ...] = (), guard: st
     )
 
 
-def find_all(text_col: str, pattern: str) -> Column:
-    """Column form of ``find_all_sql`` over a named column."""
-    return F.expr(find_all_sql(ident(text_col), pattern))
-
-
 def java_quote(literal: str) -> str:
     """Java regex that matches ``literal`` verbatim (``\\Q...\\E`` safe for ``\\E``)."""
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"

@@ -196,17 +196,15 @@ def dedupe_candidates_sql(cands: str) -> str:
     within location, and per (start, end) within custom.  Resolution gives the
     same result with or without it; it only matters for the raw view.
     """
-    same = (
-        "(p_.start = x_.c.start AND p_.`end` = x_.c.`end` AND p_.category = x_.c.category "
-        "AND p_.category IN ('pii', 'location', 'custom') "
-        "AND (p_.category = 'custom' OR p_.entity_type = x_.c.entity_type))"
-    )
-    return let(
-        cands,
-        "cs_",
-        f"transform(filter(transform(cs_, (c_, i_) -> named_struct('c', c_, 'i', i_)), "
-        f"x_ -> NOT exists(slice(cs_, 1, x_.i), p_ -> {same})), x_ -> x_.c)",
+    key = (
+        "named_struct('start', c_.start, 'end', c_.`end`, 'group', CASE WHEN c_.category = 'custom' THEN 'custom' "
+        "WHEN c_.category IN ('pii', 'location') THEN concat(c_.category, ' ', c_.entity_type) "
+        "ELSE concat('# ', CAST(i_ AS STRING)) END)"
     )
+    # sorted by (key, position), the first of each run of equal keys stays
+    ranked = f"sort_array(transform(cs_, (c_, i_) -> named_struct('k', {key}, 'i', i_)))"
+    kept = "transform(filter(rk_, (a_, n_) -> n_ = 0 OR a_.k <> get(rk_, n_ - 1).k), a_ -> a_.i)"
+    return let(cands, "cs_", let(ranked, "rk_", f"transform(sort_array({kept}), a_ -> get(cs_, a_))"))
 
 
 def as_matches_sql(cands: str) -> str:

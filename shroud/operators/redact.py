@@ -1,15 +1,15 @@
 """Rewrite (R5-R10) and per-text maps (A1, A2, A5), as per-row expressions.
 
 Input: the normalised text and the selected, disjoint matches sorted by start.
-One ``aggregate`` walks the matches once and builds the replacement records
-(token number per prefix, output offsets); the redacted text is then one
-``array_join`` of ``gap + token`` pieces and the tail.  No shuffle.
+One running walk over the matches gives token numbers per prefix and output
+offsets; the redacted text is then the ``array_join`` of ``gap + token`` pieces
+and the tail.  No shuffle.
 """
 
 from __future__ import annotations
 
 from shroud.functions import rules as R
-from shroud.functions.spans import empty, let, lit
+from shroud.functions.spans import chunk_width, chunks, empty, let, lit, running
 
 REPLACEMENT_NAMES = (
     "original_start", "original_end", "output_start", "output_end",
@@ -20,7 +20,6 @@ REPLACEMENT_STRUCT = (
     "`token`: STRING, `original_value`: STRING, `entity_type`: STRING, `category`: STRING>"
 )
 REPLACEMENT_TYPE = f"ARRAY<{REPLACEMENT_STRUCT}>"
-_WORK_TYPE = f"ARRAY<{REPLACEMENT_STRUCT[:-1]}, `prefix`: STRING>>"
 
 
 def token_prefix_sql(entity_type: str) -> str:
@@ -35,38 +34,33 @@ _COUNTS_TYPE = "ARRAY<STRUCT<`p`: STRING, `n`: INT>>"
 def _work(selected: str) -> str:
     """Replacement records (+ prefix) for matches sorted by start.
 
-    One ``aggregate`` walks the hits carrying only integers - the output
-    shift before each hit and its token number (from a tiny per-prefix
-    counter) - because ``aggregate`` copies its accumulator at every step.
-    The records, with their strings, are then built by one ``transform``.
+    One running walk over the hits carries only integers - the output shift
+    before each hit and its token number (from a tiny per-prefix counter); the
+    records, with their strings, are then built by one ``transform``.
     """
-    num = "coalesce(try_element_at(filter(w_.counts, c_ -> c_.p = p_), 1).n, 0) + 1"
+    num = "coalesce(try_element_at(filter(st_.counts, c_ -> c_.p = x_.p), 1).n, 0) + 1"
     counts = (
-        "IF(exists(w_.counts, c_ -> c_.p = p_), "
-        "transform(w_.counts, c_ -> IF(c_.p = p_, named_struct('p', c_.p, 'n', c_.n + 1), c_)), "
-        "concat(w_.counts, array(named_struct('p', p_, 'n', 1))))"
+        "IF(exists(st_.counts, c_ -> c_.p = x_.p), "
+        "transform(st_.counts, c_ -> IF(c_.p = x_.p, named_struct('p', c_.p, 'n', c_.n + 1), c_)), "
+        "concat(st_.counts, array(named_struct('p', x_.p, 'n', 1))))"
     )
-    tok_len = f"(length(p_) + length(CAST({num} AS STRING)) + 3)"
-    body = (
-        f"named_struct('delta', w_.delta + {tok_len} - (m_.`end` - m_.start), 'counts', {counts}, "
-        f"'nums', concat(w_.nums, array({num})), 'deltas', concat(w_.deltas, array(w_.delta)))"
+    step = (
+        f"named_struct('delta', st_.delta + length(x_.p) + length(CAST({num} AS STRING)) + 3 - x_.len, 'counts', {counts})"
     )
-    step = "(w_, m_) -> " + let(token_prefix_sql("m_.entity_type"), "p_", body)
-    init = (
-        f"named_struct('delta', 0, 'counts', {empty(_COUNTS_TYPE)}, "
-        f"'nums', CAST(array() AS ARRAY<INT>), 'deltas', CAST(array() AS ARRAY<INT>))"
+    hits = f"transform(ms_, m_ -> named_struct('p', {token_prefix_sql('m_.entity_type')}, 'len', m_.`end` - m_.start))"
+    walk = running(
+        hits,
+        f"named_struct('delta', 0, 'counts', {empty(_COUNTS_TYPE)})",
+        step,
+        f"named_struct('num', {num}, 'delta', st_.delta, 'p', x_.p)",
+        "ARRAY<STRUCT<`num`: INT, `delta`: INT, `p`: STRING>>",
     )
-    walk = f"aggregate(ms_, {init}, {step})"
     rec = (
         "named_struct('original_start', m_.start, 'original_end', m_.`end`, "
-        "'output_start', m_.start + get(wk_.deltas, i_), 'output_end', m_.start + get(wk_.deltas, i_) + length(t_), "
-        "'token', t_, 'original_value', m_.value, 'entity_type', m_.entity_type, 'category', m_.category, 'prefix', p_)"
-    )
-    per_hit = let(
-        token_prefix_sql("m_.entity_type"),
-        "p_",
-        let("concat('[', p_, '_', CAST(get(wk_.nums, i_) AS STRING), ']')", "t_", rec),
+        "'output_start', m_.start + u_.delta, 'output_end', m_.start + u_.delta + length(t_), "
+        "'token', t_, 'original_value', m_.value, 'entity_type', m_.entity_type, 'category', m_.category, 'prefix', u_.p)"
     )
+    per_hit = let("get(wk_, i_)", "u_", let("concat('[', u_.p, '_', CAST(u_.num AS STRING), ']')", "t_", rec))
     return let(selected, "ms_", let(walk, "wk_", f"transform(ms_, (m_, i_) -> {per_hit})"))
 
 
@@ -77,10 +71,17 @@ def _count_map(keys: str) -> str:
 
 def rewrite_sql(text: str, selected: str) -> str:
     """SQL struct<redacted_text, replacements, token_to_original, counts_by_type, counts_by_category>."""
-    prev_end = "coalesce(get(rs_, i_ - 1).original_end, 0)"
-    pieces = f"transform(rs_, (r_, i_) -> concat(substring({text}, {prev_end} + 1, r_.original_start - {prev_end}), r_.token))"
+    # substring walks its text from the front: cut each chunk of hits out first, then its gaps
+    gap_from = "IF(i_ = 0, from_, get(q_, i_ - 1).original_end)"
+    pieces = (
+        f"transform(q_, (r_, i_) -> concat(substring(part_, {gap_from} - from_ + 1, "
+        f"r_.original_start - {gap_from}), r_.token))"
+    )
+    part = f"substring({text}, from_ + 1, try_element_at(q_, -1).original_end - from_)"
+    joined = let("coalesce(get(rs_, j_ * w_ - 1).original_end, 0)", "from_", let(part, "part_", f"array_join({pieces}, '')"))
+    body_text = let(chunk_width("rs_"), "w_", f"array_join(transform({chunks('rs_', 'w_')}, (q_, j_) -> {joined}), '')")
     tail_from = "coalesce(try_element_at(rs_, -1).original_end, 0)"
-    redacted = f"concat(array_join({pieces}, ''), substring({text}, {tail_from} + 1))"
+    redacted = f"concat({body_text}, substring({text}, {tail_from} + 1))"
     public = "transform(rs_, r_ -> named_struct(" + ", ".join(f"'{n}', r_.{n}" for n in REPLACEMENT_NAMES) + "))"
     body = (
         f"named_struct('redacted_text', {redacted}, 'replacements', {public}, "

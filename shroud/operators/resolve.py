@@ -4,18 +4,14 @@ Greedy choice: candidates ranked by (longer first, category priority, start,
 emission order); a candidate is kept if it overlaps no kept one (half-open
 spans: touching spans do not overlap); the kept set is returned by start.
 
-Pure projection, no shuffle.  A fast path skips the greedy loop when the
-candidates are already pairwise disjoint (the common case): sorted by start,
-each one begins at or after the end of the previous one.
+Pure projection, no shuffle.  The greedy loop runs inside islands of overlapping
+hits only, so a row costs as much as its largest island squared, not its hits
+squared; candidates that are already pairwise disjoint are returned as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from shroud.functions.spans import empty, ident, let
-from shroud.operators.detect import CAND_TYPE
+from shroud.functions.spans import let, running
 
 
 def _greedy(by_start: str) -> str:
@@ -34,6 +30,20 @@ def _greedy(by_start: str) -> str:
     return f"transform(sort_array({kept}), a_ -> get({by_start}, a_.i))"
 
 
+def _by_islands() -> str:
+    """Greedy selection island by island over ``b_`` (sorted by start).
+
+    An island begins where a hit starts at or after the end of all before it;
+    hits of two islands never overlap, so each is resolved by itself.
+    """
+    ends_before = running("transform(b_, e_ -> e_.`end`)", "0", "greatest(st_, x_)", "st_", "ARRAY<INT>")
+    island = let(
+        "slice(b_, f_ + 1, coalesce(get(fs_, j_ + 1), size(b_)) - f_)", "g_", f"IF(size(g_) = 1, g_, {_greedy('g_')})"
+    )
+    firsts = let(ends_before, "mx_", "filter(sequence(0, size(b_) - 1), n_ -> get(b_, n_).start >= get(mx_, n_))")
+    return let(firsts, "fs_", f"flatten(transform(fs_, (f_, j_) -> {island}))")
+
+
 def resolve_sql(cands: str) -> str:
     """Selected, disjoint candidates sorted by start (null in -> null out)."""
     disjoint = (
@@ -43,9 +53,5 @@ def resolve_sql(cands: str) -> str:
     return let(
         f"sort_array(filter({cands}, c_ -> c_.start < c_.`end`))",
         "b_",
-        f"IF({disjoint}, b_, {_greedy('b_')})",
+        f"CASE WHEN b_ IS NULL THEN NULL WHEN {disjoint} THEN b_ ELSE {_by_islands()} END",
     )
-
-
-def resolve(cands_col: str) -> Column:
-    return F.expr(resolve_sql(ident(cands_col)))
