@@ -20,13 +20,22 @@ from pyspark.sql import functions as F
 
 from shroud.config import RedactionConfig
 from shroud.functions.normalize import normalize_column
-from shroud.functions.spans import ident
-from shroud.operators.detect import as_matches_sql, dedupe_candidates_sql, with_candidates
+from shroud.functions.spans import empty, ident
+from shroud.operators.detect import (
+    CAND_TYPE,
+    as_matches_sql,
+    dedupe_candidates_sql,
+    row_keyword_candidates_sql,
+    row_toggle_filter_sql,
+    with_candidates,
+)
 from shroud.operators.redact import REPLACEMENT_TYPE, restore_sql, rewrite_sql
 from shroud.operators.resolve import resolve_sql
 
 NORM = "__shroud_text"
 CANDS = "__shroud_cands"
+TOGGLES = "__shroud_toggles"
+KEYWORDS = "__shroud_keywords"
 SEL = "__shroud_sel"
 
 
@@ -55,15 +64,23 @@ def prepared(
     config: RedactionConfig | None = None,
     normalize: str = "nfkc",
     ner: DataFrame | None = None,
+    row_toggles: str | None = None,
+    row_keywords: str | None = None,
 ) -> DataFrame:
     """keys, normalised text and the candidate array (internal building block).
 
+    ``row_toggles``: a ``map<string, boolean>`` column of switches for its own row
+    (what ``config`` switches off stays off; null map or absent switch: default).
+    ``row_keywords``: an ``array<string>`` column of keywords for its own row
+    (null and empty words are skipped).
+
     ``ner``: optional span table ``(keys..., start, end, label)`` from an
     external model; it is collected per key and left-joined (D15, D16).
     """
     config = config or RedactionConfig()
     ks = _keys(keys)
-    base = spread(df.select(*[F.col(k) for k in ks], F.col(text).alias(NORM + "_raw")))
+    own = {c: F.col(name) for c, name in ((TOGGLES, row_toggles), (KEYWORDS, row_keywords)) if name}
+    base = spread(df.select(*[F.col(k) for k in ks], F.col(text).alias(NORM + "_raw"), *(col.alias(c) for c, col in own.items())))
     base = normalize_column(base, NORM + "_raw", NORM, normalize)
     base = base.drop(NORM + "_raw")
     ner_col = None
@@ -73,30 +90,33 @@ def prepared(
         base = attach_ner(base, ner, ks)
         ner_col = "__shroud_ner"
     out = with_candidates(base, NORM, config, ner_col=ner_col, out_col=CANDS)
-    if ner_col:
-        out = out.drop(ner_col)
-    return out
+    if row_keywords and config.enabled("custom"):
+        more = row_keyword_candidates_sql(ident(NORM), ident(KEYWORDS), config)
+        out = out.withColumn(CANDS, F.expr(f"concat({ident(CANDS)}, coalesce({more}, {empty(CAND_TYPE)}))"))
+    if row_toggles:
+        out = out.withColumn(CANDS, F.expr(row_toggle_filter_sql(ident(CANDS), ident(TOGGLES))))
+    return out.select(*ks, NORM, CANDS)
 
 
-def candidates(df, keys, text, config=None, normalize="nfkc", ner=None) -> DataFrame:
+def candidates(df, keys, text, config=None, normalize="nfkc", ner=None, row_toggles=None, row_keywords=None) -> DataFrame:
     """One row per detector hit before resolution (after D17/D18 de-duplication)."""
     ks = _keys(keys)
-    p = prepared(df, ks, text, config, normalize, ner)
+    p = prepared(df, ks, text, config, normalize, ner, row_toggles, row_keywords)
     p = p.select(*ks, F.explode_outer(F.expr(as_matches_sql(dedupe_candidates_sql(ident(CANDS))))).alias("m"))
     return p.where(F.col("m").isNotNull()).select(*ks, "m.*")
 
 
-def with_selection(df, keys, text, config=None, normalize="nfkc", ner=None) -> DataFrame:
+def with_selection(df, keys, text, config=None, normalize="nfkc", ner=None, row_toggles=None, row_keywords=None) -> DataFrame:
     """keys, normalised text, selected matches (internal)."""
     ks = _keys(keys)
-    p = prepared(df, ks, text, config, normalize, ner)
+    p = prepared(df, ks, text, config, normalize, ner, row_toggles, row_keywords)
     return p.select(*ks, NORM, F.expr(resolve_sql(ident(CANDS))).alias(SEL))
 
 
-def scan(df, keys, text, config=None, normalize="nfkc", ner=None) -> DataFrame:
+def scan(df, keys, text, config=None, normalize="nfkc", ner=None, row_toggles=None, row_keywords=None) -> DataFrame:
     """One row per selected match: keys, start, end, entity_type, value, category, source."""
     ks = _keys(keys)
-    s = with_selection(df, ks, text, config, normalize, ner)
+    s = with_selection(df, ks, text, config, normalize, ner, row_toggles, row_keywords)
     s = s.select(*ks, F.explode_outer(F.expr(as_matches_sql(ident(SEL)))).alias("m"))
     return s.where(F.col("m").isNotNull()).select(*ks, "m.*")
 
@@ -109,6 +129,8 @@ def redact(
     normalize="nfkc",
     ner=None,
     with_vault: bool = False,
+    row_toggles=None,
+    row_keywords=None,
 ) -> DataFrame:
     """One row per input row.
 
@@ -118,7 +140,7 @@ def redact(
     values) and token_to_original - keep that output out of shared storage.
     """
     ks = _keys(keys)
-    s = with_selection(df, ks, text, config, normalize, ner)
+    s = with_selection(df, ks, text, config, normalize, ner, row_toggles, row_keywords)
     s = s.select(*ks, F.col(NORM), F.expr(rewrite_sql(ident(NORM), ident(SEL))).alias("r"))
     cols = [
         *ks,

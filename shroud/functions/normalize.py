@@ -1,27 +1,33 @@
 """Input normalisation: leading byte-order marks, Unicode NFKC.
 
-Both run in the JVM.  NFKC uses ICU4J, which ships with Spark (collation
-support), through ``reflect`` on its static ``Normalizer.compose(String,
-boolean compat)``; no Python worker is involved.  Pure-ASCII text is already
-NFKC-normal and skips the call.
+Spark has no NFKC function, so it runs as an Arrow UDF with Python's own
+``unicodedata`` (Arrow's ``utf8_normalize`` leaves letters and accents uncomposed);
+pure-ASCII text is already NFKC-normal and is sent as null.  The UDF is
+deterministic: filters on other columns pass it and reach the scan, which they do not with a
+reflective call into the JVM.
 """
 
-from __future__ import annotations
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-_NFKC = "reflect('com.ibm.icu.text.Normalizer', 'compose', {col}, true)"
+from pyspark.sql.types import StringType
 
 
 def strip_bom(text: Column) -> Column:
-    """Remove every leading U+FEFF (not only the first)."""
+    """Remove every leading U+FEFF (not only the first); bytes that are not UTF-8 become U+FFFD."""
     return F.regexp_replace(text, "^\ufeff+", "")
 
 
-def nfkc(text: Column, column_sql: str) -> Column:
-    """NFKC of ``text``; ``column_sql`` is the same column as a SQL identifier."""
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.expr(_NFKC.format(col=column_sql))).otherwise(text)
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC of ``text``; only texts beyond ASCII travel."""
+    return F.coalesce(_nfkc(F.when(text.rlike("[^\\x00-\\x7F]"), text)), text)
 
 
 def normalize_column(df, text_col: str, out_col: str, mode: str = "nfkc"):
@@ -36,5 +42,5 @@ def normalize_column(df, text_col: str, out_col: str, mode: str = "nfkc"):
     df = df.withColumn(tmp, strip_bom(F.col(text_col)))
     if mode == "bom":
         return df.withColumnRenamed(tmp, out_col) if out_col != text_col else df.drop(text_col).withColumnRenamed(tmp, out_col)
-    df = df.withColumn(out_col, nfkc(F.col(tmp), f"`{tmp}`"))
+    df = df.withColumn(out_col, nfkc(F.col(tmp)))
     return df.drop(tmp)

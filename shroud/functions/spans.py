@@ -104,16 +104,20 @@ def _two_pass(text: str, p: str) -> str:
 
 
 def find_all_sql(text: str, pattern: str, needs: tuple[str, ...] = (), guard: str | None = None) -> str:
-    """SQL: all non-overlapping matches of Java ``pattern`` in ``text``, left to right.
+    """SQL: all non-overlapping matches of Java ``pattern`` in ``text``, left to right."""
+    return find_all_of_sql(text, lit(pattern), needs, guard)
 
-    ``text`` is a SQL expression (usually a quoted column).  ``pattern`` must
+
+def find_all_of_sql(text: str, p: str, needs: tuple[str, ...] = (), guard: str | None = None) -> str:
+    """``find_all_sql`` for a pattern given as SQL ``p`` (a literal, or one made per row).
+
+    ``text`` is a SQL expression (usually a quoted column).  The pattern must
     not match the empty string (true for every built-in rule and keyword).
     ``needs``: literals of which every match contains one; texts without any
     skip the regex (a byte search instead of a regex scan).  ``guard``: a SQL
     boolean that is false only for texts without a match (e.g. a per-row
     "contains a digit" column shared by several rules).  Null text -> null.
     """
-    p = lit(pattern)
     pre = f"WHEN NOT {guard} THEN {empty(SPAN_TYPE)} " if guard else ""
     if needs:
         any_of = " OR ".join(f"instr({text}, {lit(n)}) > 0" for n in needs)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shroud.config import RedactionConfig, valid_python_regexes
 from shroud.functions import rules as R
 from shroud.functions.custom_regex import custom_regex_spans
-from shroud.functions.spans import SPAN_TYPE, empty, find_all_sql, ident, java_quote, let, lit
+from shroud.functions.spans import SPAN_TYPE, empty, find_all_of_sql, find_all_sql, ident, java_quote, let, lit
 
 CAND_STRUCT = (
     "STRUCT<`start`: INT, `end`: INT, `entity_type`: STRING, `value`: STRING, `category`: STRING, "
@@ -189,6 +189,26 @@ def with_candidates(
     return df.select(*keep, cands.alias(out_col))
 
 
+def row_keyword_candidates_sql(text: str, keywords: str, config: RedactionConfig) -> str:
+    """Candidates of the row's own keywords (D14), after those of ``config`` in list order."""
+    first = R.CUSTOM_EMISSION_BASE + len(valid_python_regexes(config.custom_regex)) + len(config.custom_keywords)
+    quoted = f"replace(kw_, {lit(chr(92) + 'E')}, {lit(java_quote(chr(92) + 'E')[2:-2])})"
+    pattern = f"concat({lit('(?iu)' + R.BOUNDARY + chr(92) + 'Q')}, {quoted}, {lit(chr(92) + 'E' + R.BOUNDARY)})"
+    per_word = let(pattern, "kp_", _tag(find_all_of_sql(text, "kp_"), "CUSTOM", "custom", f"{first} + kn_"))
+    return f"flatten(transform(filter({keywords}, kw_ -> kw_ <> ''), (kw_, kn_) -> {per_word}))"
+
+
+def row_toggle_filter_sql(cands: str, toggles: str) -> str:
+    """Candidates whose category switches are on in the row's own map (F2); an absent switch has its default."""
+
+    def on(*names: str) -> str:
+        return " AND ".join(f"coalesce(try_element_at({toggles}, {lit(n)}), {str(R.DEFAULT_TOGGLES[n]).upper()})" for n in names)
+
+    by_type = " ".join(f"WHEN f_.entity_type = {lit(t)} THEN {on(*names)}" for t, names in R.TOGGLES_BY_TYPE.items())
+    cond = f"CASE WHEN f_.category = 'custom' THEN {on('custom')} WHEN f_.category = 'secrets' THEN {on('api_keys')} {by_type} ELSE TRUE END"
+    return f"filter({cands}, f_ -> {cond})"
+
+
 def dedupe_candidates_sql(cands: str) -> str:
     """Detector-level de-duplication (D17, D18) for the candidates view.
 

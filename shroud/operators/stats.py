@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shroud.functions import rules as R
@@ -87,3 +87,19 @@ def corpus_stats(findings: DataFrame, docs: DataFrame, key: str, by: Sequence[st
     sets = [by[:i] + ["entity_type"] for i in range(len(by), -1, -1)]
     g = f.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by + ["entity_type"]])
     return g.agg(F.count(F.lit(1)).alias("n"))
+
+
+def breakdown(redacted: DataFrame) -> DataFrame:
+    """The statistics panel for a whole table (A3): position, token_prefix, label, n.
+
+    Position 0 is the grand total, then the token prefixes in order, each with
+    its capitalised label; no rows at all if nothing was found.
+    """
+    counts = redacted.select(F.explode_outer("counts_by_type").alias("token_prefix", "n")).where("n IS NOT NULL")
+    # one row per token prefix reaches the window: as many as there are rules
+    per_prefix = counts.groupBy("token_prefix").agg(F.sum("n").alias("n"))
+    label = F.expr(f"coalesce(try_element_at({_label_map_sql()}, token_prefix), lower(token_prefix))")
+    rows = per_prefix.rollup("token_prefix").agg(F.sum("n").alias("n"), F.grouping("token_prefix").alias("total")).where("n IS NOT NULL")
+    rows = rows.withColumn("label", F.when(F.col("total") == 1, F.lit("total")).otherwise(label)).withColumn("label", F.expr("concat(upper(substring(label, 1, 1)), lower(substring(label, 2)))"))
+    order = Window.orderBy(F.desc("total"), "token_prefix")
+    return rows.select((F.row_number().over(order) - 1).alias("position"), "token_prefix", "label", "n")

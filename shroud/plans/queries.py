@@ -17,6 +17,7 @@ from shroud.functions.normalize import normalize_column
 from shroud.operators import stats
 from shroud.operators.detect import rule_spans
 from shroud.plans import oracles as O
+from shroud.plans import planted
 
 # Fixed parameters of the registered custom-rule queries.
 KEYWORDS = ("token", "license", "example")
@@ -247,6 +248,17 @@ def text_files_redact(spark, sf_dir):
     return api.redact(keyed, "doc_id", "text").select("doc_id", "redacted_text")
 
 
+def stream_vault(spark, sf_dir):
+    """documents as a file stream -> foreachBatch writer of rows and vault; the vault read back."""
+    from shroud.streaming.stream import redact_stream, write_redacted_and_vault
+
+    base = _scratch(spark, "stream-vault")
+    sdf = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    red = redact_stream(sdf, "doc_id", "text", with_vault=True)
+    write_redacted_and_vault(red, ["doc_id"], base + "/out", base + "/checkpoint", vault_path=base + "/vault").awaitTermination()
+    return spark.read.parquet(base + "/vault").drop("stream_id", "batch_id")
+
+
 def type_totals(spark, sf_dir):
     found = api.scan(_docs(spark, sf_dir), "doc_id", "text")
     return stats.type_totals(found)
@@ -315,6 +327,7 @@ def _oracles() -> dict[str, str]:
         "FROM conversations"
     )
     out["stream_redact"] = out["redacted_text"]
+    out["stream_vault"] = out["replacement_offsets"]
     files_src = "(SELECT doc_id AS k, text || chr(10) AS text FROM documents)"
     out["text_files_redact"] = f"SELECT k AS doc_id, redacted_text FROM {O.redacted_sql(files_src)}"
     return out
@@ -346,7 +359,10 @@ QUERIES.update(
         "normalized_text": normalized_text,
         "input_status": input_status,
         "stream_redact": stream_redact,
+        "stream_vault": stream_vault,
         "text_files_redact": text_files_redact,
     }
 )
 ORACLES = _oracles()
+QUERIES.update(planted.QUERIES)
+ORACLES.update(planted.ORACLES)
