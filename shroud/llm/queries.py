@@ -127,5 +127,44 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(d.pos) AS BIGINT)
 FROM lines LEFT JOIN dropped d USING (doc_id, pos) GROUP BY doc_id
 """
 
+#: Windows of eight words as texts instead of hashes; the hosts' prior by the same moments.
+HOST_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT row_no, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d
+), windows AS (
+  SELECT row_no, i, array_to_string(words[i:i + 7], ' ') AS win
+  FROM (SELECT row_no, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) > 8)
+), found AS (
+  SELECT row_no, list(i) AS places FROM windows GROUP BY row_no, win HAVING count(*) > 1
+), covered AS (
+  SELECT row_no, count(DISTINCT place) AS n
+  FROM (SELECT row_no, unnest(range(i, i + 8)) AS place FROM (SELECT row_no, unnest(places) AS i FROM found)) GROUP BY row_no
+), measured AS (
+  SELECT doc_id, host, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (row_no) LEFT JOIN covered USING (row_no)
+), failing AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured
+), hosts AS (
+  SELECT host, count(*) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS f FROM failing GROUP BY host
+), moments AS (
+  SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS square, count(*) / sum(n) AS inverse FROM hosts
+), noise AS (
+  SELECT mean, square - mean * mean - mean * (1 - mean) * inverse AS spread FROM moments
+), prior AS (
+  SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM noise
+), refused AS (
+  SELECT host FROM hosts, prior WHERE (f + mean * strength) / (n + strength) > 0.8 AND f >= 20
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM refused r WHERE r.host IS NOT DISTINCT FROM failing.host) AS kept
+FROM failing
+"""
+
 #: Licence labels of the fuzzy search, models, fingerprints, samples and token ids have no SQL form: tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_line_templates": LINE_SQL, "op3_norm_topk": TOP_K_SQL}
+ORACLES: dict[str, str] = {"op2_line_templates": LINE_SQL, "op3_norm_topk": TOP_K_SQL, "op7_host_rules": HOST_SQL}
