@@ -88,8 +88,13 @@ def rule_spans(text_col: str, rule: R.Rule) -> Column:
 
 
 def keyword_pattern(keyword: str) -> str:
-    """Whole-word, case-insensitive literal."""
-    return "(?iu)" + R.BOUNDARY + java_quote(keyword) + R.BOUNDARY
+    """Whole-word, case-insensitive literal; its first letter is looked for first."""
+
+    def word(ch: str) -> bool:  # only letters match an ASCII letter, whatever the case
+        return ch.isascii() and (ch.isalnum() or ch == "_")
+
+    before = f"(?={keyword[0]})" + R.WORD_STARTS if word(keyword[0]) else R.BOUNDARY
+    return "(?iu)" + before + java_quote(keyword) + (R.WORD_ENDS if word(keyword[-1]) else R.BOUNDARY)
 
 
 def _tag(spans: str, entity_type: str, category: str, emission: int | str, source: str | None = None) -> str:
