@@ -24,10 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models call toxic go.  The models learn from the documents table's labelled rows."""
     model = queries.toxicity_model(spark, sf_dir, docs)
     b, m, t = model.weights
-    rows = docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    found = kn_toxicity.scored(rows.select("doc_id", "text", F.struct(*docs.columns).alias("own")), model.table, ["own"])
+    others = F.struct(*(c for c in docs.columns if c != "text"))  # one column, whatever their names; the text travels once
+    found = kn_toxicity.scored(docs.select("doc_id", "text", others.alias("own")), model.table, ["text", "own"])
     kept = found.where(F.lit(b) + F.lit(m) * F.col("mean") + F.lit(t) * F.col("top") < 0)
-    return kept.select(*(F.col("own")[c].alias(c) for c in docs.columns))
+    return kept.select(*("text" if c == "text" else F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

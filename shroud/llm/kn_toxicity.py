@@ -203,15 +203,16 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def scored(rows: DataFrame, table: np.ndarray, also: list[str]) -> DataFrame:
-    """``doc_id``, the columns ``also``, and the features ``mean``, ``top`` of ``text``."""
+    """``doc_id``, the columns ``also``, and the features ``mean``, ``top`` of ``text`` (which travels once, also if named)."""
     shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))  # at most GRAMS half floats, 64 MB
-    given = rows.select("doc_id", "text", *also)
+    given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
+    kept = [given.columns.index(c) for c in ("doc_id", *also)]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _unpacked(shared.value)
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]
-            own = [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns))]
+            own = [batch.column(i) for i in kept]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], ["doc_id", *also, "mean", "top"])
 
     kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in ("doc_id", *also))
