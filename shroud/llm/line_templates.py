@@ -12,8 +12,10 @@ and the tree needs no order of arrival.
 
 A template found in two or more documents recurs.  Its lines stay in the
 document with the smallest id that has it and are dropped from all others.  Lines
-shorter than ``min_tokens`` are never dropped.  A very common line is
-pre-aggregated per task, and where it joins back its partition can be split.
+shorter than ``min_tokens`` are never dropped; where it admits lines of fewer than
+``depth`` + 4 tokens, such a line's one template is the whole masked line.  A very
+common line is pre-aggregated per task, and where it joins back its partition can
+be split.
 
 Defined results: null text stays null (no lines); empty lines and repeated rows
 stay as they are (rows of one id are one document); rows without an id count as
@@ -33,20 +35,21 @@ DEPTH, MIN_TOKENS, STRETCHES = 4, 8, 4
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """``doc_id, row_key, pos, keys``: the four template keys of every line that can be dropped."""
+    """``doc_id, row_key, pos, keys``: the template keys (four, or one of a short line) of every line that can be dropped."""
     rows = columns(docs, doc_id=id_col, text=text_col)
     lines = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = lines.withColumn("raw", F.filter(F.split("line", r"\s+"), lambda t: t != "")).drop("line").where(F.size("raw") >= min_tokens)
+    tokens = lines.withColumn("raw", F.filter(F.split("line", r"\s+"), lambda t: t != "")).drop("line").where(F.size("raw") >= max(1, min_tokens))
     masked = tokens.withColumn("masked", F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t)))
     fields = F.size(F.filter("masked", lambda t: t == "<*>"))
     line = masked.select("doc_id", "row_key", "pos", F.when(2 * fields <= F.size("raw"), F.col("masked")).otherwise(F.col("raw")).alias("t"))
-    rest = F.size("t") - depth
+    whole = [F.when(F.size("t") < depth + STRETCHES, F.xxhash64(F.size("t"), "t")).alias("whole")] if min_tokens < depth + STRETCHES else []
+    rest = F.greatest(F.size("t") - depth, F.lit(0))
     start = [F.lit(depth + 1) + F.floor(rest * i / STRETCHES).cast("int") for i in range(STRETCHES + 1)]
     stretches = [F.xxhash64(F.slice("t", start[i], start[i + 1] - start[i])) for i in range(STRETCHES)]
     leaf = F.xxhash64(F.size("t"), F.slice("t", 1, depth))
-    hashed = line.select("doc_id", "row_key", "pos", leaf.alias("leaf"), *(s.alias(f"s{i}") for i, s in enumerate(stretches)))
-    keys = [F.xxhash64("leaf", F.lit(i), *(f"s{j}" for j in range(STRETCHES) if j != i)) for i in range(STRETCHES)]
-    return hashed.select("doc_id", "row_key", "pos", F.array(*keys).alias("keys"))
+    hashed = line.select("doc_id", "row_key", "pos", leaf.alias("leaf"), *(s.alias(f"s{i}") for i, s in enumerate(stretches)), *whole)
+    keys = F.array(*(F.xxhash64("leaf", F.lit(i), *(f"s{j}" for j in range(STRETCHES) if j != i)) for i in range(STRETCHES)))
+    return hashed.select("doc_id", "row_key", "pos", (F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(keys) if whole else keys).alias("keys"))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
