@@ -5,9 +5,9 @@ lines, and the words that stand in windows of eight words found twice or more.
 A document that fails a rule is not kept.  Failures are then summed by host
 (partial sums before the shuffle, so a host with a third of all rows costs a row
 per task), the hosts' rates are shrunk with a beta prior fitted to all hosts by
-moments, and a host is refused if the shrunk rate is above ``max_rate`` and at
-least ``min_failed`` of its documents failed.  Verdicts join back on (host,
-salt), so a large host is spread over tasks.
+moments, and a host of any size is refused if the shrunk rate is above
+``max_rate``: the prior alone holds back hosts of few documents.  Verdicts join
+back on (host, salt), so a large host is spread over tasks.
 
 Repeated windows are found inside a row without a shuffle: the 64-bit hashes of
 the windows are sorted with their places, equal neighbours are marked, and one
@@ -77,7 +77,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def host_verdicts(failures: DataFrame, max_rate: float = 0.8, min_failed: int = 20) -> DataFrame:
+def host_verdicts(failures: DataFrame, max_rate: float = 0.8) -> DataFrame:
     """From ``host, failed``: ``host, host_docs, host_failed, host_rate, host_refused``."""
     hosts = cut(failures.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed")))
     rate = F.col("host_failed") / F.col("host_docs")
@@ -90,13 +90,13 @@ def host_verdicts(failures: DataFrame, max_rate: float = 0.8, min_failed: int =
     strength = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6 if k else 1.0
     a, b = mean * strength, (1 - mean) * strength
     shrunk = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_refused", (F.col("host_rate") > max_rate) & (F.col("host_failed") >= min_failed))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_refused", F.col("host_rate") > max_rate)
 
 
-def rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_rate: float = 0.8, min_failed: int = 20) -> DataFrame:
+def rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_rate: float = 0.8) -> DataFrame:
     """Measures, ``base_failed``, the host's figures and ``kept`` for every row."""
     measured = cut(measures(docs, id_col, host_col, text_col).withColumn("base_failed", base_failed()))
-    verdicts = host_verdicts(measured.select("host", F.col("base_failed").alias("failed")), max_rate, min_failed)
+    verdicts = host_verdicts(measured.select("host", F.col("base_failed").alias("failed")), max_rate)
     spread = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "h").withColumnRenamed("salt", "t")
     salted = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
     joined = salted.join(spread, salted["host"].eqNullSafe(spread["h"]) & (salted["salt"] == spread["t"]), "left").drop("h", "t", "salt")

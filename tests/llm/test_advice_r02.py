@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shroud.llm import line_templates
+from shroud.llm import host_rules, line_templates
+from tests.llm.test_contracts import SCHEMA
 
 
 def test_short_lines_recur_where_the_floor_admits_them(spark):
@@ -14,3 +15,10 @@ def test_short_lines_recur_where_the_floor_admits_them(spark):
     long = "one two three four five six seven eight nine"
     mixed = spark.createDataFrame([(1, f"{long}\nshort one"), (2, f"short one\n{long.replace('nine', 'ten')}")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_templates.drop_recurring(mixed, min_tokens=1).collect()}[2] == ""
+
+
+def test_a_small_bad_host_is_refused(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, good if i == 0 else "short", "small") for i in range(16)] + [(i, good, "large") for i in range(100, 500)] + [(900, "short", "one"), (901, good, "two")]
+    found = {r.doc_id: r.kept for r in host_rules.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not found[0] and not found[900] and found[901] and all(found[i] for i in range(100, 500))
