@@ -1,16 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models of order five, one of toxic and one of ordinary texts,
-share their lower orders: what neither class has seen often backs off to
-continuation counts pooled over both, so rare expressions (and endings of words
-that only one class happened to show) weigh alike in both.  Characters are read
-through a fixed alphabet of 32 signs (space, a-z, five classes of other bytes),
-so a model has at most 2**25 grams however large the corpus is: the counts are
-summed by Spark over every labelled document, and the tables built from them
-have a fixed bound.
-
-A text's features are its log-likelihood ratio per character and that of its
-most toxic words, each normalised by its length; a logistic of the two, fitted
+Word models: every labelled document's words, unfolded (lower-cased runs of letters,
+marks and digits of any script; other signs one by one), are counted by Spark as
+grams of one to three words per class.  Counts, continuation counts, backoff and the
+log ratio of the classes are DataFrames keyed by gram (a 64-bit hash), so what is
+gathered grows with the input and nothing of it reaches the driver but a few sums
+per order.  A ratio is split into a part of the gram and a part of its context, so
+that a document's sum needs no order of its words: its grams join the weights, and
+sums return by row.  Grams with more than one in ``FREQUENT`` of all places (hence
+at most ``FREQUENT`` per order) join by broadcast and are summed where they stand;
+the others are shuffled.
+
+Character models: one of toxic and one of ordinary texts, of order five, for words
+that were never learned.  They share their lower orders: what neither class has seen
+backs off to continuation counts pooled over both.  Characters are read through a
+fixed alphabet of 32 signs (space, a-z, five classes of other bytes), so this part
+has at most 2**25 grams; its counts are summed by Spark over the same documents.
+
+A text's features are the word models' mean ratio per order and largest weight, the
+character models' mean ratio and that of its most toxic words; a logistic, fitted
 on labelled documents that were not counted, gives the score.
 
 Defined results: null and empty texts are scored as texts without words;
@@ -32,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import batches, columns, texts
+from shroud.llm.common import batches, columns, cut, let, texts
 
 #: 0 space and everything that is no letter, 1-26 a-z, 27-31 bytes above 0x7F.
 SIGNS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256))
@@ -42,6 +50,10 @@ GRAMS, CONTEXTS = 1 << BITS * ORDER, 1 << BITS * (ORDER - 1)
 COUNTED_AT_ONCE = 4_000_000
 #: Labelled documents, at most, on which the logistic is fitted.
 FIT_ROWS = 6000
+#: Grams of more than one in so many places join by broadcast.
+FREQUENT = 1 << 16
+WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
+FEATURES = ("mean", "top", "word1", "word2", "word3", "most")
 
 
 def signs(text: bytes) -> np.ndarray:
@@ -148,17 +160,118 @@ def features(table: np.ndarray, text: bytes) -> tuple[float, float]:
     return float(ratio.mean()), float(top.sum() / 3)
 
 
-class Model(NamedTuple):
-    table: np.ndarray
-    weights: tuple[float, float, float]
+def _word_hashes(text: Column) -> Column:
+    """Hashes of the words between two starts and an end, which no word equals."""
+    read = F.concat(F.array(F.lit(""), F.lit("")), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0)), F.array(F.lit(" ")))
+    return F.transform(read, lambda w: F.xxhash64(w))
+
+
+def _key(*words: Column) -> Column:
+    return F.xxhash64(F.lit(len(words)), *words)
 
-    def score(self, text: bytes) -> float:
-        mean, top = features(self.table, text)
-        return _sigmoid(self.weights[0] + self.weights[1] * mean + self.weights[2] * top)
 
+def _places(hashes: Column, body) -> Column:
+    """``body(u, v, w)`` for every word (and the end) with the two before it."""
+    return F.transform(F.sequence(F.lit(2), F.size(hashes) - 1), lambda i: body(F.get(hashes, i - 2), F.get(hashes, i - 1), F.get(hashes, i)))
+
+
+def _sums(frame: DataFrame, *names: str) -> list[dict]:
+    """Per ``n`` of the frame: discount, total and kinds of each named count."""
+    found = []
+    for name in names:
+        c = F.col(name)
+        found += [F.sum((c == 1).cast("long")).alias(f"{name}_1"), F.sum((c == 2).cast("long")).alias(f"{name}_2"), F.sum(c).alias(f"{name}_total"), F.sum((c > 0).cast("long")).alias(f"{name}_kinds")]
+    out = {}
+    for row in frame.groupBy("n").agg(*found).collect():  # a row per order
+        out[row["n"]] = {x: (row[f"{x}_1"] / (row[f"{x}_1"] + 2 * row[f"{x}_2"]) if row[f"{x}_1"] else 0.5, row[f"{x}_total"], row[f"{x}_kinds"]) for x in names}
+    return out
+
+
+def word_counts(labelled: DataFrame) -> DataFrame:
+    """From ``text, toxic``: ``n`` (the order), ``gram``, its context ``ctx`` and its end ``suf``, ``n_toxic``, ``n_plain``."""
+
+    def grams(u: Column, v: Column, w: Column) -> Column:
+        none = F.lit(0).cast("long")
+        of = lambda n, gram, ctx, suf: F.struct(F.lit(n).alias("n"), gram.alias("gram"), ctx.alias("ctx"), suf.alias("suf"))
+        return F.array(of(1, _key(w), none, none), of(2, _key(v, w), _key(v), _key(w)), of(3, _key(u, v, w), _key(u, v), _key(v, w)))
+
+    placed = labelled.select("toxic", F.explode(let(_word_hashes(F.col("text")), lambda h: F.flatten(_places(h, grams)))).alias("g")).select("toxic", "g.*")
+    return placed.groupBy("n", "gram", "ctx", "suf").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("n_toxic"), F.sum((F.col("toxic") != 1).cast("long")).alias("n_plain"))
+
+
+def word_weights(labelled: DataFrame) -> DataFrame:
+    """``gram, f1, f2, f3, n, places``: what a gram adds to a text's log ratio of each
+    order (as a gram of its own order, and as the context of the next one)."""
+    counts = cut(word_counts(labelled))
+    sums = _sums(counts, "n_toxic", "n_plain")
+    if not sums:
+        return cut(counts.select("gram", *(F.lit(0.0).alias(f"f{n}") for n in (1, 2, 3)), F.col("n_toxic").alias("n"), F.col("n_plain").alias("places")))
+    places = sums[1]["n_toxic"][1] + sums[1]["n_plain"][1]
+    # how many different words stand before a gram of one word, and of two
+    before = cut(counts.where("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("suf").alias("gram")).agg(F.count("*").alias("m")))
+    (d1, total1, kinds1), (d2, _, _) = (_sums(before, "m")[n]["m"] for n in (1, 2))
+    floor = 1.0 / (kinds1 + 1)
+    back1 = before.where("n = 1").select(F.col("gram").alias("suf"), ((F.greatest(F.col("m") - d1, F.lit(0.0)) + d1 * kinds1 * floor) / total1).alias("below"))
+    pairs = counts.where("n = 2").select("gram", "ctx", "suf").join(before.where("n = 2").select("gram", "m"), "gram")
+    after = pairs.groupBy("ctx").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"))
+    own2 = (F.greatest(F.col("m") - d2, F.lit(0.0)) + d2 * F.col("kinds") * F.col("below")) / F.col("total")
+    back2 = pairs.join(back1, "suf").join(after, "ctx").select(F.col("gram").alias("suf"), own2.alias("below"))
+    parts = []
+    for n, back in ((1, None), (2, back1), (3, back2)):
+        own = counts.where(F.col("n") == n)
+        own = own.withColumn("below", F.lit(floor)) if back is None else own.join(back, "suf")
+        seen, unseen = F.lit(0.0), F.lit(0.0)
+        for sign, side in ((1.0, "n_toxic"), (-1.0, "n_plain")):
+            d, total, kinds = sums[n][side]
+            t, k = (F.lit(total), F.lit(kinds)) if back is None else (F.col(f"{side}_total"), F.col(f"{side}_kinds"))
+            left = F.when(t > 0, F.lit(d) * k / t).otherwise(1.0)
+            seen += F.lit(sign) * F.log(F.when(t > 0, F.greatest(F.col(side) - d, F.lit(0.0)) / t).otherwise(0.0) + left * F.col("below"))
+            unseen += F.lit(sign) * F.log(left)
+        f = lambda value, n=n: [(value if j == n else F.lit(0.0)).alias(f"f{j}") for j in (1, 2, 3)]
+        if back is not None:
+            contexts = counts.where(F.col("n") == n).groupBy("ctx").agg(*(g for x in ("n_toxic", "n_plain") for g in (F.sum(x).alias(f"{x}_total"), F.sum((F.col(x) > 0).cast("long")).alias(f"{x}_kinds"))))
+            parts.append(contexts.select(F.col("ctx").alias("gram"), *f(unseen), F.lit(0).cast("long").alias("n")))
+            own = own.join(contexts, "ctx")
+        parts.append(own.select("gram", *f(seen - unseen), (F.col("n_toxic") + F.col("n_plain")).alias("n")))
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    return cut(joined.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("f1", "f2", "f3", "n"))).withColumn("places", F.lit(places).cast("long")))
+
+
+def word_features(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``doc_id, row_key`` (from ``doc_id, row_key, text``; equal rows once) and ``word1, word2, word3, most``."""
+    common = F.col("n") * FREQUENT > F.col("places")
+    f = ["f1", "f2", "f3"]
+    tally = weights.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram"), *(F.lit(0.0).alias(c) for c in f), F.lit(1).cast("long").alias("copies"))
+    frequent = F.broadcast(weights.where(common).select("gram", *f, F.lit(0).cast("long").alias("copies")).unionByName(tally))  # at most 3 * FREQUENT rows
+    rare = weights.where(~common).select("gram", *f)
+
+    def keys(h: Column) -> Column:
+        each = F.flatten(_places(h, lambda u, v, w: F.array(_key(w), _key(v, w), _key(u, v, w))))
+        return F.concat(each, F.array(_key(F.get(h, 0)), _key(F.get(h, 0), F.get(h, 1)), F.lit(0).cast("long")))  # the first contexts, and the tally
+
+    placed = rows.select("doc_id", "row_key", let(_word_hashes(F.col("text")), keys).alias("keys"))
+    grams = placed.select("doc_id", "row_key", F.size("keys").alias("size"), F.explode("keys").alias("gram"))
+    most = F.max(F.col("f1") + F.col("f2") + F.col("f3")).alias("most")
+    near = grams.join(frequent, "gram").groupBy("doc_id", "row_key").agg(*(F.sum(c).alias(c) for c in f), most, F.sum("copies").alias("copies"), F.max("size").alias("size"))
+    others = grams.drop("size").join(F.broadcast(frequent.select("gram")), "gram", "left_anti")
+    far = others.join(rare.hint("merge"), "gram").groupBy("doc_id", "row_key").agg(*(F.sum(c).alias(c) for c in f), most, F.lit(0).cast("long").alias("copies"), F.lit(0).alias("size"))
+    whole = near.unionByName(far).groupBy("doc_id", "row_key").agg(*(F.sum(c).alias(c) for c in f), F.max("most").alias("most"), F.sum("copies").alias("copies"), F.max("size").alias("size"))
+    return whole.select("doc_id", "row_key", *((F.col(f"f{n}") / F.col("copies") / (F.col("size") / 3)).alias(f"word{n}") for n in (1, 2, 3)), "most")
+
+
+class Model(NamedTuple):
+    table: np.ndarray
+    words: DataFrame | None
+    weights: tuple[float, ...]
 
-def _sigmoid(x: float) -> float:
-    return float(1.0 / (1.0 + np.exp(-np.clip(x, -50, 50))))
+    def logit(self) -> Column:
+        """Of the columns that ``scored`` gives."""
+        out = F.lit(self.weights[0])
+        for name, weight in zip(FEATURES, self.weights[1:], strict=False):
+            out += F.lit(weight) * F.col(name)
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -186,15 +299,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
     if not n_toxic.sum() or not n_plain.sum():
         share = marks.where(learn).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(GRAMS, np.float16), (float(np.log(share / (1 - share))), 0.0, 0.0))
-    table = ratio_table(gram, n_toxic, n_plain)
+        return Model(np.zeros(GRAMS, np.float16), None, (float(np.log(share / (1 - share))),))
+    table, words = ratio_table(gram, n_toxic, n_plain), word_weights(counted)
     chosen = marks.where(fit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = scored(rows.join(F.broadcast(chosen), "doc_id"), table, ["toxic"]).toArrow()  # fit_rows rows
-    x = np.c_[sample["mean"].to_numpy(), sample["top"].to_numpy()]
+    sample = scored(rows.join(F.broadcast(chosen), "doc_id"), Model(table, words, ()), ["toxic"]).toArrow()  # fit_rows rows
+    x = np.stack([sample[c].to_numpy() for c in FEATURES], axis=1)
     y = sample["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
-        return Model(table, (-1.0, 1.0, 1.0))
-    return Model(table, tuple(float(v) for v in _logistic(x, y)))
+        return Model(table, words, (-1.0, 1.0, 1.0))
+    return Model(table, words, tuple(float(v) for v in _logistic(x, y)))
 
 
 @lru_cache(maxsize=2)
@@ -202,27 +315,32 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), dtype=np.float16)
 
 
-def scored(rows: DataFrame, table: np.ndarray, also: list[str]) -> DataFrame:
-    """``doc_id``, the columns ``also``, and the features ``mean``, ``top`` of ``text`` (which travels once, also if named)."""
-    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))  # at most GRAMS half floats, 64 MB
-    given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
-    kept = [given.columns.index(c) for c in ("doc_id", *also)]
+def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
+    """``doc_id``, the columns ``also``, and the features of ``text`` (which travels once, also if named)."""
+    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(model.table.tobytes(), 1))  # at most GRAMS half floats, 64 MB
+    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    given = keyed.select("doc_id", "text", "row_key", *(c for c in also if c != "text"))
+    carried = ["doc_id", "row_key", *also]
+    kept = [given.columns.index(c) for c in carried]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _unpacked(shared.value)
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]
             own = [batch.column(i) for i in kept]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], ["doc_id", *also, "mean", "top"])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], [*carried, "mean", "top"])
 
-    kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in ("doc_id", *also))
-    return given.mapInArrow(run, f"{kinds}, mean double, top double")
+    kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in carried)
+    out = given.mapInArrow(run, f"{kinds}, mean double, top double")
+    if model.words is None:
+        return out.select("doc_id", *also, "mean", "top", *(F.lit(0.0).alias(c) for c in FEATURES[2:]))
+    words = word_features(keyed.select("doc_id", "row_key", "text"), model.words).withColumnRenamed("doc_id", "__id").withColumnRenamed("row_key", "__row")
+    joined = out.join(words, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__row")), "left")
+    return joined.select("doc_id", *also, "mean", "top", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES[2:]))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``doc_id, score, predicted`` for every row."""
-    b, m, t = model.weights
-    logit = F.lit(b) + F.lit(m) * F.col("mean") + F.lit(t) * F.col("top")
-    found = scored(columns(docs, doc_id=id_col, text=text_col), model.table, [])
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    found = scored(columns(docs, doc_id=id_col, text=text_col), model, [])
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.logit()))
     return found.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shroud.llm import host_rules, line_templates
+from pyspark.sql import functions as F
+
+from shroud.llm import host_rules, kn_toxicity, line_templates
 from tests.llm.test_contracts import SCHEMA
 
 
@@ -22,3 +24,18 @@ def test_a_small_bad_host_is_refused(spark):
     rows = [(i, good if i == 0 else "short", "small") for i in range(16)] + [(i, good, "large") for i in range(100, 500)] + [(900, "short", "one"), (901, good, "two")]
     found = {r.doc_id: r.kept for r in host_rules.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not found[0] and not found[900] and found[901] and all(found[i] for i in range(100, 500))
+
+
+def test_word_models_tell_expressions_that_the_signs_fold_together(spark):
+    # the words differ in digits only, or in Cyrillic letters of one byte class: signs cannot tell them apart
+    frame = spark.createDataFrame([(i, ("id10t said ещ the calm red door is here" if i % 2 else "id99t said ещ the calm red door is here"), "a") for i in range(40)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = kn_toxicity.train(frame, labels, F.col("doc_id") < 20, (F.col("doc_id") >= 20) & (F.col("doc_id") < 30))
+    assert all(r.predicted == r.doc_id % 2 for r in kn_toxicity.toxicity(frame, model).collect())
+    expressions = spark.createDataFrame([("go to the hell now", 1), ("the hell go to now", 0)], "text string, toxic int")
+    grams = kn_toxicity.word_counts(expressions)
+    # three words and the end of two texts: each predicted word is counted once per order
+    assert {r.n: r["sum(c)"] for r in grams.withColumn("c", F.col("n_toxic") + F.col("n_plain")).groupBy("n").sum("c").collect()} == {1: 12, 2: 12, 3: 12}
+    twice = frame.limit(1).unionByName(frame.limit(1))
+    rounded = lambda rows: {tuple(round(x, 9) for x in r) for r in kn_toxicity.scored(rows, model, []).collect()}
+    assert rounded(twice) == rounded(frame.limit(1))
