@@ -6,7 +6,8 @@ half of the line).  The tree has a fixed depth: token count, then the first
 ``depth`` tokens.  In a leaf, what remains of the line is parted into four
 stretches; a template fixes three of them and generalises the fourth, so lines
 of one template agree in count, leading tokens and at least three quarters of
-the rest, wherever the variable words stand.  Every line belongs to four
+the rest; lines that differ in two words without a digit in different stretches,
+or in one of the leading tokens, do not meet.  Every line belongs to four
 templates, each a 64-bit key: nothing but keys, ids and positions is shuffled,
 and the tree needs no order of arrival.
 
