@@ -50,3 +50,9 @@ def let(value, body):
     """``body`` applied to ``value``, which is evaluated once per row (a one-element
     ``transform``), also where ``body`` names it inside another lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def one_each(rows: DataFrame, label: str, limit: int) -> DataFrame:
+    """One of the rows of equal ``doc_id``, label and text, and of these ``limit`` at most, by hash."""
+    hashed = rows.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", label, "__text"])
+    return hashed.orderBy(F.xxhash64("__text", "doc_id"), "__text", "doc_id", label).limit(limit).drop("__text")

@@ -15,9 +15,9 @@ fixed size.
 
 Defined results: null and empty texts are scored by their statistics; null
 metadata has a class of its own; repeated rows and null ids are kept row by row;
-labels that are null teach nothing; if no label or only one class is known,
-every text gets the label's share; an empty table gives an empty result; only
-id, text and the metadata columns are read.
+labels that are null teach nothing; labels and rows that repeat fit once; if no
+label or only one class is known, every text gets the label's share; an empty
+table gives an empty result; only id, text and the metadata columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import batches, columns, texts
+from shroud.llm.common import batches, columns, one_each, texts
 
 WORD_BITS, BINS, STATS, META = 16, 16, 12, 4
 STAT_AT = 1 << WORD_BITS
@@ -160,9 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     if not zeros or not ones:
         return constant
     order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = marks.where("label = 0").orderBy(*order).limit(fit_rows // 2).unionByName(marks.where("label = 1").orderBy(*order).limit(fit_rows // 2))
+    once = marks.distinct()
+    chosen = once.where("label = 0").orderBy(*order).limit(fit_rows // 2).unionByName(once.where("label = 1").orderBy(*order).limit(fit_rows // 2))
     rows = _rows(docs, id_col, text_col, meta_cols)
-    own = rows.join(F.broadcast(chosen), "doc_id")  # fit_rows ids
+    own = one_each(rows.join(F.broadcast(chosen), "doc_id"), "label", fit_rows)
     found = _featured(own.select(F.col("label").cast("int").alias("label"), "text", *rows.columns[2:]), len(meta_cols)).toArrow()
     y = found["label"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():

@@ -24,7 +24,7 @@ on labelled documents that were not counted, gives the score.
 Defined results: null and empty texts are scored as texts without words;
 repeated rows and null ids are kept row by row (a row without an id is never
 learned from); labels that are null teach nothing, a label that occurs twice
-teaches twice; if one class has no labelled document, or the documents table is
+is counted twice, and fits the logistic once; if one class has no labelled document, or the documents table is
 empty, every text gets the share of toxic labels; other columns are not read.
 """
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import batches, columns, cut, let, texts
+from shroud.llm.common import batches, columns, cut, let, one_each, texts
 
 #: 0 space and everything that is no letter, 1-26 a-z, 27-31 bytes above 0x7F.
 SIGNS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256))
@@ -301,8 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(GRAMS, np.float16), None, (float(np.log(share / (1 - share))),))
     table, words = ratio_table(gram, n_toxic, n_plain), word_weights(counted)
-    chosen = marks.where(fit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = scored(rows.join(F.broadcast(chosen), "doc_id"), Model(table, words, ()), ["toxic"]).toArrow()  # fit_rows rows
+    chosen = marks.where(fit).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    sample = scored(cut(one_each(rows.join(F.broadcast(chosen), "doc_id"), "toxic", fit_rows)), Model(table, words, ()), ["toxic"]).toArrow()  # fit_rows rows
     x = np.stack([sample[c].to_numpy() for c in FEATURES], axis=1)
     y = sample["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():

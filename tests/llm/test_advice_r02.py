@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shroud.llm import host_rules, kn_toxicity, line_templates
+from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates
 from tests.llm.test_contracts import SCHEMA
 
 
@@ -39,3 +39,16 @@ def test_word_models_tell_expressions_that_the_signs_fold_together(spark):
     twice = frame.limit(1).unionByName(frame.limit(1))
     rounded = lambda rows: {tuple(round(x, 9) for x in r) for r in kn_toxicity.scored(rows, model, []).collect()}
     assert rounded(twice) == rounded(frame.limit(1))
+
+
+def test_repeated_rows_and_labels_do_not_fill_the_fit(spark, monkeypatch):
+    rows = [(i, f"text number {i} of {i % 2}", "a") for i in range(12)] + [(0, "text number 0 of 0", "a")] * 40 + [(1, f"other text {i}", "a") for i in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(2, 0)] * 30, "doc_id long, mark int")
+    seen = []
+    fit, logistic = fm_quality.fit, kn_toxicity._logistic
+    monkeypatch.setattr(fm_quality, "fit", lambda index, value, y, *a: seen.append(len(y)) or fit(index, value, y, *a))
+    monkeypatch.setattr(kn_toxicity, "_logistic", lambda x, y: seen.append(len(y)) or logistic(x, y))
+    fm_quality.train(frame, labels, F.lit(True), label_col="mark", fit_rows=24)
+    kn_toxicity.train(frame, labels, F.lit(True), F.lit(True), label_col="mark", fit_rows=24)
+    assert len(seen) == 2 and all(2 <= n <= 24 for n in seen)
