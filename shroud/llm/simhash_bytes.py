@@ -114,7 +114,11 @@ def near_links(nodes: DataFrame, max_bits: int = 2, posting_limit: int = POSTING
     flips = [F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64))]
     meet = crowded.select("fp", F.explode(F.transform(F.array(*flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("key"))
     met = meet.groupBy("key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    stars = met.select(F.explode("fps").alias("b"), F.array_min("fps").alias("a")).where("a < b")
+    if max_bits < 2:  # a link is where one end is the meeting value; its smallest neighbour may be two bits off
+        ends = met.where(F.array_contains("fps", F.col("key"))).select("key", F.explode("fps").alias("fp")).where("fp <> key")
+        stars = ends.select(F.greatest("key", "fp").alias("b"), F.least("key", "fp").alias("a")).distinct()
+    else:
+        stars = met.select(F.explode("fps").alias("b"), F.array_min("fps").alias("a")).where("a < b")
     return pairs.unionByName(stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b"))
 
 

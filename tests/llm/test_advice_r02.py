@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates
+from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates, simhash_bytes
+from tests.llm import brute
 from tests.llm.test_contracts import SCHEMA
 
 
@@ -52,3 +54,14 @@ def test_repeated_rows_and_labels_do_not_fill_the_fit(spark, monkeypatch):
     fm_quality.train(frame, labels, F.lit(True), label_col="mark", fit_rows=24)
     kn_toxicity.train(frame, labels, F.lit(True), F.lit(True), label_col="mark", fit_rows=24)
     assert len(seen) == 2 and all(2 <= n <= 24 for n in seen)
+
+
+@pytest.mark.parametrize("bits", [0, 1])
+def test_no_link_is_lost_in_crowded_postings_below_two_bits(spark, bits):
+    v = 2**50 + 1
+    fps = [v, v ^ 2**40, v ^ 1, v ^ 2**40 ^ 2**50] + [v ^ 2**i for i in range(2, 12)]
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r.node: r.root for r in simhash_bytes.components(simhash_bytes.near_links(nodes, bits, 2)).collect()}
+    want = brute.components([(f, f) for f in fps], bits)
+    same = lambda root: sorted(sorted(f for f in fps if root(f) == r) for r in {root(f) for f in fps})
+    assert same(lambda f: got.get(f, f)) == same(lambda f: want[f])
