@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,47 @@ def one_each(rows: DataFrame, label: str, limit: int) -> DataFrame:
     """One of the rows of equal ``doc_id``, label and text, and of these ``limit`` at most, by hash."""
     hashed = rows.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", label, "__text"])
     return hashed.orderBy(F.xxhash64("__text", "doc_id"), "__text", "doc_id", label).limit(limit).drop("__text")
+
+
+#: Bytes of the words of the search contracts: A-Z lower-cased, all other ASCII but digits and letters as space.
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def ascii_words(text: bytes) -> list[bytes]:
+    """The maximal runs of digits, letters and bytes beyond ASCII, A-Z lower-cased."""
+    return text.translate(_WORD_BYTES).split()
+
+
+class WordHashes(dict):
+    """64-bit hash of a word; keeps at most ``ENTRIES`` short words."""
+
+    ENTRIES, LONGEST = 1 << 18, 40
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.ENTRIES:
+                self.clear()
+            self[word] = value
+        return value
+
+
+#: Bits of a hash filter: 2 MB, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def hash_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of the long ``column`` (by its low bits): no false negatives,
+    a fixed size; with many keys it lets more through, and the join behind it decides."""
+    bit = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("w")).toArrow()  # at most 2**18 rows
+    out = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    out[words.column("at").to_numpy()] = words.column("w").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit keys the filter lets through."""
+    low = keys & np.uint64((1 << FILTER_BITS) - 1)
+    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) != 0

@@ -6,7 +6,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import bin_packing, fm_quality, host_rules, kn_toxicity, license_scan, line_templates, norm_topk, pareto_mix, simhash_bytes, token_fst
+from shroud.llm import (
+    ball_tree,
+    bin_packing,
+    fm_quality,
+    host_rules,
+    kn_toxicity,
+    license_scan,
+    line_templates,
+    norm_topk,
+    pareto_mix,
+    simhash_bytes,
+    token_fst,
+    whitening,
+    winnowing,
+)
 from shroud.llm.common import table
 
 SHINGLE, MAX_BITS = 3, 2
@@ -76,6 +90,18 @@ def op10_token_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op12_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_line_templates, op3_norm_topk, op4_pareto_mix, op5_fm_quality, op6_kn_toxicity, op7_host_rules, op8_simhash_bytes, op9_bin_packing, op10_token_fst, pipeline)
+    for f in (op1_license_scan, op2_line_templates, op3_norm_topk, op4_pareto_mix, op5_fm_quality, op6_kn_toxicity, op7_host_rules, op8_simhash_bytes, op9_bin_packing, op10_token_fst, op11_winnowing, op12_bit_whitening, op13_ball_tree, pipeline)
 }
 
 #: Quadratic in the vectors, for small tables.
@@ -166,5 +192,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distin
 FROM failing
 """
 
+#: Windows of ten words (or a whole shorter item) as texts instead of fingerprints.
+WINNOWING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item, w, least(10, len(w)) AS m FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)
+), places AS (
+  SELECT row_no, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT row_no, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m)
+), hits AS (
+  SELECT row_no, i, m, item FROM places JOIN windows USING (m, win)
+), marked AS (
+  SELECT row_no, count(DISTINCT place) AS n_hit FROM (SELECT row_no, unnest(range(i, i + m)) AS place FROM hits) GROUP BY row_no
+), named AS (
+  SELECT row_no, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY row_no
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (row_no) LEFT JOIN named USING (row_no)
+"""
+
+#: Every document scored for every item.
+RANKED_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL
+), tf AS (
+  SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(w) AS term FROM d) GROUP BY row_no, term
+), sums AS (
+  SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), asked AS (
+  SELECT query, item_id, term, count(*) AS times
+  FROM (SELECT row_number() OVER () AS query, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY query, item_id, term
+), scored AS (
+  SELECT query, item_id, row_no, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(w) * n) // l)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN d USING (row_no), sums GROUP BY query, item_id, row_no, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 #: Licence labels of the fuzzy search, models, fingerprints, samples and token ids have no SQL form: tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_line_templates": LINE_SQL, "op3_norm_topk": TOP_K_SQL, "op7_host_rules": HOST_SQL}
+ORACLES: dict[str, str] = {"op2_line_templates": LINE_SQL, "op3_norm_topk": TOP_K_SQL, "op7_host_rules": HOST_SQL, "op11_winnowing": WINNOWING_SQL, "op13_ball_tree": RANKED_SQL}
