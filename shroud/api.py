@@ -164,13 +164,15 @@ def redact(
 def vault(redacted: DataFrame, keys) -> DataFrame:
     """Token table from a ``redact(..., with_vault=True)`` result.
 
-    One row per replacement: keys, token, original_value, entity_type,
-    category, original_start, original_end, output_start, output_end.
+    One row per replacement: keys, text_id, token, original_value, entity_type,
+    category, original_start, original_end, output_start, output_end.  ``text_id``
+    is a hash of the redacted text: it tells rows of one key apart in ``restore``.
     """
     ks = _keys(keys)
-    v = redacted.select(*ks, F.explode_outer("replacements").alias("r")).where(F.col("r").isNotNull())
+    v = redacted.select(*ks, text_id().alias("text_id"), F.explode_outer("replacements").alias("r")).where(F.col("r").isNotNull())
     return v.select(
         *ks,
+        "text_id",
         "r.token",
         "r.original_value",
         "r.entity_type",
@@ -188,37 +190,34 @@ def restore_own(redacted: DataFrame, keys, text: str = "redacted_text") -> DataF
     return redacted.select(*ks, F.expr(restore_sql(ident(text), "replacements")).alias("restored_text"))
 
 
+def text_id(text: str = "redacted_text"):
+    """Which redacted text a vault row belongs to."""
+    return F.xxhash64(text)
+
+
 def restore(edited: DataFrame, vault_df: DataFrame, keys, text: str = "redacted_text") -> DataFrame:
     """Restore redacted or edited texts with a vault table.
 
-    The vault is first reduced to one row per key (partial aggregation before
-    the shuffle), then left-joined on the key; rows without vault entries keep
-    their text and get ``status = 'nothing_to_restore'``.  The join is an
-    ordinary equi-join: Spark broadcasts the reduced vault only when its
+    The vault is first reduced to one row per key and redacted text, then left-joined;
+    both joins are ordinary equi-joins: Spark broadcasts a side only when its
     measured size is under ``spark.sql.autoBroadcastJoinThreshold``; otherwise
     it shuffles both sides on the key (AQE splits skewed keys).
+
+    ``status`` is ``'restored'``, ``'nothing_to_restore'`` (no vault row of the key; the
+    text stays) or ``'ambiguous_key'``: rows of different texts share the key and the
+    text is none of them unchanged, or rows of equal redacted text have different
+    values.  An ambiguous text stays as it is: no value lands in another row's text.
     """
     ks = _keys(keys)
-    per_key = vault_df.groupBy(*ks).agg(
-        F.sort_array(  # position order: collect_list order is not defined after a shuffle
-        F.collect_list(
-            F.struct(
-                F.col("original_start"),
-                F.col("original_end"),
-                F.col("output_start"),
-                F.col("output_end"),
-                F.col("token"),
-                F.col("original_value"),
-                F.col("entity_type"),
-                F.col("category"),
-            )
-        ))
-        .cast(REPLACEMENT_TYPE)
-        .alias("__reps")
-    )
-    j = edited.join(per_key, on=ks, how="left")
-    return j.select(
-        *ks,
-        F.expr(restore_sql(ident(text), "__reps")).alias("restored_text"),
-        F.when(F.col("__reps").isNull(), F.lit("nothing_to_restore")).otherwise(F.lit("restored")).alias("status"),
-    )
+    names = ["original_start", "original_end", "output_start", "output_end", "token", "original_value", "entity_type", "category"]
+    own = vault_df if "text_id" in vault_df.columns else vault_df.withColumn("text_id", F.lit(0).cast("long"))
+    # position order: the order of a collected set is not defined after a shuffle; equal rows count once
+    per_text = own.groupBy(*ks, "text_id").agg(F.sort_array(F.collect_set(F.struct(*names))).cast(REPLACEMENT_TYPE).alias("__reps"))
+    per_key = own.groupBy(*ks).agg(F.min("text_id").alias("__one"), (F.min("text_id") != F.max("text_id")).alias("__several"))
+    marked = edited.select(*ks, F.col(text).alias("__text")).join(per_key, on=ks, how="left")
+    marked = marked.withColumn("text_id", F.when(F.col("__several"), text_id("__text")).otherwise(F.col("__one")))
+    j = marked.join(per_text, on=[*ks, "text_id"], how="left")
+    unclear = F.col("__reps").isNull() | (F.size(F.array_distinct(F.transform("__reps", lambda r: r["token"]))) < F.size("__reps"))
+    status = F.when(F.col("__one").isNull(), "nothing_to_restore").when(unclear, "ambiguous_key").otherwise("restored")
+    restored = F.when(status == "restored", F.expr(restore_sql("__text", "__reps"))).otherwise(F.col("__text"))
+    return j.select(*ks, restored.alias("restored_text"), status.alias("status"))

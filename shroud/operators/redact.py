@@ -92,15 +92,62 @@ def rewrite_sql(text: str, selected: str) -> str:
     return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(_work(selected), 'rs_', body)} END"
 
 
+#: What a token looks like.
+TOKEN_RE = "\\[[A-Z0-9_]+_[0-9]+\\]"
+#: Replacements of a row from which on the text is cut at its tokens once.
+ONE_PASS_FROM = 24
+
+
+def _token_by_token(text: str, replacements: str) -> str:
+    order = (
+        f"sort_array(transform({replacements}, "
+        f"(r_, i_) -> named_struct('k', -length(r_.token), 'i', i_, 't', r_.token, 'v', r_.original_value)))"
+    )
+    return f"aggregate({order}, {text}, (acc_, r_) -> replace(acc_, r_.t, r_.v))"
+
+
+def _one_pass(text: str, replacements: str) -> str:
+    """The text cut at its tokens, each looked up once.
+
+    Replacements and the text's tokens are sorted together by token; a running walk
+    gives each token of the text the first replacement of its name, as one long
+    (place in the text above place in the list + 1).
+    """
+    pattern = lit(TOKEN_RE)
+    known = f"transform({replacements}, (r_, i_) -> named_struct('t', r_.token, 'kind', 0, 'i', i_))"
+    met = "transform(toks_, (t_, i_) -> named_struct('t', t_, 'kind', 1, 'i', i_))"
+    same = "(st_ >= 0 AND get(mg_, st_).t = get(mg_, x_).t)"
+    walk = running(
+        "sequence(0, size(mg_) - 1)",
+        "-1",
+        f"IF(get(mg_, x_).kind = 0 AND NOT {same}, x_, st_)",
+        f"IF(get(mg_, x_).kind = 0, -1L, (CAST(get(mg_, x_).i AS BIGINT) * 4294967296L) | CAST(IF({same}, get(mg_, st_).i + 1, 0) AS BIGINT))",
+        "ARRAY<BIGINT>",
+    )
+    found = let(f"sort_array(concat({known}, {met}))", "mg_", f"sort_array(filter({walk}, w_ -> w_ >= 0))")
+    value = f"IF(f_ & 4294967295L = 0, get(toks_, i_), get({replacements}, CAST(f_ & 4294967295L AS INT) - 1).original_value)"
+    joined = f"array_join(transform({found}, (f_, i_) -> concat({value}, get(gaps_, i_ + 1))), '')"
+    # array_join takes the gaps' texts as they are; a null value stays a null result, as in a replacement
+    body = f"concat(get(gaps_, 0), IF(size(toks_) = 0, '', {joined}))"
+    return let(f"split({text}, {pattern}, -1)", "gaps_", let(f"regexp_extract_all({text}, {pattern}, 0)", "toks_", body))
+
+
 def restore_sql(text: str, replacements: str) -> str:
     """Replace every token by its value, longest token first, stable by position.
 
     Works on the redacted text or on an edited copy of it.  A literal token
     already present in the input, or a restored value that contains a later
     token, is replaced too (same behaviour as the reference).
+
+    With many replacements the text is cut at its tokens once.  That differs from the
+    order above only where a value, or a value with what stands around it, shows a
+    token that is still to be replaced; the result then shows one of the row's tokens,
+    and such rows (and tokens of another form, and null values) go token by token.
     """
-    order = (
-        f"sort_array(transform(coalesce({replacements}, {empty(REPLACEMENT_TYPE)}), "
-        f"(r_, i_) -> named_struct('k', -length(r_.token), 'i', i_, 't', r_.token, 'v', r_.original_value)))"
-    )
-    return f"aggregate({order}, {text}, (acc_, r_) -> replace(acc_, r_.t, r_.v))"
+    tokens = "transform(reps_, r_ -> r_.token)"
+    plain = f"forall(reps_, r_ -> r_.original_value IS NOT NULL AND regexp_like(r_.token, {lit('^' + TOKEN_RE + '$')}))"
+    slow = _token_by_token(text, "reps_")
+    clean = f"NOT arrays_overlap(regexp_extract_all(once_, {lit(TOKEN_RE)}, 0), {tokens})"
+    fast = let(_one_pass(text, "reps_"), "once_", f"IF({clean}, once_, {slow})")
+    body = f"CASE WHEN size(reps_) < {ONE_PASS_FROM} THEN {slow} WHEN {plain} THEN {fast} ELSE {slow} END"
+    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(f'coalesce({replacements}, {empty(REPLACEMENT_TYPE)})', 'reps_', body)} END"

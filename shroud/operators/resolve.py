@@ -5,8 +5,8 @@ emission order); a candidate is kept if it overlaps no kept one (half-open
 spans: touching spans do not overlap); the kept set is returned by start.
 
 Pure projection, no shuffle.  The greedy loop runs inside islands of overlapping
-hits only, so a row costs as much as its largest island squared, not its hits
-squared; candidates that are already pairwise disjoint are returned as they are.
+hits only, and within one looks at a candidate's two neighbours among the kept
+spans; candidates that are already pairwise disjoint are returned as they are.
 """
 
 from __future__ import annotations
@@ -15,19 +15,31 @@ from shroud.functions.spans import let, running
 
 
 def _greedy(by_start: str) -> str:
-    """Greedy selection over ``by_start``; the accumulator holds only (start, end, index) ints."""
+    """Greedy selection over ``by_start``, best rank first.
+
+    The kept spans are disjoint, so a list of them in order of start decides by its
+    two neighbours whether a candidate fits: its place is found by halving.  An entry
+    is one long, start above index, so that copying the list costs little.
+    """
     ranked = (
         f"sort_array(transform({by_start}, (r_, i_) -> named_struct('neg_len', r_.start - r_.`end`, "
         f"'priority', r_.priority, 'start', r_.start, 'emission', r_.emission, 'i', i_)))"
     )
-    cand = f"get({by_start}, x_.i)"
-    step = (
-        f"(k_, x_) -> IF(exists(k_, a_ -> a_.s < {cand}.`end` AND {cand}.start < a_.e), k_, "
-        f"concat(k_, array(named_struct('s', {cand}.start, 'e', {cand}.`end`, 'i', x_.i))))"
+    entry = lambda k: f"get({by_start}, CAST({k} & 4294967295L AS INT))"
+    halve = let(
+        "(b_.lo + b_.hi) DIV 2",
+        "mid_",
+        "IF(b_.lo >= b_.hi, b_, IF(shiftright(get(k_, CAST(mid_ AS INT)), 32) <= x_.start, "
+        "named_struct('lo', mid_ + 1, 'hi', b_.hi), named_struct('lo', b_.lo, 'hi', mid_)))",
     )
-    kept = f"aggregate({ranked}, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, i: INT>>), {step})"
-    # kept spans are disjoint, so sorting by start orders them completely
-    return f"transform(sort_array({kept}), a_ -> get({by_start}, a_.i))"
+    place = "aggregate(steps_, named_struct('lo', 0L, 'hi', CAST(size(k_) AS BIGINT)), (b_, s_) -> " + halve + ", b_ -> CAST(b_.lo AS INT))"
+    before, after = entry("get(k_, at_ - 1)"), "shiftright(get(k_, at_), 32)"
+    blocked = f"(coalesce({before}.`end` > x_.start, FALSE) OR coalesce({after} < x_.start - x_.neg_len, FALSE))"
+    put = "array_insert(k_, at_ + 1, (CAST(x_.start AS BIGINT) * 4294967296L) | CAST(x_.i AS BIGINT))"
+    step = f"(k_, x_) -> {let(place, 'at_', f'IF({blocked}, k_, {put})')}"
+    steps = f"sequence(1, CAST(ceil(log2(size({by_start}) + 1)) AS INT))"
+    kept = let(steps, "steps_", f"aggregate({ranked}, CAST(array() AS ARRAY<BIGINT>), {step})")
+    return f"transform({kept}, a_ -> {entry('a_')})"
 
 
 def _by_islands() -> str:

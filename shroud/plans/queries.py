@@ -139,7 +139,7 @@ def redacted_text(spark, sf_dir):
 
 def replacement_offsets(spark, sf_dir):
     red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True)
-    return api.vault(red, "doc_id")
+    return api.vault(red, "doc_id").drop("text_id")
 
 
 def counts_by_type(spark, sf_dir):
@@ -256,7 +256,7 @@ def stream_vault(spark, sf_dir):
     sdf = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     red = redact_stream(sdf, "doc_id", "text", with_vault=True)
     write_redacted_and_vault(red, ["doc_id"], base + "/out", base + "/checkpoint", vault_path=base + "/vault").awaitTermination()
-    return spark.read.parquet(base + "/vault").drop("stream_id", "batch_id")
+    return spark.read.parquet(base + "/vault").drop("stream_id", "batch_id", "text_id")
 
 
 def type_totals(spark, sf_dir):
