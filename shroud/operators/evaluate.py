@@ -49,10 +49,10 @@ def recall_report(expected: DataFrame, redacted: DataFrame, keys, expected_col:
 def roundtrip_failures(redacted_with_vault: DataFrame, keys) -> DataFrame:
     """Rows where restoring the redacted text does not give back the normalised text (Q1)."""
     ks = _keys(keys)
-    restored = F.expr(restore_sql(ident("redacted_text"), "replacements"))
-    return redacted_with_vault.select(*ks, "original_text", restored.alias("restored_text")).where(
-        ~F.col("restored_text").eqNullSafe(F.col("original_text"))
-    )
+    both = f"array(named_struct('original_text', original_text, 'restored_text', {restore_sql(ident('redacted_text'), 'replacements')}))"
+    # kept by a generator: a filter would be pushed below the redaction, which would then run once for each mention
+    differing = f"filter({both}, b_ -> NOT (b_.original_text <=> b_.restored_text))"
+    return redacted_with_vault.select(*ks, F.inline(F.expr(differing)))
 
 
 def toggle_leaks(findings: DataFrame, toggles: dict[str, bool]) -> DataFrame:

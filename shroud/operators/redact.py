@@ -31,8 +31,8 @@ def token_prefix_sql(entity_type: str) -> str:
 _COUNTS_TYPE = "ARRAY<STRUCT<`p`: STRING, `n`: INT>>"
 
 
-def _work(selected: str) -> str:
-    """Replacement records (+ prefix) for matches sorted by start.
+def _work(selected: str, given: str) -> str:
+    """Replacement records (+ prefix) for matches sorted by start; ``given``: numbers per prefix that went out before.
 
     One running walk over the hits carries only integers - the output shift
     before each hit and its token number (from a tiny per-prefix counter); the
@@ -50,7 +50,7 @@ def _work(selected: str) -> str:
     hits = f"transform(ms_, m_ -> named_struct('p', {token_prefix_sql('m_.entity_type')}, 'len', m_.`end` - m_.start))"
     walk = running(
         hits,
-        f"named_struct('delta', 0, 'counts', {empty(_COUNTS_TYPE)})",
+        f"named_struct('delta', 0, 'counts', CAST({given} AS {_COUNTS_TYPE}))",
         step,
         f"named_struct('num', {num}, 'delta', st_.delta, 'p', x_.p)",
         "ARRAY<STRUCT<`num`: INT, `delta`: INT, `p`: STRING>>",
@@ -69,8 +69,11 @@ def _count_map(keys: str) -> str:
     return let(keys, "ks_", "map_from_entries(transform(array_distinct(ks_), k_ -> named_struct('key', k_, 'value', size(filter(ks_, y_ -> y_ = k_)))))")
 
 
-def rewrite_sql(text: str, selected: str) -> str:
-    """SQL struct<redacted_text, replacements, token_to_original, counts_by_type, counts_by_category>."""
+def rewrite_sql(text: str, selected: str, given: str = "array()") -> str:
+    """SQL struct<redacted_text, replacements, token_to_original, counts_by_type, counts_by_category>.
+
+    ``given``: array of (prefix, number) that went out before this text, where it is a piece of a longer one.
+    """
     # substring walks its text from the front: cut each chunk of hits out first, then its gaps
     gap_from = "IF(i_ = 0, from_, get(q_, i_ - 1).original_end)"
     pieces = (
@@ -89,7 +92,7 @@ def rewrite_sql(text: str, selected: str) -> str:
         f"'counts_by_type', {_count_map('transform(rs_, r_ -> r_.prefix)')}, "
         f"'counts_by_category', {_count_map('transform(rs_, r_ -> r_.category)')})"
     )
-    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(_work(selected), 'rs_', body)} END"
+    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(_work(selected, given), 'rs_', body)} END"
 
 
 #: What a token looks like.
@@ -146,8 +149,9 @@ def restore_sql(text: str, replacements: str) -> str:
     """
     tokens = "transform(reps_, r_ -> r_.token)"
     plain = f"forall(reps_, r_ -> r_.original_value IS NOT NULL AND regexp_like(r_.token, {lit('^' + TOKEN_RE + '$')}))"
-    slow = _token_by_token(text, "reps_")
+    slow = _token_by_token("given_", "reps_")
     clean = f"NOT arrays_overlap(regexp_extract_all(once_, {lit(TOKEN_RE)}, 0), {tokens})"
-    fast = let(_one_pass(text, "reps_"), "once_", f"IF({clean}, once_, {slow})")
-    body = f"CASE WHEN size(reps_) < {ONE_PASS_FROM} THEN {slow} WHEN {plain} THEN {fast} ELSE {slow} END"
-    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(f'coalesce({replacements}, {empty(REPLACEMENT_TYPE)})', 'reps_', body)} END"
+    fast = let(_one_pass("given_", "reps_"), "once_", f"IF({clean}, once_, {slow})")
+    body = f"CASE WHEN given_ IS NULL THEN NULL WHEN size(reps_) < {ONE_PASS_FROM} THEN {slow} WHEN {plain} THEN {fast} ELSE {slow} END"
+    # both inputs are named once: where a filter is pushed below the projection that makes them, they are made once
+    return let(text, "given_", let(f"coalesce({replacements}, {empty(REPLACEMENT_TYPE)})", "reps_", body))

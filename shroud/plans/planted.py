@@ -17,7 +17,7 @@ from shroud import api
 from shroud.config import RedactionConfig
 from shroud.functions import rules as R
 from shroud.functions.normalize import normalize_column
-from shroud.operators import evaluate, stats
+from shroud.operators import audit, chunked, evaluate, stats
 from shroud.operators.detect import rule_spans
 from shroud.operators.redact import restore_sql
 
@@ -155,6 +155,46 @@ def planted_ner(spark, sf_dir):
     )
 
 
+NAME = f"'Clara, N' || {KEY} || '; of ' || {KEY}"
+
+
+def planted_ner_chunks(spark, sf_dir):
+    """Spans of a model over the seams of chunks of a few characters, and inside them; one names the other's part."""
+    base = _orders(spark, sf_dir)
+    texts = base.select(K, F.expr(f"'met ' || {NAME} || ', and a@b.co!'").alias("text"))
+    spans = base.select(K, F.explode(F.expr(
+        f"array(named_struct('s', 4, 'e', 4 + length({NAME}), 'l', 'PERSON'), named_struct('s', 4, 'e', 9, 'l', 'GPE'), named_struct('s', 0, 'e', 3, 'l', 'LOC'))"
+    )).alias("x")).select(K, F.col("x.s").alias("start"), F.col("x.e").alias("end"), F.col("x.l").alias("label"))
+    red = chunked.redact_long(texts, K, "text", ner=spans, with_vault=True, chunk_chars=3)
+    return chunked.vault(red, K).select(K, "token", "original_value", F.col("output_start").cast("int").alias("output_start"))
+
+
+def planted_literals(spark, sf_dir):
+    """Texts that quote tokens: the audit lists them, and tells which break the round trip."""
+    text = f"{_EMAIL} || CASE {K} % 3 WHEN 0 THEN ' quotes [EMAIL_1]' WHEN 1 THEN ' quotes [EMAIL_2]' ELSE ' quotes [EMAIL]' END"
+    found = audit.literal_tokens(_orders(spark, sf_dir).select(K, F.expr(text).alias("text")), K, "text")
+    return found.select(K, "start", "end", "literal", "assigned", "fails")
+
+
+def planted_literal_failures(spark, sf_dir):
+    """Held against the round trip: the rows that fail it, and the rows with a failing literal."""
+    text = f"{_EMAIL} || CASE {K} % 3 WHEN 0 THEN ' quotes [EMAIL_1]' WHEN 1 THEN ' quotes [EMAIL_2]' ELSE ' quotes [EMAIL]' END"
+    df = _orders(spark, sf_dir).select(K, F.expr(text).alias("text"))
+    failing = evaluate.roundtrip_failures(api.redact(df, K, "text", with_vault=True), K).select(K, F.lit(True).alias("fails"))
+    told = audit.literal_tokens(df, K, "text").where("fails").select(K, F.lit(True).alias("told")).distinct()
+    return failing.join(told, K, "full").select(K, "fails", "told")
+
+
+def planted_repeated_keys(spark, sf_dir):
+    """Two rows a key: equal redacted texts with different values stay as they are, others get their own values."""
+    base = _orders(spark, sf_dir)
+    first = F.expr(f"{_EMAIL}")
+    second = F.expr(f"CASE {K} % 2 WHEN 0 THEN 'v' || {KEY} || '@mail.example.org' ELSE {_SSN} END")
+    rows = base.select(K, first.alias("text")).unionByName(base.select(K, second.alias("text")))
+    red = api.redact(rows, K, "text", with_vault=True)
+    return api.restore(red.select(K, "redacted_text"), api.vault(red, K), K)
+
+
 def planted_custom_dedupe(spark, sf_dir):
     """One place found by a regex and by two keywords is one candidate."""
     cfg = RedactionConfig(enabled_categories=_only("custom"), custom_regex=["alpha"], custom_keywords=["ALPHA", "alpha"])
@@ -228,6 +268,16 @@ def _oracles() -> dict[str, str]:
         "planted_ner": f"""
           SELECT {K}, 0 AS start, 3 AS "end", CASE {K} % 4 WHEN 0 THEN 'PERSON' ELSE 'LOCATION' END AS entity_type, 'ที่' AS value,
                  CASE {K} % 4 WHEN 0 THEN 'pii' ELSE 'location' END AS category FROM orders WHERE {K} % 4 < 3""",
+        "planted_ner_chunks": f"""
+          SELECT {K}, '[LOCATION_1]' AS token, 'met' AS original_value, 0 AS output_start FROM orders
+          UNION ALL SELECT {K}, '[PERSON_1]', {NAME}, 13 FROM orders UNION ALL SELECT {K}, '[EMAIL_1]', 'a@b.co', 29 FROM orders""",
+        "planted_literals": f"""
+          SELECT {K}, CAST(length({_EMAIL}) + 8 AS INTEGER) AS start, CAST(length({_EMAIL}) + 17 AS INTEGER) AS "end", '[EMAIL_' || CAST({K} % 3 + 1 AS STRING) || ']' AS literal,
+                 {K} % 3 = 0 AS assigned, {K} % 3 = 0 AS fails FROM orders WHERE {K} % 3 < 2""",
+        "planted_literal_failures": f"SELECT {K}, TRUE AS fails, TRUE AS told FROM orders WHERE {K} % 3 = 0",
+        "planted_repeated_keys": f"""
+          SELECT {K}, CASE {K} % 2 WHEN 0 THEN '[EMAIL_1]' ELSE {_EMAIL} END AS restored_text, CASE {K} % 2 WHEN 0 THEN 'ambiguous_key' ELSE 'restored' END AS status FROM orders
+          UNION ALL SELECT {K}, CASE {K} % 2 WHEN 0 THEN '[EMAIL_1]' ELSE {_SSN} END, CASE {K} % 2 WHEN 0 THEN 'ambiguous_key' ELSE 'restored' END FROM orders""",
         "planted_custom_dedupe": f"SELECT {K}, {lead} AS start, {lead} + 5 AS \"end\", 'CUSTOM' AS entity_type, 'Alpha' AS value FROM orders",
         "planted_catalogue": f"SELECT {K}, {lead} AS start, CAST({lead} + 4 + length({KEY}) AS INTEGER) AS \"end\", 'ORDER_KEY' AS entity_type, 'ord-' || {KEY} AS value FROM orders",
         "planted_window_counts": f"SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, entity_type, count(*) AS n FROM ({rows}) GROUP BY ALL",

@@ -14,7 +14,7 @@ from shroud import api
 from shroud.config import RedactionConfig
 from shroud.functions import rules as R
 from shroud.functions.normalize import normalize_column
-from shroud.operators import stats
+from shroud.operators import chunked, stats
 from shroud.operators.detect import rule_spans
 from shroud.plans import oracles as O
 from shroud.plans import planted
@@ -259,6 +259,43 @@ def stream_vault(spark, sf_dir):
     return spark.read.parquet(base + "/vault").drop("stream_id", "batch_id", "text_id")
 
 
+#: Characters of a chunk in the queries on chunks: small, so that every document has seams inside.
+CHUNK_CHARS = 200
+
+
+def chunked_redacted(spark, sf_dir):
+    """Every document cut into chunk rows, redacted, and put together again."""
+    red = chunked.redact_long(_docs(spark, sf_dir), "doc_id", "text", chunk_chars=CHUNK_CHARS)
+    return chunked.assembled(red, "doc_id").select("doc_id", "redacted_text")
+
+
+def chunked_offsets(spark, sf_dir):
+    """Tokens and offsets by prefix sums over chunks."""
+    red = chunked.redact_long(_docs(spark, sf_dir), "doc_id", "text", with_vault=True, chunk_chars=CHUNK_CHARS)
+    places = ("original_start", "original_end", "output_start", "output_end")
+    found = chunked.vault(red, "doc_id")
+    return found.select(*(F.col(c).cast("int").alias(c) if c in places else c for c in found.columns))
+
+
+#: Files of the range query: some hundred documents each, one line end behind each document.
+RANGE_FILES = 8
+
+
+def file_ranges_offsets(spark, sf_dir):
+    """Documents as a few long files, read in byte ranges far smaller than a file; hits with their place in the file."""
+    from shroud.sources.ranges import read_text_chunks
+
+    base = _scratch(spark, "ranges")
+    lines = _docs(spark, sf_dir).withColumn("part", F.col("doc_id") % RANGE_FILES)
+    lines.repartition(RANGE_FILES, "part").sortWithinPartitions("part", "doc_id").select("text", "part").write.partitionBy("part").text(base)
+    session = spark.newSession()  # the size of a range is this reader's own setting
+    session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    pieces = read_text_chunks(session, base, chunk_chars=CHUNK_CHARS)
+    found = chunked.vault(chunked.redact_chunks(pieces, "path", with_vault=True), "path")
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")
+    return found.select(part, "token", "original_value", F.col("original_start").cast("int").alias("original_start"), F.col("output_start").cast("int").alias("output_start"))
+
+
 def type_totals(spark, sf_dir):
     found = api.scan(_docs(spark, sf_dir), "doc_id", "text")
     return stats.type_totals(found)
@@ -326,6 +363,10 @@ def _oracles() -> dict[str, str]:
         "'[\\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x{85}\\p{Z}]+', '', 'g')) = 0 THEN 'empty' ELSE 'ok' END AS input_status "
         "FROM conversations"
     )
+    out["chunked_redacted"] = out["redacted_text"]
+    out["chunked_offsets"] = out["replacement_offsets"]
+    long_files = f"(SELECT doc_id % {RANGE_FILES} AS k, string_agg(text || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+    out["file_ranges_offsets"] = f"SELECT k AS part, token, original_value, original_start, output_start FROM {O.replacements_sql(long_files)}"
     out["stream_redact"] = out["redacted_text"]
     out["stream_vault"] = out["replacement_offsets"]
     files_src = "(SELECT doc_id AS k, text || chr(10) AS text FROM documents)"
@@ -358,6 +399,9 @@ QUERIES.update(
         "type_totals": type_totals,
         "normalized_text": normalized_text,
         "input_status": input_status,
+        "chunked_redacted": chunked_redacted,
+        "chunked_offsets": chunked_offsets,
+        "file_ranges_offsets": file_ranges_offsets,
         "stream_redact": stream_redact,
         "stream_vault": stream_vault,
         "text_files_redact": text_files_redact,

@@ -39,7 +39,8 @@ def read_text_files(
     """``path, name, text, error`` per file; ``extensions=None`` accepts every file.
 
     A file that is not read has a null text and its reason in ``error``: another
-    suffix, more than ``max_bytes``, or bytes that are not UTF-8.
+    suffix, more than ``max_bytes`` (what a value holds; ``sources.ranges`` reads files of
+    any size, as chunks), or bytes that are not UTF-8.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     files = files.withColumn("name", F.element_at(F.split(F.col("path"), "/"), -1))
