@@ -1,15 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Word models: every labelled document's words, unfolded (lower-cased runs of letters,
-marks and digits of any script; other signs one by one), are counted by Spark as
-grams of one to three words per class.  Counts, continuation counts, backoff and the
-log ratio of the classes are DataFrames keyed by gram (a 64-bit hash), so what is
-gathered grows with the input and nothing of it reaches the driver but a few sums
-per order.  A ratio is split into a part of the gram and a part of its context, so
-that a document's sum needs no order of its words: its grams join the weights, and
-sums return by row.  Grams with more than one in ``FREQUENT`` of all places (hence
-at most ``FREQUENT`` per order) join by broadcast and are summed where they stand;
-the others are shuffled.
+marks and digits of any script; other signs one by one), are counted as pairs of
+neighbours.  A task adds up its own pairs first; Spark sums these, and words, contexts
+and continuation counts all come from the one table of pairs, so what is gathered
+grows with the input.  A class's probability of a word behind another is the
+discounted share of the pair plus, for what is left, the shared backoff: the number of
+different words of either class that stand before it (and the same one order lower).
+Words and pairs whose share in the classes differs by chance at most (``LEAST_G``, a
+relative entropy of their counts) are left to the shared backoff, which is the same
+for both classes: their ratio is 0.  The others' log ratios are a table keyed by a
+64-bit hash.  A text's grams that a filter of fixed size lets through are joined with
+it and summed by row: by broadcast if it is small (``BROADCAST_ROWS``, counted), else
+shuffled, but for grams of more than one in ``FREQUENT`` of all places, which are few.
 
 Character models: one of toxic and one of ordinary texts, of order five, for words
 that were never learned.  They share their lower orders: what neither class has seen
@@ -17,9 +20,9 @@ backs off to continuation counts pooled over both.  Characters are read through
 fixed alphabet of 32 signs (space, a-z, five classes of other bytes), so this part
 has at most 2**25 grams; its counts are summed by Spark over the same documents.
 
-A text's features are the word models' mean ratio per order and largest weight, the
-character models' mean ratio and that of its most toxic words; a logistic, fitted
-on labelled documents that were not counted, gives the score.
+A text's features are the word models' ratio per place of each order and its largest
+one, the character models' mean ratio and that of its most toxic words; a logistic,
+fitted on labelled documents that were not counted, gives the score.
 
 Defined results: null and empty texts are scored as texts without words;
 repeated rows and null ids are kept row by row (a row without an id is never
@@ -37,10 +40,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import batches, columns, cut, let, one_each, texts
+from shroud.llm.common import WordHashes, batches, columns, cut, hash_filter, may_hold, one_each, texts, written
 
 #: 0 space and everything that is no letter, 1-26 a-z, 27-31 bytes above 0x7F.
 SIGNS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256))
@@ -50,10 +54,12 @@ GRAMS, CONTEXTS = 1 << BITS * ORDER, 1 << BITS * (ORDER - 1)
 COUNTED_AT_ONCE = 4_000_000
 #: Labelled documents, at most, on which the logistic is fitted.
 FIT_ROWS = 6000
-#: Grams of more than one in so many places join by broadcast.
-FREQUENT = 1 << 16
-WORDS = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
-FEATURES = ("mean", "top", "word1", "word2", "word3", "most")
+#: Grams of more than one in so many places are few; weights that are broadcast at most (16 bytes each).
+FREQUENT, BROADCAST_ROWS = 1 << 16, 1_000_000
+#: A gram is weighed if 2 * n * relative entropy (of its classes' counts to the corpus') reaches this: one in ten by chance.
+LEAST_G = 2.71
+WORDS = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]")
+FEATURES = ("mean", "top", "word1", "word2", "most")
 
 
 def signs(text: bytes) -> np.ndarray:
@@ -160,110 +166,115 @@ def features(table: np.ndarray, text: bytes) -> tuple[float, float]:
     return float(ratio.mean()), float(top.sum() / 3)
 
 
-def _word_hashes(text: Column) -> Column:
-    """Hashes of the words between two starts and an end, which no word equals."""
-    read = F.concat(F.array(F.lit(""), F.lit("")), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0)), F.array(F.lit(" ")))
-    return F.transform(read, lambda w: F.xxhash64(w))
+START, END = np.uint64(0), np.uint64(1)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _key(*words: Column) -> Column:
-    return F.xxhash64(F.lit(len(words)), *words)
+def word_hashes(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the words between a start and an end."""
+    words = WORDS.findall(text.decode().lower())
+    return np.r_[START, np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), END]
 
 
-def _places(hashes: Column, body) -> Column:
-    """``body(u, v, w)`` for every word (and the end) with the two before it."""
-    return F.transform(F.sequence(F.lit(2), F.size(hashes) - 1), lambda i: body(F.get(hashes, i - 2), F.get(hashes, i - 1), F.get(hashes, i)))
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    key = (before * _MULTIPLIER) ^ (word + (before >> np.uint64(29)))
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(31))
 
 
-def _sums(frame: DataFrame, *names: str) -> list[dict]:
-    """Per ``n`` of the frame: discount, total and kinds of each named count."""
-    found = []
-    for name in names:
-        c = F.col(name)
-        found += [F.sum((c == 1).cast("long")).alias(f"{name}_1"), F.sum((c == 2).cast("long")).alias(f"{name}_2"), F.sum(c).alias(f"{name}_total"), F.sum((c > 0).cast("long")).alias(f"{name}_kinds")]
-    out = {}
-    for row in frame.groupBy("n").agg(*found).collect():  # a row per order
-        out[row["n"]] = {x: (row[f"{x}_1"] / (row[f"{x}_1"] + 2 * row[f"{x}_2"]) if row[f"{x}_1"] else 0.5, row[f"{x}_total"], row[f"{x}_kinds"]) for x in names}
+def pair_counts(labelled: DataFrame) -> DataFrame:
+    """From ``text, toxic``: ``v, w`` (hashes of neighbours), ``n_toxic``, ``n_plain``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, size = WordHashes(), 0
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
+
+        def counted() -> pa.RecordBatch:
+            v, w = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            toxic = np.repeat([h[2] for h in held], [len(h[0]) for h in held])
+            order = np.lexsort((w, v))
+            v, w, toxic = v[order], w[order], toxic[order]
+            first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+            n, t = np.diff(np.r_[first, len(v)]), np.add.reduceat(toxic, first)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(t, pa.int64()), pa.array(n - t, pa.int64())], ["v", "w", "n_toxic", "n_plain"])
+
+        for batch in batches(parts):
+            for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                h = word_hashes(text, hashes)
+                held.append((h[:-1], h[1:], int(toxic)))
+                size += len(h)
+                if size >= COUNTED_AT_ONCE:
+                    yield counted()
+                    size = 0
+        if held:
+            yield counted()
+
+    found = labelled.select("text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).mapInArrow(run, "v bigint, w bigint, n_toxic bigint, n_plain bigint")
+    return found.groupBy("v", "w").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_plain").alias("n_plain"))
+
+
+def _discounts(counts: DataFrame, *names: str) -> dict[str, float]:
+    """The share taken from every seen gram, n1 / (n1 + 2 * n2), of each named count."""
+    row = counts.agg(*(F.sum((F.col(c) == i).cast("long")).alias(f"{c}_{i}") for c in names for i in (1, 2))).first()
+    return {c: row[f"{c}_1"] / (row[f"{c}_1"] + 2 * row[f"{c}_2"]) if row[f"{c}_1"] else 0.5 for c in names}
+
+
+def _differs(toxic: int, plain: int) -> Column:
+    """Whether the gram's counts differ from the corpus' shares by more than chance."""
+    n = F.col("n_toxic") + F.col("n_plain")
+    part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * share))).otherwise(0.0)
+    return 2 * (part("n_toxic", toxic / (toxic + plain)) + part("n_plain", plain / (toxic + plain))) >= LEAST_G
+
+
+def _ratio(below: Column, discounts: dict[str, float], total: dict[str, Column], kinds: dict[str, Column]) -> Column:
+    """log P(toxic) - log P(plain) of a gram, from its counts, its context's and the shared backoff."""
+    out = F.lit(0.0)
+    for sign, side in ((1.0, "n_toxic"), (-1.0, "n_plain")):
+        d, t = discounts[side], total[side]
+        left = F.when(t > 0, F.lit(d) * kinds[side] / t).otherwise(1.0)
+        out += F.lit(sign) * F.log(F.when(t > 0, F.greatest(F.col(side) - d, F.lit(0.0)) / t).otherwise(0.0) + left * below)
     return out
 
 
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """From ``text, toxic``: ``n`` (the order), ``gram``, its context ``ctx`` and its end ``suf``, ``n_toxic``, ``n_plain``."""
-
-    def grams(u: Column, v: Column, w: Column) -> Column:
-        none = F.lit(0).cast("long")
-        of = lambda n, gram, ctx, suf: F.struct(F.lit(n).alias("n"), gram.alias("gram"), ctx.alias("ctx"), suf.alias("suf"))
-        return F.array(of(1, _key(w), none, none), of(2, _key(v, w), _key(v), _key(w)), of(3, _key(u, v, w), _key(u, v), _key(v, w)))
-
-    placed = labelled.select("toxic", F.explode(let(_word_hashes(F.col("text")), lambda h: F.flatten(_places(h, grams)))).alias("g")).select("toxic", "g.*")
-    return placed.groupBy("n", "gram", "ctx", "suf").agg(F.sum((F.col("toxic") == 1).cast("long")).alias("n_toxic"), F.sum((F.col("toxic") != 1).cast("long")).alias("n_plain"))
-
-
-def word_weights(labelled: DataFrame) -> DataFrame:
-    """``gram, f1, f2, f3, n, places``: what a gram adds to a text's log ratio of each
-    order (as a gram of its own order, and as the context of the next one)."""
-    counts = cut(word_counts(labelled))
-    sums = _sums(counts, "n_toxic", "n_plain")
-    if not sums:
-        return cut(counts.select("gram", *(F.lit(0.0).alias(f"f{n}") for n in (1, 2, 3)), F.col("n_toxic").alias("n"), F.col("n_plain").alias("places")))
-    places = sums[1]["n_toxic"][1] + sums[1]["n_plain"][1]
-    # how many different words stand before a gram of one word, and of two
-    before = cut(counts.where("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("suf").alias("gram")).agg(F.count("*").alias("m")))
-    (d1, total1, kinds1), (d2, _, _) = (_sums(before, "m")[n]["m"] for n in (1, 2))
-    floor = 1.0 / (kinds1 + 1)
-    back1 = before.where("n = 1").select(F.col("gram").alias("suf"), ((F.greatest(F.col("m") - d1, F.lit(0.0)) + d1 * kinds1 * floor) / total1).alias("below"))
-    pairs = counts.where("n = 2").select("gram", "ctx", "suf").join(before.where("n = 2").select("gram", "m"), "gram")
-    after = pairs.groupBy("ctx").agg(F.sum("m").alias("total"), F.count("*").alias("kinds"))
-    own2 = (F.greatest(F.col("m") - d2, F.lit(0.0)) + d2 * F.col("kinds") * F.col("below")) / F.col("total")
-    back2 = pairs.join(back1, "suf").join(after, "ctx").select(F.col("gram").alias("suf"), own2.alias("below"))
-    parts = []
-    for n, back in ((1, None), (2, back1), (3, back2)):
-        own = counts.where(F.col("n") == n)
-        own = own.withColumn("below", F.lit(floor)) if back is None else own.join(back, "suf")
-        seen, unseen = F.lit(0.0), F.lit(0.0)
-        for sign, side in ((1.0, "n_toxic"), (-1.0, "n_plain")):
-            d, total, kinds = sums[n][side]
-            t, k = (F.lit(total), F.lit(kinds)) if back is None else (F.col(f"{side}_total"), F.col(f"{side}_kinds"))
-            left = F.when(t > 0, F.lit(d) * k / t).otherwise(1.0)
-            seen += F.lit(sign) * F.log(F.when(t > 0, F.greatest(F.col(side) - d, F.lit(0.0)) / t).otherwise(0.0) + left * F.col("below"))
-            unseen += F.lit(sign) * F.log(left)
-        f = lambda value, n=n: [(value if j == n else F.lit(0.0)).alias(f"f{j}") for j in (1, 2, 3)]
-        if back is not None:
-            contexts = counts.where(F.col("n") == n).groupBy("ctx").agg(*(g for x in ("n_toxic", "n_plain") for g in (F.sum(x).alias(f"{x}_total"), F.sum((F.col(x) > 0).cast("long")).alias(f"{x}_kinds"))))
-            parts.append(contexts.select(F.col("ctx").alias("gram"), *f(unseen), F.lit(0).cast("long").alias("n")))
-            own = own.join(contexts, "ctx")
-        parts.append(own.select("gram", *f(seen - unseen), (F.col("n_toxic") + F.col("n_plain")).alias("n")))
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
-    return cut(joined.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("f1", "f2", "f3", "n"))).withColumn("places", F.lit(places).cast("long")))
-
-
-def word_features(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """``doc_id, row_key`` (from ``doc_id, row_key, text``; equal rows once) and ``word1, word2, word3, most``."""
-    common = F.col("n") * FREQUENT > F.col("places")
-    f = ["f1", "f2", "f3"]
-    tally = weights.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram"), *(F.lit(0.0).alias(c) for c in f), F.lit(1).cast("long").alias("copies"))
-    frequent = F.broadcast(weights.where(common).select("gram", *f, F.lit(0).cast("long").alias("copies")).unionByName(tally))  # at most 3 * FREQUENT rows
-    rare = weights.where(~common).select("gram", *f)
-
-    def keys(h: Column) -> Column:
-        each = F.flatten(_places(h, lambda u, v, w: F.array(_key(w), _key(v, w), _key(u, v, w))))
-        return F.concat(each, F.array(_key(F.get(h, 0)), _key(F.get(h, 0), F.get(h, 1)), F.lit(0).cast("long")))  # the first contexts, and the tally
-
-    placed = rows.select("doc_id", "row_key", let(_word_hashes(F.col("text")), keys).alias("keys"))
-    grams = placed.select("doc_id", "row_key", F.size("keys").alias("size"), F.explode("keys").alias("gram"))
-    most = F.max(F.col("f1") + F.col("f2") + F.col("f3")).alias("most")
-    near = grams.join(frequent, "gram").groupBy("doc_id", "row_key").agg(*(F.sum(c).alias(c) for c in f), most, F.sum("copies").alias("copies"), F.max("size").alias("size"))
-    others = grams.drop("size").join(F.broadcast(frequent.select("gram")), "gram", "left_anti")
-    far = others.join(rare.hint("merge"), "gram").groupBy("doc_id", "row_key").agg(*(F.sum(c).alias(c) for c in f), most, F.lit(0).cast("long").alias("copies"), F.lit(0).alias("size"))
-    whole = near.unionByName(far).groupBy("doc_id", "row_key").agg(*(F.sum(c).alias(c) for c in f), F.max("most").alias("most"), F.sum("copies").alias("copies"), F.max("size").alias("size"))
-    return whole.select("doc_id", "row_key", *((F.col(f"f{n}") / F.col("copies") / (F.col("size") / 3)).alias(f"word{n}") for n in (1, 2, 3)), "most")
+def word_weights(labelled: DataFrame) -> DataFrame | None:
+    """``gram, n, ratio, often``: the weighed words (n = 1) and pairs (2); None if either class has no place."""
+    pairs = written(pair_counts(labelled))
+    sides = ("n_toxic", "n_plain")
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds")
+    words = written(pairs.groupBy("w").agg(F.count("*").alias("before"), *(F.sum(c).alias(c) for c in sides)))
+    row = words.agg(F.sum("before").alias("before"), F.count("*").alias("words"), *(F.sum(c).alias(c) for c in sides), *(seen(c) for c in sides)).first()
+    toxic, plain = row["n_toxic"] or 0, row["n_plain"] or 0
+    if not toxic or not plain:
+        return None
+    # the shared backoff of a word: how many different words stand before it, the rest evenly over all words and one more
+    d0 = _discounts(words, "before")["before"]
+    floor = d0 * row["words"] / row["before"] / (row["words"] + 1)
+    below = (F.greatest(F.col("before") - d0, F.lit(0.0)) / row["before"]) + floor
+    one = _ratio(below, _discounts(words, *sides), {c: F.lit(row[c]) for c in sides}, {c: F.lit(row[f"{c}_kinds"]) for c in sides})
+    often = ((F.col("n_toxic") + F.col("n_plain")) * FREQUENT > toxic + plain).alias("often")
+    weighed = words.where(_differs(toxic, plain)).select(F.col("w").alias("gram"), F.lit(1).alias("n"), one.alias("ratio"), often)
+    # pairs that are weighed are few: only these meet their contexts and their words
+    kept = written(pairs.where(_differs(toxic, plain)))
+    contexts = pairs.groupBy("v").agg(*(F.sum(c).alias(f"{c}_total") for c in sides), *(seen(c) for c in sides))
+    met = kept.join(contexts, "v").join(words.select("w", below.alias("below")), "w")
+    two = _ratio(F.col("below"), _discounts(pairs, *sides), {c: F.col(f"{c}_total") for c in sides}, {c: F.col(f"{c}_kinds") for c in sides})
+    found = met.select("v", "w", F.lit(2).alias("n"), two.alias("ratio"), often)
+
+    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            v, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(v, w).view(np.int64)), *batch.columns[2:]], ["gram", "n", "ratio", "often"])
+
+    return written(weighed.unionByName(found.mapInArrow(keyed, "gram bigint, n int, ratio double, often boolean")))
 
 
 class Model(NamedTuple):
+    """The character table, the words' and pairs' ratios with a filter of their keys, and the logistic."""
+
     table: np.ndarray
     words: DataFrame | None
+    bits: np.ndarray | None
     weights: tuple[float, ...]
 
     def logit(self) -> Column:
@@ -274,6 +285,10 @@ class Model(NamedTuple):
         return out
 
 
+def _no_model(table: np.ndarray, weights: tuple[float, ...]) -> Model:
+    return Model(table, None, None, weights)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (bias first) by Newton steps with a small ridge."""
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -289,25 +304,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """learn, fit: conditions on ``doc_id`` that choose the labelled rows to count and
-    those to fit the logistic on (a bounded sample of these, by hash)."""
+    those to fit the logistic on (a bounded sample of these, by hash; what it leaves is
+    counted too)."""
     rows = columns(docs, doc_id=id_col, text=text_col)
     marks = columns(labels, doc_id="doc_id", toxic=label_col).where("doc_id is not null and toxic is not null")
-    # labels grow with the corpus: both sides are shuffled, whatever their size here
-    counted = rows.where(learn).join(marks.where(learn).hint("merge"), "doc_id").select("text", "toxic")
+    chosen = marks.where(fit).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    undrawn = marks.where(F.coalesce(fit, F.lit(False)) & ~F.coalesce(learn, F.lit(False))).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_anti")
+    # Spark broadcasts the labels if they are small, else it shuffles both sides
+    counted = rows.where(learn | fit).join(marks.where(learn).unionByName(undrawn), "doc_id").select("text", "toxic")
     grams = gram_counts(counted).toArrow()  # at most 2**25 rows
     gram, n_toxic, n_plain = (grams.column(i).to_numpy() for i in range(3))
     if not n_toxic.sum() or not n_plain.sum():
         share = marks.where(learn).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(GRAMS, np.float16), None, (float(np.log(share / (1 - share))),))
+        return _no_model(np.zeros(GRAMS, np.float16), (float(np.log(share / (1 - share))),))
     table, words = ratio_table(gram, n_toxic, n_plain), word_weights(counted)
-    chosen = marks.where(fit).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = scored(cut(one_each(rows.join(F.broadcast(chosen), "doc_id"), "toxic", fit_rows)), Model(table, words, ()), ["toxic"]).toArrow()  # fit_rows rows
+    bits = None if words is None else hash_filter(words, "gram")
+    sample = scored(cut(one_each(rows.join(F.broadcast(chosen), "doc_id"), "toxic", fit_rows)), Model(table, words, bits, ()), ["toxic"]).toArrow()  # fit_rows rows
     x = np.stack([sample[c].to_numpy() for c in FEATURES], axis=1)
     y = sample["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
-        return Model(table, words, (-1.0, 1.0, 1.0))
-    return Model(table, words, tuple(float(v) for v in _logistic(x, y)))
+        return Model(table, words, bits, (-1.0, 1.0, 1.0))
+    return Model(table, words, bits, tuple(float(v) for v in _logistic(x, y)))
 
 
 @lru_cache(maxsize=2)
@@ -315,28 +333,51 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), dtype=np.float16)
 
 
+_GRAMS = "array<struct<gram:bigint,times:int>>"
+
+
 def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
     """``doc_id``, the columns ``also``, and the features of ``text`` (which travels once, also if named)."""
-    shared = rows.sparkSession.sparkContext.broadcast(zlib.compress(model.table.tobytes(), 1))  # at most GRAMS half floats, 64 MB
-    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    given = keyed.select("doc_id", "text", "row_key", *(c for c in also if c != "text"))
-    carried = ["doc_id", "row_key", *also]
+    shared = rows.sparkSession.sparkContext.broadcast((zlib.compress(model.table.tobytes(), 1), model.bits))  # at most GRAMS half floats, 64 MB, and a filter of 2 MB
+    given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
+    carried = ["doc_id", *also]
     kept = [given.columns.index(c) for c in carried]
+    pair = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int32())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _unpacked(shared.value)
+        packed, bits = shared.value
+        held, hashes = _unpacked(packed), WordHashes()
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]
+            grams, places = [], []
+            for text in texts(batch.column(1)):
+                h = word_hashes(text, hashes)
+                places.append(len(h) - 1)
+                keys = np.r_[h[1:], pair_keys(h[:-1], h[1:])]
+                key, times = np.unique(keys[may_hold(bits, keys)] if bits is not None else keys[:0], return_counts=True)
+                grams.append([{"gram": k, "times": n} for k, n in zip(key.view(np.int64).tolist(), times.tolist(), strict=True)])
             own = [batch.column(i) for i in kept]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], [*carried, "mean", "top"])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), pa.array(places, pa.int64()), pa.array(grams, pair)], [*carried, "mean", "top", "places", "grams"])
 
     kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in carried)
-    out = given.mapInArrow(run, f"{kinds}, mean double, top double")
+    out = given.mapInArrow(run, f"{kinds}, mean double, top double, places bigint, grams {_GRAMS}")
+    zero = F.lit(0.0)
     if model.words is None:
-        return out.select("doc_id", *also, "mean", "top", *(F.lit(0.0).alias(c) for c in FEATURES[2:]))
-    words = word_features(keyed.select("doc_id", "row_key", "text"), model.words).withColumnRenamed("doc_id", "__id").withColumnRenamed("row_key", "__row")
-    joined = out.join(words, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__row")), "left")
-    return joined.select("doc_id", *also, "mean", "top", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES[2:]))
+        return out.select("doc_id", *also, "mean", "top", *(zero.alias(c) for c in FEATURES[2:]))
+    # a row number holds only if every reader sees the same rows: written once
+    numbered = written(out).withColumn("row_no", F.monotonically_increasing_id())
+    weights = model.words
+    grams = numbered.select("row_no", F.explode("grams").alias("g")).select("row_no", "g.*")
+    if weights.count() <= BROADCAST_ROWS:
+        met = grams.join(F.broadcast(weights), "gram")
+    else:  # the frequent ones, of which there are few, stay where they are
+        frequent, rare = weights.where("often"), weights.where("NOT often")
+        others = grams.join(F.broadcast(frequent.select("gram")), "gram", "left_anti")
+        met = grams.join(F.broadcast(frequent), "gram").unionByName(others.join(rare.hint("merge"), "gram"))
+    sums = met.groupBy("row_no").agg(*(F.sum(F.when(F.col("n") == n, F.col("times") * F.col("ratio")).otherwise(0.0)).alias(f"sum{n}") for n in (1, 2)), F.max("ratio").alias("most"))
+    joined = numbered.drop("grams").join(sums, "row_no", "left")
+    per_place = lambda n: (F.coalesce(f"sum{n}", zero) / F.greatest("places", F.lit(1))).alias(f"word{n}")
+    return joined.select("doc_id", *also, "mean", "top", per_place(1), per_place(2), F.coalesce("most", zero).alias("most"))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

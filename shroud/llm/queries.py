@@ -62,7 +62,7 @@ def op5_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> kn_toxicity.Model:
-    """Counts from the folds 2 to 4, the logistic from fold 1, nothing from fold 0."""
+    """The logistic from a bounded sample of fold 1, counts from all else of the folds 1 to 4, nothing from fold 0."""
     return kn_toxicity.train(docs, table(spark, sf_dir, "labels"), fold(5) >= 2, fold(5) == 1)
 
 
@@ -185,7 +185,7 @@ WITH d AS (
 ), prior AS (
   SELECT mean, CASE WHEN spread > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength FROM noise
 ), refused AS (
-  SELECT host FROM hosts, prior WHERE (f + mean * strength) / (n + strength) > 0.8 AND f >= 20
+  SELECT host FROM hosts, prior WHERE (f + mean * strength) / (n + strength) > 0.8
 )
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM refused r WHERE r.host IS NOT DISTINCT FROM failing.host) AS kept

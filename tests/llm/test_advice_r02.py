@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates, simhash_bytes
+from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates, queries, simhash_bytes
 from tests.llm import brute
 from tests.llm.test_contracts import SCHEMA
 
@@ -35,9 +38,9 @@ def test_word_models_tell_expressions_that_the_signs_fold_together(spark):
     model = kn_toxicity.train(frame, labels, F.col("doc_id") < 20, (F.col("doc_id") >= 20) & (F.col("doc_id") < 30))
     assert all(r.predicted == r.doc_id % 2 for r in kn_toxicity.toxicity(frame, model).collect())
     expressions = spark.createDataFrame([("go to the hell now", 1), ("the hell go to now", 0)], "text string, toxic int")
-    grams = kn_toxicity.word_counts(expressions)
-    # three words and the end of two texts: each predicted word is counted once per order
-    assert {r.n: r["sum(c)"] for r in grams.withColumn("c", F.col("n_toxic") + F.col("n_plain")).groupBy("n").sum("c").collect()} == {1: 12, 2: 12, 3: 12}
+    pairs = kn_toxicity.pair_counts(expressions)
+    # five words and the end of two texts: each place is counted once
+    assert pairs.agg(F.sum(F.col("n_toxic") + F.col("n_plain"))).first()[0] == 12
     twice = frame.limit(1).unionByName(frame.limit(1))
     rounded = lambda rows: {tuple(round(x, 9) for x in r) for r in kn_toxicity.scored(rows, model, []).collect()}
     assert rounded(twice) == rounded(frame.limit(1))
@@ -65,3 +68,66 @@ def test_no_link_is_lost_in_crowded_postings_below_two_bits(spark, bits):
     want = brute.components([(f, f) for f in fps], bits)
     same = lambda root: sorted(sorted(f for f in fps if root(f) == r) for r in {root(f) for f in fps})
     assert same(lambda f: got.get(f, f)) == same(lambda f: want[f])
+
+
+def test_word_weights_against_plain_kneser_ney(spark):
+    """Counts, shared backoff, pruning and ratios of the word models, by dictionaries."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(" ".join(words[min(29, int(x))] for x in rng.exponential(4 if toxic else 9, size=60)), toxic) for toxic in (0, 1, 0, 0, 1, 0) for _ in range(8)]
+    got = {(r.n, r.gram): r.ratio for r in kn_toxicity.word_weights(spark.createDataFrame(texts, "text string, toxic int").repartition(5)).collect()}
+
+    hashes = kn_toxicity.WordHashes()
+    pairs = [Counter(), Counter()]
+    for text, toxic in texts:
+        h = kn_toxicity.word_hashes(text.encode(), hashes).tolist()
+        pairs[toxic].update(zip(h[:-1], h[1:], strict=True))
+    both = set(pairs[0]) | set(pairs[1])
+    before = Counter(w for _, w in both)
+    single = [Counter(), Counter()]
+    for side in (0, 1):
+        for (_, w), n in pairs[side].items():
+            single[side][w] += n
+    discount = lambda counts: (lambda one, two: one / (one + 2 * two) if one else 0.5)(sum(n == 1 for n in counts), sum(n == 2 for n in counts))
+    d0, kinds, all_before = discount(before.values()), len(before), sum(before.values())
+    below = {w: max(before[w] - d0, 0) / all_before + d0 * kinds / all_before / (kinds + 1) for w in before}
+    total = [sum(c.values()) for c in single]
+
+    def differs(plain, toxic):
+        n, g = plain + toxic, 0.0
+        for c, side in ((plain, 0), (toxic, 1)):
+            g += c * np.log(c / (n * total[side] / sum(total))) if c else 0.0
+        return 2 * g >= kn_toxicity.LEAST_G
+
+    def probability(n, d, context, lower):
+        t, k = sum(context), sum(c > 0 for c in context)
+        return (max(n - d, 0) / t if t else 0) + (d * k / t if t else 1) * lower
+
+    want = {}
+    for w in before:
+        if differs(single[0][w], single[1][w]):
+            p = [probability(single[s][w], discount(single[s].values()), list(single[s].values()), below[w]) for s in (0, 1)]
+            want[1, np.array([w], np.uint64).view(np.int64)[0]] = np.log(p[1] / p[0])
+    for v, w in both:
+        if differs(pairs[0][v, w], pairs[1][v, w]):
+            p = [probability(pairs[s][v, w], discount(pairs[s].values()), [n for (a, _), n in pairs[s].items() if a == v], below[w]) for s in (0, 1)]
+            want[2, kn_toxicity.pair_keys(np.array([v], np.uint64), np.array([w], np.uint64)).view(np.int64)[0]] = np.log(p[1] / p[0])
+    assert {n for n, _ in want} == {1, 2} and set(want) == set(got)
+    assert all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_a_host_of_few_documents_is_refused_in_the_oracle_too(spark, tmp_path):
+    """Operator and SQL on a table with refused hosts."""
+    import duckdb
+
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, good if i == 0 else "short", "small") for i in range(16)] + [(i, good, "large") for i in range(100, 500)] + [(900, "short", "one"), (901, good, "two"), (902, good, None), (903, "x", None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = queries.op7_host_rules(spark, str(tmp_path))
+    want = con.sql(queries.HOST_SQL)
+    at = [want.columns.index(c) for c in found.columns]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+    kept = {r.doc_id: r.kept for r in found.collect()}
+    assert not kept[0] and kept[100]

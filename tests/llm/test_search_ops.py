@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.llm import ball_tree, queries, whitening, winnowing
+from shroud.llm import ball_tree, norm_topk, queries, whitening, winnowing
 
 SF = "/root/testdata/sf0.001"
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -223,3 +223,20 @@ def test_trees_prune_and_lose_nothing():
         scores = all_rows.times(dense)
         assert best.rows == sorted((-int(s), False, i) for i, s in enumerate(scores) if s > 0)[:10]
     assert leaves < 40 * 60
+
+
+def test_op3_repeated_rows_other_columns_and_long_vectors(spark):
+    """Ties, repeated rows, clashing columns, several query blocks, lengths that let the bounds prune."""
+    rng = random.Random(13)
+    rows = [(i, [rng.gauss(0, 1) * (20 if i % 40 == 3 else 1) for _ in range(6)]) for i in range(600)]
+    rows += [rows[50], rows[50], rows[3], (None, rows[4][1]), (700, rows[3][1]), (701, [1e300, -1.0, 0.0, 0.0, 0.0, 0.0]), (702, [0.5, 0.25]), (750, [1.0, 2.0]), (703, None), (704, [float("nan")] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("v", "dim", "length", "part", "score", "rank", "query_id"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = norm_topk.top_k(frame, F.col("vec_id") % 50 == 0, block_bytes=200)
+    whole = [(i, [min(2.0**62, math.floor(256 * c)) for c in v]) for i, v in rows if i is not None and v and all(math.isfinite(c) for c in v)]
+    want = []
+    for q, qv in sorted({(i, tuple(v)) for i, v in whole if i % 50 == 0}):
+        scored = sorted((-max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(qv, v, strict=True)))), i) for i, v in whole if i != q and len(v) == len(qv))[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert sorted(want) == sorted(tuple(r) for r in got.collect())
