@@ -52,6 +52,12 @@ BITS, ORDER = 5, 5
 GRAMS, CONTEXTS = 1 << BITS * ORDER, 1 << BITS * (ORDER - 1)
 #: Characters that are counted together in a task.
 COUNTED_AT_ONCE = 4_000_000
+#: Word pairs that are counted together in a task, and rows of a table of pairs that are taken apart together.
+PAIRS_AT_ONCE = 1 << 20
+#: Labels that are broadcast at most (some 20 bytes each); beyond, Spark shuffles both sides.
+LABEL_ROWS = 2_000_000
+#: A pair of ordinary texts only is weighed from so many places on; fewer cannot tell the classes apart.
+LEAST_PLAIN = 4
 #: Labelled documents, at most, on which the logistic is fitted.
 FIT_ROWS = 6000
 #: Grams of more than one in so many places are few; weights that are broadcast at most (16 bytes each).
@@ -202,11 +208,12 @@ def pair_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches(parts):
             for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 h = word_hashes(text, hashes)
-                held.append((h[:-1], h[1:], int(toxic)))
-                size += len(h)
-                if size >= COUNTED_AT_ONCE:
-                    yield counted()
-                    size = 0
+                for at in range(0, len(h) - 1, PAIRS_AT_ONCE):
+                    held.append((h[:-1][at : at + PAIRS_AT_ONCE], h[1:][at : at + PAIRS_AT_ONCE], int(toxic)))
+                    size += len(held[-1][0])
+                    if size >= PAIRS_AT_ONCE:
+                        yield counted()
+                        size = 0
         if held:
             yield counted()
 
@@ -237,12 +244,57 @@ def _ratio(below: Column, discounts: dict[str, float], total: dict[str, Column],
     return out
 
 
+#: What a table of pairs is taken apart into: words (places, different words before them),
+#: contexts (places, different words behind them), numbers of pairs seen once and twice, and the pairs that may be weighed.
+WORD, CONTEXT, ONCE_TWICE, PAIR = range(4)
+
+
+def apart(pairs: DataFrame) -> DataFrame:
+    """``kind, v, w, n_toxic, n_plain, toxic_kinds, plain_kinds`` of the summed pairs, added up in the task,
+    so that the pairs themselves are shuffled once and written nowhere."""
+    names = ["kind", "v", "w", "n_toxic", "n_plain", "toxic_kinds", "plain_kinds"]
+
+    def summed(kind: int, key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        own, zero = key[order][first], np.zeros(len(first), np.int64)
+        place = [own, zero] if kind == CONTEXT else [zero, own]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), *map(pa.array, [*place, *(np.add.reduceat(c[order], first) for c in columns)])], names)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            v, w, t, p = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+            held.clear()
+            one = np.ones(len(v), np.int64)
+            yield summed(WORD, w, [t, p, one, one])  # a pair is one different word before w, of either class
+            yield summed(CONTEXT, v, [t, p, (t > 0).astype(np.int64), (p > 0).astype(np.int64)])
+            yield summed(ONCE_TWICE, np.zeros(len(v), np.int64), [(t == 1).astype(np.int64), (p == 1).astype(np.int64), (t == 2).astype(np.int64), (p == 2).astype(np.int64)])
+            may = np.flatnonzero((t > 0) | (p >= LEAST_PLAIN))
+            zero = np.zeros(len(may), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(may), PAIR, np.int32)), *map(pa.array, [v[may], w[may], t[may], p[may], zero, zero])], names)
+
+        size = 0
+        for batch in parts:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= PAIRS_AT_ONCE:
+                yield from taken()
+                size = 0
+        if held:
+            yield from taken()
+
+    return pairs.select("v", "w", "n_toxic", "n_plain").mapInArrow(run, "kind int, " + ", ".join(f"{n} bigint" for n in names[1:]))
+
+
 def word_weights(labelled: DataFrame) -> DataFrame | None:
     """``gram, n, ratio, often``: the weighed words (n = 1) and pairs (2); None if either class has no place."""
-    pairs = written(pair_counts(labelled))
+    parts = written(apart(pair_counts(labelled)))
     sides = ("n_toxic", "n_plain")
     seen = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds")
-    words = written(pairs.groupBy("w").agg(F.count("*").alias("before"), *(F.sum(c).alias(c) for c in sides)))
+    words = written(parts.where(F.col("kind") == WORD).groupBy("w").agg(F.sum("toxic_kinds").alias("before"), *(F.sum(c).alias(c) for c in sides)))
     row = words.agg(F.sum("before").alias("before"), F.count("*").alias("words"), *(F.sum(c).alias(c) for c in sides), *(seen(c) for c in sides)).first()
     toxic, plain = row["n_toxic"] or 0, row["n_plain"] or 0
     if not toxic or not plain:
@@ -255,10 +307,12 @@ def word_weights(labelled: DataFrame) -> DataFrame | None:
     often = ((F.col("n_toxic") + F.col("n_plain")) * FREQUENT > toxic + plain).alias("often")
     weighed = words.where(_differs(toxic, plain)).select(F.col("w").alias("gram"), F.lit(1).alias("n"), one.alias("ratio"), often)
     # pairs that are weighed are few: only these meet their contexts and their words
-    kept = written(pairs.where(_differs(toxic, plain)))
-    contexts = pairs.groupBy("v").agg(*(F.sum(c).alias(f"{c}_total") for c in sides), *(seen(c) for c in sides))
+    kept = parts.where((F.col("kind") == PAIR) & _differs(toxic, plain)).select("v", "w", *sides)
+    contexts = parts.where(F.col("kind") == CONTEXT).groupBy("v").agg(*(F.sum(c).alias(f"{c}_total") for c in sides), F.sum("toxic_kinds").alias("n_toxic_kinds"), F.sum("plain_kinds").alias("n_plain_kinds"))
     met = kept.join(contexts, "v").join(words.select("w", below.alias("below")), "w")
-    two = _ratio(F.col("below"), _discounts(pairs, *sides), {c: F.col(f"{c}_total") for c in sides}, {c: F.col(f"{c}_kinds") for c in sides})
+    few = parts.where(F.col("kind") == ONCE_TWICE).agg(*(F.sum(c) for c in (*sides, "toxic_kinds", "plain_kinds"))).first()
+    taken = {c: few[i] / (few[i] + 2 * few[i + 2]) if few[i] else 0.5 for i, c in enumerate(sides)}
+    two = _ratio(F.col("below"), taken, {c: F.col(f"{c}_total") for c in sides}, {c: F.col(f"{c}_kinds") for c in sides})
     found = met.select("v", "w", F.lit(2).alias("n"), two.alias("ratio"), often)
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +364,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
     marks = columns(labels, doc_id="doc_id", toxic=label_col).where("doc_id is not null and toxic is not null")
     chosen = marks.where(fit).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     undrawn = marks.where(F.coalesce(fit, F.lit(False)) & ~F.coalesce(learn, F.lit(False))).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_anti")
-    # Spark broadcasts the labels if they are small, else it shuffles both sides
-    counted = rows.where(learn | fit).join(marks.where(learn).unionByName(undrawn), "doc_id").select("text", "toxic")
+    learned = marks.where(learn).unionByName(undrawn)
+    small = learned.count() <= LABEL_ROWS
+    counted = rows.where(learn | fit).join(F.broadcast(learned) if small else learned, "doc_id").select("text", "toxic")
     grams = gram_counts(counted).toArrow()  # at most 2**25 rows
     gram, n_toxic, n_plain = (grams.column(i).to_numpy() for i in range(3))
     if not n_toxic.sum() or not n_plain.sum():
@@ -342,22 +397,25 @@ def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
     given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
     carried = ["doc_id", *also]
     kept = [given.columns.index(c) for c in carried]
-    pair = pa.list_(pa.struct([("gram", pa.int64()), ("times", pa.int32())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, bits = shared.value
         held, hashes = _unpacked(packed), WordHashes()
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]
-            grams, places = [], []
+            found_keys, found_times, places, sizes = [], [], [], [0]
             for text in texts(batch.column(1)):
                 h = word_hashes(text, hashes)
                 places.append(len(h) - 1)
                 keys = np.r_[h[1:], pair_keys(h[:-1], h[1:])]
                 key, times = np.unique(keys[may_hold(bits, keys)] if bits is not None else keys[:0], return_counts=True)
-                grams.append([{"gram": k, "times": n} for k, n in zip(key.view(np.int64).tolist(), times.tolist(), strict=True)])
+                found_keys.append(key)
+                found_times.append(times)
+                sizes.append(len(key))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(found_keys).view(np.int64)), pa.array(np.concatenate(found_times).astype(np.int32))], ["gram", "times"])
+            grams = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), each)
             own = [batch.column(i) for i in kept]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), pa.array(places, pa.int64()), pa.array(grams, pair)], [*carried, "mean", "top", "places", "grams"])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), pa.array(places, pa.int64()), grams], [*carried, "mean", "top", "places", "grams"])
 
     kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in carried)
     out = given.mapInArrow(run, f"{kinds}, mean double, top double, places bigint, grams {_GRAMS}")
