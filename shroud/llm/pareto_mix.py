@@ -19,10 +19,11 @@ The cut is found without sorting a source in one task: quotients are mapped to
 shuffle; only the bin in which the rest is reached is parted again, and so on
 until single ranks remain.
 
-Defined results: null texts have size 0 and are taken 0 words; equal rows (same
-id, source and size) share one rank and are taken in any order among themselves;
-a null id ranks by its source and size; an empty table gives an empty result;
-only id, source and text are read.  Reruns agree.
+Defined results: null texts have size 0 and are taken 0 words; rows of equal id (or
+none), source and size are numbered from 0 and drawn one by one, each with a rank of its
+own from id, source, size and number; which of them has which number is open, so a
+rerun takes as many of them; an empty table gives an empty result; only id, source and
+text are read.  Reruns agree.
 """
 
 from __future__ import annotations
@@ -77,6 +78,24 @@ def _uniform(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit("pareto"), *cols), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def numbered(rows: DataFrame, by: tuple[str, ...], name: str = "occurrence") -> DataFrame:
+    """``name``: a number from 0 for the rows of equal ``by`` (nulls are equal).
+
+    The rows must be a table or a checkpoint: a task's number has to mean the same rows
+    to every reader.  Counts by task and rows within one: no group meets in one task.
+    """
+    placed = rows.withColumn("__task", F.spark_partition_id())
+    upto = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "__task").agg(F.count("*").alias("__n"))
+    firsts = counts.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(by)), F.col("__task").alias("__t"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__first"))
+    within = placed.withColumn("__at", F.row_number().over(Window.partitionBy(*by, "__task").orderBy(F.lit(0))) - 1)
+    same = F.col("__task") == F.col("__t")
+    for i, c in enumerate(by):
+        same = same & within[c].eqNullSafe(F.col(f"__{i}"))
+    joined = within.join(firsts, same)
+    return joined.select(*(within[c] for c in rows.columns), (F.col("__first") + F.col("__at")).cast("long").alias(name))
+
+
 def _same_source(frame: DataFrame, others: DataFrame, also: tuple[str, ...] = ()) -> Column:
     on = frame["source"].eqNullSafe(others["source"])
     for c in also:
@@ -102,8 +121,8 @@ def _inclusion(sized: DataFrame, wanted: DataFrame, size_power: float) -> DataFr
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeat: float = 3.0, size_power: float = 0.5) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for every row."""
-    sized = cut(sizes(docs, id_col, source_col, text_col))
+    """``doc_id, source, size, occurrence, source_size, target, copies, taken`` for every row."""
+    sized = cut(numbered(cut(sizes(docs, id_col, source_col, text_col)), ("doc_id", "source", "size")))
     goals = targets(sized, weights, max_repeat)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goals = goals.withColumn("whole", F.least(F.floor(ratio + 1e-9), F.lit(int(max_repeat))).cast("long"))
@@ -113,21 +132,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     # goals has a row per source: joined on (source, salt), for a source may hold a third of all rows
     salts = 16
     spread = goals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
-    rows = salted.join(spread, _same_source(salted, spread, ("salt",)), "left").select(salted["doc_id"], salted["source"], "size", "source_size", "target", "whole", "rest", "scale")
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", "occurrence"), F.lit(salts)).cast("int"))
+    rows = salted.join(spread, _same_source(salted, spread, ("salt",)), "left").select(salted["doc_id"], salted["source"], "size", "occurrence", "source_size", "target", "whole", "rest", "scale")
     p = F.least(F.lit(1.0), F.coalesce(F.col("scale"), F.lit(0.0)) * F.pow("size", F.lit(size_power)))
-    u = _uniform(F.col("doc_id"), F.col("size"), F.col("source"))
+    u = _uniform(F.col("doc_id"), F.col("size"), F.col("source"), F.col("occurrence"))
     # xi = (u / (1 - u)) / (p / (1 - p)); xi / (1 + xi) keeps its order within (0, 1)
     rank = F.when(p > 0, u * (1 - p) / (u * (1 - p) + (1 - u) * p)).otherwise(1.0)
     # certain documents (p = 1) keep the order of u among themselves, before all others
     ranked = cut(rows.withColumn("rank", F.when(p >= 1, u / 2).otherwise(0.5 + rank / 2)).withColumn("extra", F.when((F.col("rest") > 0) & (F.col("size") > 0), F.lit(None)).otherwise(F.lit(False))))
     cuts = _cuts(ranked)
     spread = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("source", "s").withColumnRenamed("salt", "t")
-    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
+    salted = ranked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", "occurrence"), F.lit(salts)).cast("int"))
     joined = salted.join(spread, salted["source"].eqNullSafe(spread["s"]) & (salted["salt"] == spread["t"]), "left")
     extra = F.coalesce(F.col("extra"), (F.col("rank") <= F.col("cut")) | F.coalesce(F.col("rank") == F.col("closing"), F.lit(False)), F.lit(False))
     copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "source", "size", "occurrence", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _cuts(ranked: DataFrame) -> DataFrame:

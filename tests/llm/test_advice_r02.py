@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates, queries, simhash_bytes
+from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates, pareto_mix, queries, simhash_bytes
 from tests.llm import brute
 from tests.llm.test_contracts import SCHEMA
 
@@ -131,3 +131,23 @@ def test_a_host_of_few_documents_is_refused_in_the_oracle_too(spark, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
     kept = {r.doc_id: r.kept for r in found.collect()}
     assert not kept[0] and kept[100]
+
+
+def test_equal_rows_and_null_ids_are_drawn_one_by_one(spark):
+    """Three sources: distinct rows, equal rows, rows without an id; each comes within a document of its target."""
+    text = "a b c d e f g h i j"
+    rows = [(i, text, "a") for i in range(1000)] + [(5, text, "b")] * 1000 + [(None, text, "c")] * 1000
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    drawn = [pareto_mix.mix(f).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.max("copies").alias("most"), F.countDistinct("occurrence").alias("k")).orderBy("source").collect() for f in (frame, frame.repartition(9))]
+    for r in drawn[0]:
+        assert r.n == 1000 and abs(r.taken - r.target) <= 10 and r.most <= 3
+    assert [r.k for r in drawn[0]] == [1, 1000, 1000]
+    assert [r.taken for r in drawn[0]] == [r.taken for r in drawn[1]]
+
+
+def test_larger_documents_are_drawn_as_often_as_their_odds_say(spark):
+    """Inclusion over many ids: proportional to the square root of the size, as mixed."""
+    rows = [(i, " ".join("x" * (4 if i % 2 else 16)).replace("  ", " "), s) for s in "abc" for i in range(6000)]
+    got = pareto_mix.mix(spark.createDataFrame(rows, SCHEMA)).where("source = 'c'").groupBy("size").agg(F.avg(F.col("copies").cast("double")).alias("p")).collect()
+    p = {r["size"]: r.p for r in got}
+    assert 0 < p[4] < 1 and abs(p[16] / p[4] - 2) < 0.25
