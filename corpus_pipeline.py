@@ -42,11 +42,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = pareto_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    taken = taken.distinct()  # equal rows have equal copies
-    sized = docs.withColumn("__own", pareto_mix.size_of("text"))
-    copied = sized.join(taken, sized["doc_id"].eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__source"]) & (sized["__own"] == taken["__size"]))
-    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    taken = pareto_mix.mix(docs).where("copies > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "occurrence", "copies")))
+    # rows of equal id, source and size are numbered alike on both sides; which has which number is open
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # docs is a table: every reader has the same numbers
+    own = pareto_mix.numbered(rows.select("__row", "doc_id", "source", pareto_mix.size_of("text").alias("size")), ("doc_id", "source", "size"))
+    same = own["doc_id"].eqNullSafe(taken["__doc_id"]) & own["source"].eqNullSafe(taken["__source"]) & (own["size"] == taken["__size"]) & (own["occurrence"] == taken["__occurrence"])
+    chosen = own.join(taken, same).select("__row", F.sequence(F.lit(1), F.col("__copies").cast("int")).alias("__copies"))
+    return rows.join(chosen, "__row").withColumn("__copy", F.explode("__copies")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
