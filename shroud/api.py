@@ -29,7 +29,7 @@ from shroud.operators.detect import (
     row_toggle_filter_sql,
     with_candidates,
 )
-from shroud.operators.redact import REPLACEMENT_TYPE, restore_sql, rewrite_sql
+from shroud.operators.redact import REPLACEMENT_TYPE, count_map_sql, restore_sql, rewrite_sql, token_prefix_sql
 from shroud.operators.resolve import resolve_sql
 
 NORM = "__shroud_text"
@@ -161,6 +161,15 @@ def redact(
     return s.select(*cols)
 
 
+def counts(df, keys, text, config=None, by: str = "token_prefix", normalize="nfkc", ner=None) -> DataFrame:
+    """keys, ``by``, n: selected findings per token prefix (A1) or ``by="category"`` (A2) of each row; nothing is rewritten."""
+    ks = _keys(keys)
+    name = {"token_prefix": token_prefix_sql("m_.entity_type"), "category": "m_.category"}[by]
+    s = with_selection(df, ks, text, config, normalize, ner)
+    found = s.select(*ks, F.explode(F.expr(count_map_sql(f"transform({ident(SEL)}, m_ -> {name})"))).alias(by, "n"))
+    return found.withColumn("n", F.col("n").cast("long"))
+
+
 def vault(redacted: DataFrame, keys) -> DataFrame:
     """Token table from a ``redact(..., with_vault=True)`` result.
 

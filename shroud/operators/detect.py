@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.config import RedactionConfig, valid_python_regexes
+from shroud.functions import many_rules
 from shroud.functions import rules as R
 from shroud.functions.custom_regex import custom_regex_spans
 from shroud.functions.spans import SPAN_TYPE, empty, find_all_of_sql, find_all_sql, ident, java_quote, let, lit
@@ -128,6 +129,18 @@ def _ner_candidates(text: str, ner: str, config: RedactionConfig) -> list[str]:
     return out
 
 
+def long_catalogue(config: RedactionConfig) -> list[tuple[str, str]]:
+    """The catalogue's rules, if they are searched by one automaton (or in Python's own syntax for named groups)."""
+    rules = R.valid_catalogue(config.catalogue or []) if config.enabled("api_keys") else []
+    return rules if len(rules) >= many_rules.MANY or any("(?P" in rx for _, rx in rules) else []
+
+
+def long_keywords(config: RedactionConfig) -> list[str]:
+    """The keywords, if they are searched by one automaton."""
+    words = [k for k in config.custom_keywords if k] if config.custom_active else []
+    return words if len(words) >= many_rules.MANY else []
+
+
 def detector_sql(
     text: str, config: RedactionConfig, ner: str | None = None, digit_guard: str | None = None
 ) -> list[tuple[str, str]]:
@@ -138,7 +151,8 @@ def detector_sql(
     Custom regexes (a Python UDF) are added separately by ``with_candidates``.
     """
     cols: list[tuple[str, str]] = []
-    rules = R.PII_RULES + R.secret_rules(config.catalogue) + R.LOCATION_RULES
+    secrets = [] if long_catalogue(config) else R.secret_rules(config.catalogue)
+    rules = R.PII_RULES + secrets + R.LOCATION_RULES
     for rule in rules:
         if rule.entity_type == "PERSON" and ner is not None:
             continue  # an NER span table replaces the name pattern
@@ -149,7 +163,7 @@ def detector_sql(
     if ner is not None:
         for i, c in enumerate(_ner_candidates(text, ner, config)):
             cols.append((f"NER{i}", c))
-    if config.custom_active:
+    if config.custom_active and not long_keywords(config):
         base = R.CUSTOM_EMISSION_BASE + len(valid_python_regexes(config.custom_regex))
         for j, kw in enumerate(k for k in config.custom_keywords if k):
             cols.append((f"KW{j}", _tag(find_all_sql(text, keyword_pattern(kw)), "CUSTOM", "custom", base + j)))
@@ -184,6 +198,14 @@ def with_candidates(
         cols.append(custom_regex_spans(F.col(text_col), regexes).alias("__det_rx"))
         kw = [n for n, (name, _) in zip(names, dets) if name.startswith("KW")]
         order = [n for n in names if n not in kw] + ["__det_rx"] + kw
+    if rules := long_catalogue(config):
+        many = many_rules.candidates(F.col(text_col), many_rules.of_catalogue(rules), "secrets", R.LONG_CATALOGUE_EMISSION, False, CAND_TYPE)
+        cols.append(many.alias("__det_cat"))
+        order.append("__det_cat")
+    if words := long_keywords(config):
+        base = R.CUSTOM_EMISSION_BASE + len(regexes)
+        cols.append(many_rules.candidates(F.col(text_col), many_rules.of_keywords(words), "custom", base, True, CAND_TYPE).alias("__det_words"))
+        order.append("__det_words")
     df = df.select(*keep, *cols)
     parts = []
     for n in order:

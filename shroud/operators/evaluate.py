@@ -6,15 +6,19 @@
   only distinct (key, prefix) pairs of the findings cross the shuffle.
 * ``roundtrip_failures`` - rows whose restore differs from the normalised text.
 * ``toggle_leaks`` - findings of switched-off types in a run with a config.
+* ``toggled_off`` - findings that a second run with other switches loses.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shroud import api
+from shroud.config import RedactionConfig
 from shroud.functions import rules as R
 from shroud.functions.spans import ident
 from shroud.operators.redact import restore_sql
@@ -66,3 +70,12 @@ def toggle_leaks(findings: DataFrame, toggles: dict[str, bool]) -> DataFrame:
     if not on.get("custom", True):
         cond = cond | (F.col("category") == "custom")
     return findings.where(cond)
+
+
+def toggled_off(df: DataFrame, keys, text: str, toggles: dict[str, bool], config=None) -> DataFrame:
+    """Findings of a run with ``config`` that a second run with ``toggles`` as well does not have (Q3)."""
+    ks = _keys(keys)
+    base = config or RedactionConfig()
+    less = replace(base, enabled_categories={**base.enabled_categories, **toggles})
+    place = [*ks, "start", "end", "entity_type"]
+    return api.scan(df, ks, text, base).join(api.scan(df, ks, text, less).select(*place), place, "left_anti")

@@ -64,7 +64,7 @@ def _work(selected: str, given: str) -> str:
     return let(selected, "ms_", let(walk, "wk_", f"transform(ms_, (m_, i_) -> {per_hit})"))
 
 
-def _count_map(keys: str) -> str:
+def count_map_sql(keys: str) -> str:
     """map key -> occurrences, keys in first-seen order."""
     return let(keys, "ks_", "map_from_entries(transform(array_distinct(ks_), k_ -> named_struct('key', k_, 'value', size(filter(ks_, y_ -> y_ = k_)))))")
 
@@ -89,8 +89,8 @@ def rewrite_sql(text: str, selected: str, given: str = "array()") -> str:
     body = (
         f"named_struct('redacted_text', {redacted}, 'replacements', {public}, "
         f"'token_to_original', map_from_entries(transform(rs_, r_ -> named_struct('key', r_.token, 'value', r_.original_value))), "
-        f"'counts_by_type', {_count_map('transform(rs_, r_ -> r_.prefix)')}, "
-        f"'counts_by_category', {_count_map('transform(rs_, r_ -> r_.category)')})"
+        f"'counts_by_type', {count_map_sql('transform(rs_, r_ -> r_.prefix)')}, "
+        f"'counts_by_category', {count_map_sql('transform(rs_, r_ -> r_.category)')})"
     )
     return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(_work(selected, given), 'rs_', body)} END"
 

@@ -79,6 +79,8 @@ def corpus_stats(findings: DataFrame, docs: DataFrame, key: str, by: Sequence[st
     Grouping sets (by..., type), (by[0], type), ..., (type).  When ``findings``
     already carries the ``by`` columns (pass them as scan keys) no join is
     needed; otherwise the small per-document attributes are joined on the key.
+    ``rolled_up``: a bit for each of (by..., type) that the row sums over, so that a
+    null of the data is told from a sum.
     """
     by = list(by)
     f = findings
@@ -86,7 +88,7 @@ def corpus_stats(findings: DataFrame, docs: DataFrame, key: str, by: Sequence[st
         f = findings.join(docs.select(key, *by), on=key, how="inner")
     sets = [by[:i] + ["entity_type"] for i in range(len(by), -1, -1)]
     g = f.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by + ["entity_type"]])
-    return g.agg(F.count(F.lit(1)).alias("n"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("rolled_up"))
 
 
 def breakdown(redacted: DataFrame) -> DataFrame:

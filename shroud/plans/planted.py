@@ -10,6 +10,8 @@ pattern: it states where the value was put and what should come out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,6 +219,51 @@ def planted_window_counts(spark, sf_dir):
     return counts.select(F.expr("CAST(CAST(window.start AS DATE) AS STRING)").alias("day"), "entity_type", "n")
 
 
+def planted_stream_counts(spark, sf_dir):
+    """Counts by day as a stream with state: files arrive one by one, the stream stops and goes on from its
+    checkpoint, rows behind the watermark are dropped, and a last file closes the days."""
+    from shroud.session import ensure_checkpoint_dir
+    from shroud.streaming.stream import windowed_type_counts
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-counts-{uuid.uuid4().hex}"
+    rows = _orders(spark, sf_dir).select(K, F.expr(f"timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, CASE WHEN {K} % 8 = 3 THEN 0 ELSE {K} % 4 END, {K} % 24)").alias("at"), F.expr(MIXED_TEXT).alias("text"), F.expr(f"{K} % 4").alias("file"))
+    closing = rows.agg(F.lit(-1).cast("long").alias(K), F.expr("timestamp'2024-02-01 00:00:00'").alias("at"), F.lit("a@b.co").alias("text"))
+
+    def arrive(*files: int) -> None:
+        for i in files:
+            part = rows.where(F.col("file") == i).drop("file") if i < 4 else closing
+            part.coalesce(1).write.mode("append").parquet(base + "/in")
+
+    def go_on() -> None:
+        stream = spark.readStream.schema(f"{K} long, at timestamp, text string").option("maxFilesPerTrigger", 1).parquet(base + "/in")
+        counts = windowed_type_counts(stream, [K, "at"], "text", "at", window="1 day", watermark="1 hour")
+        counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start(base + "/out").awaitTermination()
+
+    arrive(0, 1)
+    go_on()
+    arrive(2, 3, 4)
+    go_on()
+    found = spark.read.schema("window struct<start:timestamp,end:timestamp>, entity_type string, n long").parquet(base + "/out")
+    return found.select(F.expr("CAST(CAST(window.start AS DATE) AS STRING)").alias("day"), "entity_type", "n")
+
+
+def planted_toggle_runs(spark, sf_dir):
+    """What a run without e-mails and addresses of hosts loses against one with all."""
+    return evaluate.toggled_off(_mixed(spark, sf_dir), K, "text", {"emails": False, "ips": False}).select(K, "entity_type", "value")
+
+
+#: Rules and keywords of the long lists.
+LONG = 2000
+
+
+def planted_many_rules(spark, sf_dir):
+    """A catalogue of 2,000 rules, a broken one among them, and as many keywords."""
+    catalogue = [("broken", "[open")] + [(f"rule_{i}", rf"\bk{i}-\d+\b") for i in range(LONG)]
+    cfg = RedactionConfig(enabled_categories=_only("api_keys", "custom"), catalogue=catalogue, custom_keywords=[f"word{i}x" for i in range(LONG)])
+    text = f"{PREFIX} || 'k' || CAST({K} % {LONG} AS STRING) || '-' || {KEY} || ' and WORD' || CAST({K} % 3000 AS STRING) || 'X'"
+    return api.scan(_orders(spark, sf_dir).select(K, F.expr(text).alias("text")), K, "text", cfg).select(K, "start", "entity_type", "value")
+
+
 def planted_row_rules(spark, sf_dir):
     """Switches and keywords that differ from row to row."""
     toggles = f"IF({K} % 3 = 0, map('emails', false), IF({K} % 3 = 1, map('ips', false, 'custom', false), NULL))"
@@ -278,6 +325,12 @@ def _oracles() -> dict[str, str]:
         "planted_repeated_keys": f"""
           SELECT {K}, CASE {K} % 2 WHEN 0 THEN '[EMAIL_1]' ELSE {_EMAIL} END AS restored_text, CASE {K} % 2 WHEN 0 THEN 'ambiguous_key' ELSE 'restored' END AS status FROM orders
           UNION ALL SELECT {K}, CASE {K} % 2 WHEN 0 THEN '[EMAIL_1]' ELSE {_SSN} END, CASE {K} % 2 WHEN 0 THEN 'ambiguous_key' ELSE 'restored' END FROM orders""",
+        "planted_stream_counts": f"""
+          SELECT CAST(DATE '2024-01-01' + CAST({K} % 4 AS INTEGER) AS VARCHAR) AS day, entity_type, count(*) AS n FROM ({rows}) WHERE {K} % 8 <> 3 GROUP BY ALL""",
+        "planted_toggle_runs": f"SELECT {K}, entity_type, value FROM ({rows}) WHERE entity_type IN ('EMAIL', 'IPV6')",
+        "planted_many_rules": f"""
+          SELECT {K}, {lead} AS start, 'RULE_' || CAST({K} % {LONG} AS STRING) AS entity_type, 'k' || CAST({K} % {LONG} AS STRING) || '-' || {KEY} AS value FROM orders
+          UNION ALL SELECT {K}, CAST({lead} + length('k' || CAST({K} % {LONG} AS STRING) || '-' || {KEY}) + 5 AS INTEGER), 'CUSTOM', 'WORD' || CAST({K} % 3000 AS STRING) || 'X' FROM orders WHERE {K} % 3000 < {LONG}""",
         "planted_custom_dedupe": f"SELECT {K}, {lead} AS start, {lead} + 5 AS \"end\", 'CUSTOM' AS entity_type, 'Alpha' AS value FROM orders",
         "planted_catalogue": f"SELECT {K}, {lead} AS start, CAST({lead} + 4 + length({KEY}) AS INTEGER) AS \"end\", 'ORDER_KEY' AS entity_type, 'ord-' || {KEY} AS value FROM orders",
         "planted_window_counts": f"SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, entity_type, count(*) AS n FROM ({rows}) GROUP BY ALL",

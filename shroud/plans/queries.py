@@ -143,13 +143,11 @@ def replacement_offsets(spark, sf_dir):
 
 
 def counts_by_type(spark, sf_dir):
-    red = api.redact(_docs(spark, sf_dir), "doc_id", "text")
-    return red.select("doc_id", F.explode_outer("counts_by_type").alias("token_prefix", "n")).where("n is not null").withColumn("n", F.col("n").cast("long"))
+    return api.counts(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def counts_by_category(spark, sf_dir):
-    red = api.redact(_docs(spark, sf_dir), "doc_id", "text")
-    return red.select("doc_id", F.explode_outer("counts_by_category").alias("category", "n")).where("n is not null").withColumn("n", F.col("n").cast("long"))
+    return api.counts(_docs(spark, sf_dir), "doc_id", "text", by="category")
 
 
 def corpus_stats(spark, sf_dir):
@@ -250,13 +248,13 @@ def text_files_redact(spark, sf_dir):
 
 def stream_vault(spark, sf_dir):
     """documents as a file stream -> foreachBatch writer of rows and vault; the vault read back."""
-    from shroud.streaming.stream import redact_stream, write_redacted_and_vault
+    from shroud.streaming.stream import read_committed, redact_stream, write_redacted_and_vault
 
     base = _scratch(spark, "stream-vault")
     sdf = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     red = redact_stream(sdf, "doc_id", "text", with_vault=True)
     write_redacted_and_vault(red, ["doc_id"], base + "/out", base + "/checkpoint", vault_path=base + "/vault").awaitTermination()
-    return spark.read.parquet(base + "/vault").drop("stream_id", "batch_id", "text_id")
+    return read_committed(spark, base + "/out", base + "/vault").drop("stream_id", "batch_id", "text_id")
 
 
 #: Characters of a chunk in the queries on chunks: small, so that every document has seams inside.
@@ -333,7 +331,7 @@ def _oracles() -> dict[str, str]:
     out["counts_by_type"] = f"SELECT k AS doc_id, prefix AS token_prefix, count(*) AS n FROM {O.replacements_sql(docs)} GROUP BY ALL"
     out["counts_by_category"] = f"SELECT k AS doc_id, category, count(*) AS n FROM {O.replacements_sql(docs)} GROUP BY ALL"
     out["corpus_stats"] = f"""
-      SELECT d.lang, d.source AS doc_source, s.entity_type, count(*) AS n
+      SELECT d.lang, d.source AS doc_source, s.entity_type, count(*) AS n, CAST(GROUPING(d.lang, d.source, s.entity_type) AS INTEGER) AS rolled_up
       FROM {O.selected_sql(docs)} s JOIN documents d ON d.doc_id = s.k
       GROUP BY GROUPING SETS ((d.lang, d.source, s.entity_type), (d.lang, s.entity_type), (s.entity_type))"""
     labels = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in R.STATUS_LABELS.items())

@@ -7,7 +7,9 @@ watermark, so their state is bounded.  ``write_redacted_and_vault`` writes
 the redacted rows and (optionally) the vault rows of every micro-batch in one
 ``foreachBatch``; each batch overwrites its own (stream, batch) partition, so a
 replayed batch replaces its output, and a stream with a new checkpoint, or a
-second one, never touches what another wrote.
+second one, never touches what another wrote.  A batch is listed in a manifest after
+both of its writes: ``read_committed`` shows rows and vault of listed batches only, so
+never one without the other.
 """
 
 from __future__ import annotations
@@ -63,6 +65,23 @@ def _stream_id(spark: SparkSession, checkpoint_path: str) -> str:
     return name
 
 
+def commits_path(out_path: str) -> str:
+    """Where the batches of ``out_path`` are listed; a name that readers of the rows skip."""
+    return f"{out_path.rstrip('/')}/_shroud_commits"
+
+
+def read_committed(spark: SparkSession, out_path: str, vault_path: str | None = None) -> DataFrame:
+    """The redacted rows (or the vault rows, with ``vault_path``) of the batches that were wholly written."""
+    rows = spark.read.parquet(vault_path or out_path)
+    try:
+        listed = spark.read.parquet(commits_path(out_path)).select("stream_id", "batch_id").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows.limit(0)
+    return rows.join(listed, ["stream_id", "batch_id"], "left_semi")
+
+
 def write_redacted_and_vault(
     redacted_with_vault: DataFrame,
     keys: Sequence[str],
@@ -86,6 +105,8 @@ def write_redacted_and_vault(
             put(stamped.drop("original_text", "replacements", "token_to_original"), out_path)
             if vault_path is not None:
                 put(api.vault(stamped, keys + ["stream_id", "batch_id"]), vault_path)
+            session = batch.sparkSession
+            put(session.createDataFrame([(True, stream_id, batch_id)], "committed boolean, stream_id string, batch_id long"), commits_path(out_path))  # last
         finally:
             if vault_path is not None:
                 stamped.unpersist()
