@@ -85,7 +85,7 @@ def test_a_stream_drops_late_rows_and_goes_on_after_a_stop(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{sf}/orders.parquet')")
     assert got == sorted(con.sql(planted.ORACLES["planted_stream_counts"]).fetchall())
-    late = con.sql(f"SELECT count(*) FROM orders WHERE {planted.K} % 8 = 3").fetchone()[0]
+    late = con.sql(f"SELECT count(*) FROM orders WHERE {planted.K} % 8 = 3").fetchall()[0][0]
     assert len(got) == 12 and sum(n for _, _, n in got) > 0 and late > 0
 
 
