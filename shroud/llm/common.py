@@ -80,7 +80,7 @@ def ascii_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word; keeps at most ``ENTRIES`` short words."""
 
-    ENTRIES, LONGEST = 1 << 18, 40
+    ENTRIES, LONGEST = 1 << 16, 40
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)

@@ -51,9 +51,9 @@ SIGNS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b
 BITS, ORDER = 5, 5
 GRAMS, CONTEXTS = 1 << BITS * ORDER, 1 << BITS * (ORDER - 1)
 #: Characters that are counted together in a task.
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 2_000_000
 #: Word pairs that are counted together in a task, and rows of a table of pairs that are taken apart together.
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE, APART_AT_ONCE = 1 << 19, 1 << 20
 #: Labels that are broadcast at most (some 20 bytes each); beyond, Spark shuffles both sides.
 LABEL_ROWS = 2_000_000
 #: A pair of ordinary texts only is weighed from so many places on; fewer cannot tell the classes apart.
@@ -280,7 +280,7 @@ def apart(pairs: DataFrame) -> DataFrame:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-            if size >= PAIRS_AT_ONCE:
+            if size >= APART_AT_ONCE:
                 yield from taken()
                 size = 0
         if held:
