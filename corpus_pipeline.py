@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.llm import bin_packing, kn_toxicity, line_templates, pareto_mix, queries, simhash_bytes
+from shroud.llm.common import released
 from shroud.session import ensure_checkpoint_dir
 
 
@@ -67,7 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(docs: DataFrame, stage: tuple) -> DataFrame:
         name, function = stage
-        function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        kept = function(spark, docs, sf_dir)
+        with released(spark):
+            kept.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     return reduce(step, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))
