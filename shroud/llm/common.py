@@ -110,18 +110,18 @@ class WordHashes(dict):
 FILTER_BITS = 24
 
 
-def hash_filter(keys: DataFrame, column: str) -> np.ndarray:
+def hash_filter(keys: DataFrame, column: str, size: int = FILTER_BITS) -> np.ndarray:
     """A bit for each value of the long ``column`` (by its low bits): no false negatives,
     a fixed size; with many keys it lets more through, and the join behind it decides."""
-    bit = F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.col(column).bitwiseAND((1 << size) - 1)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
-    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("w")).toArrow()  # at most 2**18 rows
-    out = np.zeros(1 << FILTER_BITS - 6, dtype=np.uint64)
+    words = keys.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("w")).toArrow()  # at most 2**(size - 6) rows
+    out = np.zeros(1 << size - 6, dtype=np.uint64)
     out[words.column("at").to_numpy()] = words.column("w").to_numpy().view(np.uint64)
     return out
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the unsigned 64-bit keys the filter lets through."""
-    low = keys & np.uint64((1 << FILTER_BITS) - 1)
+    low = keys & np.uint64(len(bits) * 64 - 1)
     return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) != 0

@@ -10,9 +10,10 @@ different words of either class that stand before it (and the same one order low
 Words and pairs whose share in the classes differs by chance at most (``LEAST_G``, a
 relative entropy of their counts) are left to the shared backoff, which is the same
 for both classes: their ratio is 0.  The others' log ratios are a table keyed by a
-64-bit hash.  A text's grams that a filter of fixed size lets through are joined with
-it and summed by row: by broadcast if it is small (``BROADCAST_ROWS``, counted), else
-shuffled, but for grams of more than one in ``FREQUENT`` of all places, which are few.
+64-bit hash.  Grams of more than one in ``FREQUENT`` of all places, which are few, are
+broadcast and summed where the text is read.  A text's other grams that a filter of fixed
+size lets through are joined with the rest of the table and summed by row: by broadcast
+if it is small (``BROADCAST_ROWS``, counted), else shuffled.
 
 Character models: one of toxic and one of ordinary texts, of order five, for words
 that were never learned.  They share their lower orders: what neither class has seen
@@ -60,8 +61,10 @@ LABEL_ROWS = 2_000_000
 LEAST_PLAIN = 4
 #: Labelled documents, at most, on which the logistic is fitted.
 FIT_ROWS = 6000
-#: Grams of more than one in so many places are few; weights that are broadcast at most (16 bytes each).
+#: Grams of more than one in so many places are at most so many words and pairs each; other weights that are broadcast at most (16 bytes each).
 FREQUENT, BROADCAST_ROWS = 1 << 16, 1_000_000
+#: Bits of the filter of the other grams' keys (two probes a key), whatever their number: 8 MB.
+RARE_BITS = 26
 #: A gram is weighed if 2 * n * relative entropy (of its classes' counts to the corpus') reaches this: one in ten by chance.
 LEAST_G = 2.71
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]")
@@ -323,11 +326,38 @@ def word_weights(labelled: DataFrame) -> DataFrame | None:
     return written(weighed.unionByName(found.mapInArrow(keyed, "gram bigint, n int, ratio double, often boolean")))
 
 
+class Frequent(NamedTuple):
+    """The weighed grams that are frequent, by key: at most ``FREQUENT`` words and as many pairs."""
+
+    gram: np.ndarray
+    n: np.ndarray
+    ratio: np.ndarray
+
+    @classmethod
+    def of(cls, weights: DataFrame) -> Frequent:
+        rows = weights.where("often").select("gram", "n", "ratio").toArrow()  # 2 * FREQUENT rows
+        gram, n, ratio = (rows.column(i).to_numpy() for i in range(3))
+        order = np.argsort(gram.view(np.uint64))
+        return cls(gram.view(np.uint64)[order], n[order], ratio[order])
+
+    def summed(self, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float, float, float | None]:
+        """Which of the keys are frequent; their ratios' sums over words and over pairs, and the largest one."""
+        at = np.minimum(np.searchsorted(self.gram, key), len(self.gram) - 1)
+        held = self.gram[at] == key if len(self.gram) else np.zeros(len(key), bool)
+        if not held.any():
+            return held, 0.0, 0.0, None
+        at, ratio = at[held], self.ratio[at[held]]
+        total = times[held] * ratio
+        return held, float(total[self.n[at] == 1].sum()), float(total[self.n[at] == 2].sum()), float(ratio.max())
+
+
 class Model(NamedTuple):
-    """The character table, the words' and pairs' ratios with a filter of their keys, and the logistic."""
+    """The character table, the words' and pairs' ratios (the frequent ones apart, a filter of the
+    others' keys), and the logistic."""
 
     table: np.ndarray
     words: DataFrame | None
+    frequent: Frequent | None
     bits: np.ndarray | None
     weights: tuple[float, ...]
 
@@ -340,7 +370,7 @@ class Model(NamedTuple):
 
 
 def _no_model(table: np.ndarray, weights: tuple[float, ...]) -> Model:
-    return Model(table, None, None, weights)
+    return Model(table, None, None, None, weights)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -373,14 +403,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
         share = marks.where(learn).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         return _no_model(np.zeros(GRAMS, np.float16), (float(np.log(share / (1 - share))),))
-    table, words = ratio_table(gram, n_toxic, n_plain), word_weights(counted)
-    bits = None if words is None else hash_filter(words, "gram")
-    sample = scored(cut(one_each(rows.join(F.broadcast(chosen), "doc_id"), "toxic", fit_rows)), Model(table, words, bits, ()), ["toxic"]).toArrow()  # fit_rows rows
+    table, weighed = ratio_table(gram, n_toxic, n_plain), word_weights(counted)
+    words, frequent, bits = None, None, None
+    if weighed is not None:
+        words, frequent = weighed.where("NOT often"), Frequent.of(weighed)
+        bits = hash_filter(words.select(F.explode(F.array("gram", F.shiftrightunsigned("gram", 32))).alias("probe")), "probe", RARE_BITS)
+    sample = scored(cut(one_each(rows.join(F.broadcast(chosen), "doc_id"), "toxic", fit_rows)), Model(table, words, frequent, bits, ()), ["toxic"]).toArrow()  # fit_rows rows
     x = np.stack([sample[c].to_numpy() for c in FEATURES], axis=1)
     y = sample["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
-        return Model(table, words, bits, (-1.0, 1.0, 1.0))
-    return Model(table, words, bits, tuple(float(v) for v in _logistic(x, y)))
+        return Model(table, words, frequent, bits, (-1.0, 1.0, 1.0))
+    return Model(table, words, frequent, bits, tuple(float(v) for v in _logistic(x, y)))
 
 
 @lru_cache(maxsize=2)
@@ -393,32 +426,42 @@ _GRAMS = "array<struct<gram:bigint,times:int>>"
 
 def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
     """``doc_id``, the columns ``also``, and the features of ``text`` (which travels once, also if named)."""
-    shared = rows.sparkSession.sparkContext.broadcast((zlib.compress(model.table.tobytes(), 1), model.bits))  # at most GRAMS half floats, 64 MB, and a filter of 2 MB
+    # at most GRAMS half floats, 64 MB, a filter of 8 MB and 2 * FREQUENT weights, 3 MB
+    shared = rows.sparkSession.sparkContext.broadcast((zlib.compress(model.table.tobytes(), 1), model.bits, model.frequent and tuple(model.frequent)))
     given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
     carried = ["doc_id", *also]
     kept = [given.columns.index(c) for c in carried]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, bits = shared.value
+        packed, bits, often = shared.value
         held, hashes = _unpacked(packed), WordHashes()
+        frequent = often and Frequent(*often)
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]
-            found_keys, found_times, places, sizes = [], [], [], [0]
+            found_keys, found_times, places, sizes, sums = [], [], [], [0], []
             for text in texts(batch.column(1)):
                 h = word_hashes(text, hashes)
                 places.append(len(h) - 1)
                 keys = np.r_[h[1:], pair_keys(h[:-1], h[1:])]
-                key, times = np.unique(keys[may_hold(bits, keys)] if bits is not None else keys[:0], return_counts=True)
+                key, times = np.unique(keys if frequent else keys[:0], return_counts=True)
+                if frequent:
+                    known, *own_sums = frequent.summed(key, times)
+                    sums.append(own_sums)
+                    rare = ~known & may_hold(bits, key) & may_hold(bits, key >> np.uint64(32))
+                    key, times = key[rare], times[rare]
+                else:
+                    sums.append((0.0, 0.0, None))
                 found_keys.append(key)
                 found_times.append(times)
                 sizes.append(len(key))
             each = pa.StructArray.from_arrays([pa.array(np.concatenate(found_keys).view(np.int64)), pa.array(np.concatenate(found_times).astype(np.int32))], ["gram", "times"])
             grams = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), each)
             own = [batch.column(i) for i in kept]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)), pa.array(places, pa.int64()), grams], [*carried, "mean", "top", "places", "grams"])
+            numbers = [pa.array([f[i] for f in found], pa.float64()) for i in (0, 1)] + [pa.array([f[i] for f in sums], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, *numbers, pa.array(places, pa.int64()), grams], [*carried, "mean", "top", "own1", "own2", "own_most", "places", "grams"])
 
     kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in carried)
-    out = given.mapInArrow(run, f"{kinds}, mean double, top double, places bigint, grams {_GRAMS}")
+    out = given.mapInArrow(run, f"{kinds}, mean double, top double, own1 double, own2 double, own_most double, places bigint, grams {_GRAMS}")
     zero = F.lit(0.0)
     if model.words is None:
         return out.select("doc_id", *also, "mean", "top", *(zero.alias(c) for c in FEATURES[2:]))
@@ -426,16 +469,11 @@ def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
     numbered = written(out).withColumn("row_no", F.monotonically_increasing_id())
     weights = model.words
     grams = numbered.select("row_no", F.explode("grams").alias("g")).select("row_no", "g.*")
-    if weights.count() <= BROADCAST_ROWS:
-        met = grams.join(F.broadcast(weights), "gram")
-    else:  # the frequent ones, of which there are few, stay where they are
-        frequent, rare = weights.where("often"), weights.where("NOT often")
-        others = grams.join(F.broadcast(frequent.select("gram")), "gram", "left_anti")
-        met = grams.join(F.broadcast(frequent), "gram").unionByName(others.join(rare.hint("merge"), "gram"))
+    met = grams.join(F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights.hint("merge"), "gram")
     sums = met.groupBy("row_no").agg(*(F.sum(F.when(F.col("n") == n, F.col("times") * F.col("ratio")).otherwise(0.0)).alias(f"sum{n}") for n in (1, 2)), F.max("ratio").alias("most"))
     joined = numbered.drop("grams").join(sums, "row_no", "left")
-    per_place = lambda n: (F.coalesce(f"sum{n}", zero) / F.greatest("places", F.lit(1))).alias(f"word{n}")
-    return joined.select("doc_id", *also, "mean", "top", per_place(1), per_place(2), F.coalesce("most", zero).alias("most"))
+    per_place = lambda n: ((F.col(f"own{n}") + F.coalesce(f"sum{n}", zero)) / F.greatest("places", F.lit(1))).alias(f"word{n}")
+    return joined.select("doc_id", *also, "mean", "top", per_place(1), per_place(2), F.coalesce(F.greatest("most", "own_most"), zero).alias("most"))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

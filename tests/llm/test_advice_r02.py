@@ -46,6 +46,21 @@ def test_word_models_tell_expressions_that_the_signs_fold_together(spark):
     assert rounded(twice) == rounded(frame.limit(1))
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, kn_toxicity.BROADCAST_ROWS])
+def test_frequent_and_rare_weights_give_the_same_features(spark, monkeypatch, broadcast_rows):
+    words = "a b c d e f g h i j".split()
+    frame = spark.createDataFrame([(i, " ".join(words[(i * k) % 10] for k in range(1, 9)) + (" bad thing" if i % 2 else " good thing"), "a") for i in range(60)] + [(60, None, "a"), (61, "", "a")], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(kn_toxicity, "BROADCAST_ROWS", broadcast_rows)
+    found = []
+    for frequent in (1, 20, 1 << 16):  # no weight is frequent, some, all of them
+        monkeypatch.setattr(kn_toxicity, "FREQUENT", frequent)
+        model = kn_toxicity.train(frame, labels, F.col("doc_id") < 40, F.col("doc_id") >= 40)
+        found.append((len(model.frequent.gram), {tuple(round(x, 9) for x in r) for r in kn_toxicity.scored(frame, model, []).collect()}))
+    assert found[0][0] == 0 < found[1][0] < found[2][0]
+    assert found[0][1] == found[1][1] == found[2][1]
+
+
 def test_repeated_rows_and_labels_do_not_fill_the_fit(spark, monkeypatch):
     rows = [(i, f"text number {i} of {i % 2}", "a") for i in range(12)] + [(0, "text number 0 of 0", "a")] * 40 + [(1, f"other text {i}", "a") for i in range(40)]
     frame = spark.createDataFrame(rows, SCHEMA)
