@@ -48,8 +48,8 @@ CAPACITY = 2048
 WHITE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WHITE_END = re.compile(f"[{WHITE}]\\Z")
-#: Segments whose ids a worker remembers; it starts anew when full.
-REMEMBERED = 800_000
+#: Bytes, about, of the segments whose ids a worker remembers, each with what Python adds; it starts anew when full.
+REMEMBERED, ENTRY = 64_000_000, 200
 #: Slots of one length per join key.
 SLOT_CHUNK = 4096
 
@@ -93,6 +93,7 @@ class SegmentIds:
         for token, i in ranks.items():
             self.width[i] = len(token)
         self.known: dict[str, bytes] = {}  # by the segment without its leading space
+        self.held = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -103,6 +104,7 @@ class SegmentIds:
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
         cuts = [0, *(np.searchsorted(np.cumsum(self.width[ids]), ends) + 1).tolist()]
         data = ids.tobytes()
+        self.held += len(words) * ENTRY + len(joined) + len(data)
         self.known.update((w, data[4 * s : 4 * e]) for w, s, e in zip(words, cuts, cuts[1:], strict=False))
 
     def encode(self, text: str) -> bytes:
@@ -110,8 +112,9 @@ class SegmentIds:
             return b""
         if any(a in text for a in self.added):
             return self.whole(text)
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         first, *words = text.split(" ")
         new = list(set(words).difference(self.known))
         if not first or WHITE_END.search(first) or any(not w or WHITE_END.search(w) for w in new):
@@ -126,7 +129,7 @@ class SegmentIds:
         return np.array(self.ranked.encode_ordinary(first), dtype="<u4").tobytes() + b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _segment_ids(path: str) -> SegmentIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return SegmentIds(path)

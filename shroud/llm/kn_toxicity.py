@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -416,11 +415,6 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
     return Model(table, words, frequent, bits, tuple(float(v) for v in _logistic(x, y)))
 
 
-@lru_cache(maxsize=2)
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), dtype=np.float16)
-
-
 _GRAMS = "array<struct<gram:bigint,times:int>>"
 
 
@@ -434,7 +428,7 @@ def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, bits, often = shared.value
-        held, hashes = _unpacked(packed), WordHashes()
+        held, hashes = np.frombuffer(zlib.decompress(packed), dtype=np.float16), WordHashes()  # a task's own: workers live on
         frequent = often and Frequent(*often)
         for batch in batches(parts):
             found = [features(held, t) for t in texts(batch.column(1))]

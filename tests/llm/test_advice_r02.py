@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.llm import fm_quality, host_rules, kn_toxicity, line_templates, pareto_mix, queries, simhash_bytes
+from shroud.llm import bin_packing, fm_quality, host_rules, kn_toxicity, line_templates, pareto_mix, queries, simhash_bytes
 from tests.llm import brute
 from tests.llm.test_contracts import SCHEMA
 
@@ -166,3 +166,11 @@ def test_larger_documents_are_drawn_as_often_as_their_odds_say(spark):
     got = pareto_mix.mix(spark.createDataFrame(rows, SCHEMA)).where("source = 'c'").groupBy("size").agg(F.avg(F.col("copies").cast("double")).alias("p")).collect()
     p = {r["size"]: r.p for r in got}
     assert 0 < p[4] < 1 and abs(p[16] / p[4] - 2) < 0.25
+
+
+def test_ids_are_the_same_when_nothing_is_remembered(monkeypatch):
+    encoder = bin_packing.SegmentIds(queries.tokenizer("byte_bpe_50k.json"))
+    texts = ["one two two three", "x" * 5000 + " y", "", "naïve  café\nЖук", "one two"] * 2
+    monkeypatch.setattr(bin_packing, "REMEMBERED", 0)
+    assert [encoder.encode(t) for t in texts] == [encoder.whole(t) for t in texts]
+    assert len(encoder.known) <= 2  # only the last text's
