@@ -46,7 +46,7 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, far smaller than a checkpoint."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with released(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -418,8 +418,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
 _GRAMS = "array<struct<gram:bigint,times:int>>"
 
 
-def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
-    """``doc_id``, the columns ``also``, and the features of ``text`` (which travels once, also if named)."""
+def _read(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
+    """What a task finds in each text alone: ``doc_id``, the columns ``also``, the character features, the
+    frequent weights' sums and the other grams that may be weighed."""
     # at most GRAMS half floats, 64 MB, a filter of 8 MB and 2 * FREQUENT weights, 3 MB
     shared = rows.sparkSession.sparkContext.broadcast((zlib.compress(model.table.tobytes(), 1), model.bits, model.frequent and tuple(model.frequent)))
     given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
@@ -455,19 +456,46 @@ def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *numbers, pa.array(places, pa.int64()), grams], [*carried, "mean", "top", "own1", "own2", "own_most", "places", "grams"])
 
     kinds = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in carried)
-    out = given.mapInArrow(run, f"{kinds}, mean double, top double, own1 double, own2 double, own_most double, places bigint, grams {_GRAMS}")
-    zero = F.lit(0.0)
-    if model.words is None:
-        return out.select("doc_id", *also, "mean", "top", *(zero.alias(c) for c in FEATURES[2:]))
+    return given.mapInArrow(run, f"{kinds}, mean double, top double, own1 double, own2 double, own_most double, places bigint, grams {_GRAMS}")
+
+
+def _numbered(read: DataFrame) -> DataFrame:
     # a row number holds only if every reader sees the same rows: written once
-    numbered = written(out).withColumn("row_no", F.monotonically_increasing_id())
-    weights = model.words
+    return written(read).withColumn("row_no", F.monotonically_increasing_id())
+
+
+def _features(numbered: DataFrame, weights: DataFrame, also: list[str]) -> DataFrame:
+    """``row_no``, the columns ``also`` and the features of numbered rows."""
+    zero = F.lit(0.0)
     grams = numbered.select("row_no", F.explode("grams").alias("g")).select("row_no", "g.*")
     met = grams.join(F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights.hint("merge"), "gram")
     sums = met.groupBy("row_no").agg(*(F.sum(F.when(F.col("n") == n, F.col("times") * F.col("ratio")).otherwise(0.0)).alias(f"sum{n}") for n in (1, 2)), F.max("ratio").alias("most"))
-    joined = numbered.drop("grams").join(sums, "row_no", "left")
+    joined = numbered.select("row_no", *also, "mean", "top", "own1", "own2", "own_most", "places").join(sums, "row_no", "left")
     per_place = lambda n: ((F.col(f"own{n}") + F.coalesce(f"sum{n}", zero)) / F.greatest("places", F.lit(1))).alias(f"word{n}")
-    return joined.select("doc_id", *also, "mean", "top", per_place(1), per_place(2), F.coalesce(F.greatest("most", "own_most"), zero).alias("most"))
+    return joined.select("row_no", *also, "mean", "top", per_place(1), per_place(2), F.coalesce(F.greatest("most", "own_most"), zero).alias("most"))
+
+
+def _by_signs(read: DataFrame) -> DataFrame:
+    """The features where no word is weighed."""
+    return read.select("*", *(F.lit(0.0).alias(c) for c in FEATURES[2:]))
+
+
+def scored(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
+    """``doc_id``, the columns ``also``, and the features of ``text``."""
+    read, own = _read(rows, model, also), ["doc_id", *also]
+    found = _by_signs(read) if model.words is None else _features(_numbered(read), model.words, own)
+    return found.select(*own, *FEATURES)
+
+
+def harmless(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
+    """The columns ``also`` (``text`` may be one) of the rows that the model does not call toxic.  Only row
+    numbers meet the weights; the rows themselves are shuffled only where the toxic ones' numbers are too many to broadcast."""
+    read, clean = _read(rows, model, also), F.coalesce(model.logit() < 0, F.lit(False))
+    if model.words is None:
+        return _by_signs(read).where(clean).select(*also)
+    numbered = _numbered(read)
+    toxic = _features(numbered, model.words, []).where(~clean).select("row_no")
+    return numbered.select("row_no", *also).join(toxic, "row_no", "left_anti").select(*also)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
