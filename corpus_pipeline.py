@@ -25,8 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models call toxic go.  The models learn from the documents table's labelled rows."""
     model = queries.toxicity_model(spark, sf_dir, docs)
     others = F.struct(*(c for c in docs.columns if c != "text"))  # one column, whatever their names; the text travels once
-    found = kn_toxicity.scored(docs.select("doc_id", "text", others.alias("own")), model, ["text", "own"])
-    kept = found.where(model.logit() < 0)
+    kept = kn_toxicity.harmless(docs.select("doc_id", "text", others.alias("own")), model, ["text", "own"])
     return kept.select(*("text" if c == "text" else F.col("own")[c].alias(c) for c in docs.columns))
 
 
