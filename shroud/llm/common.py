@@ -77,10 +77,10 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def one_each(rows: DataFrame, label: str, limit: int) -> DataFrame:
-    """One of the rows of equal ``doc_id``, label and text, and of these ``limit`` at most, by hash."""
-    hashed = rows.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", label, "__text"])
-    return hashed.orderBy(F.xxhash64("__text", "doc_id"), "__text", "doc_id", label).limit(limit).drop("__text")
+def one_each(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """One of the rows of equal keys, and of these ``limit`` at most, by hash.  The keys stand for
+    the text (its hash, what was read off it), so that no whole text meets another in a task."""
+    return rows.dropDuplicates(keys).orderBy(F.xxhash64(keys[-1], keys[0]), keys[-1], *keys[:-1]).limit(limit)
 
 
 #: Bytes of the words of the search contracts: A-Z lower-cased, all other ASCII but digits and letters as space.

@@ -134,15 +134,15 @@ FEATURES = "index array<bigint>, value array<float>"
 
 
 def _featured(rows: DataFrame, n_meta: int) -> DataFrame:
-    """``label, index, value`` from ``label, text`` and the metadata columns."""
+    """``label, index, value, doc_id, text_hash`` from ``label, text``, the metadata columns, ``doc_id`` and ``text_hash``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
             meta = list(zip(*(batch.column(2 + j).to_pylist() for j in range(n_meta)), strict=True)) or [()] * batch.num_rows
             found = [document(t, m) for t, m in zip(texts(batch.column(1)), meta, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["label", "index", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float32())), *batch.columns[2 + n_meta :]], ["label", "index", "value", "doc_id", "text_hash"])
 
-    return rows.mapInArrow(run, f"label int, {FEATURES}")
+    return rows.mapInArrow(run, f"label int, {FEATURES}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
@@ -163,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     once = marks.distinct()
     chosen = once.where("label = 0").orderBy(*order).limit(fit_rows // 2).unionByName(once.where("label = 1").orderBy(*order).limit(fit_rows // 2))
     rows = _rows(docs, id_col, text_col, meta_cols)
-    own = one_each(rows.join(F.broadcast(chosen), "doc_id"), "label", fit_rows)
-    found = _featured(own.select(F.col("label").cast("int").alias("label"), "text", *rows.columns[2:]), len(meta_cols)).toArrow()
+    own = rows.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text", *rows.columns[2:], "doc_id", F.xxhash64("text").alias("text_hash"))
+    found = one_each(_featured(own, len(meta_cols)), ["doc_id", "label", "text_hash"], fit_rows).toArrow()
     y = found["label"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return constant

@@ -44,7 +44,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import WordHashes, batches, columns, cut, hash_filter, may_hold, one_each, texts, written
+from shroud.llm.common import WordHashes, batches, columns, hash_filter, may_hold, one_each, texts, written
 
 #: 0 space and everything that is no letter, 1-26 a-z, 27-31 bytes above 0x7F.
 SIGNS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256))
@@ -61,7 +61,7 @@ LEAST_PLAIN = 4
 #: Labelled documents, at most, on which the logistic is fitted.
 FIT_ROWS = 6000
 #: Grams of more than one in so many places are at most so many words and pairs each; other weights that are broadcast at most (16 bytes each).
-FREQUENT, BROADCAST_ROWS = 1 << 16, 1_000_000
+FREQUENT, BROADCAST_ROWS = 1 << 20, 1_000_000
 #: Bits of the filter of the other grams' keys (two probes a key), whatever their number: 8 MB.
 RARE_BITS = 26
 #: A gram is weighed if 2 * n * relative entropy (of its classes' counts to the corpus') reaches this: one in ten by chance.
@@ -329,7 +329,7 @@ class Frequent(NamedTuple):
     """The weighed grams that are frequent, by key: at most ``FREQUENT`` words and as many pairs."""
 
     gram: np.ndarray
-    n: np.ndarray
+    n: np.ndarray  # one byte each
     ratio: np.ndarray
 
     @classmethod
@@ -337,7 +337,7 @@ class Frequent(NamedTuple):
         rows = weights.where("often").select("gram", "n", "ratio").toArrow()  # 2 * FREQUENT rows
         gram, n, ratio = (rows.column(i).to_numpy() for i in range(3))
         order = np.argsort(gram.view(np.uint64))
-        return cls(gram.view(np.uint64)[order], n[order], ratio[order])
+        return cls(gram.view(np.uint64)[order], n[order].astype(np.int8), ratio[order])
 
     def summed(self, key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float, float, float | None]:
         """Which of the keys are frequent; their ratios' sums over words and over pairs, and the largest one."""
@@ -407,7 +407,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Column, id_col
     if weighed is not None:
         words, frequent = weighed.where("NOT often"), Frequent.of(weighed)
         bits = hash_filter(words.select(F.explode(F.array("gram", F.shiftrightunsigned("gram", 32))).alias("probe")), "probe", RARE_BITS)
-    sample = scored(cut(one_each(rows.join(F.broadcast(chosen), "doc_id"), "toxic", fit_rows)), Model(table, words, frequent, bits, ()), ["toxic"]).toArrow()  # fit_rows rows
+    drawn = rows.join(F.broadcast(chosen), "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    sample = one_each(scored(drawn, Model(table, words, frequent, bits, ()), ["toxic", "text_hash"]), ["doc_id", "toxic", "text_hash"], fit_rows).toArrow()  # fit_rows rows of numbers
     x = np.stack([sample[c].to_numpy() for c in FEATURES], axis=1)
     y = sample["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -421,7 +422,7 @@ _GRAMS = "array<struct<gram:bigint,times:int>>"
 def _read(rows: DataFrame, model: Model, also: list[str]) -> DataFrame:
     """What a task finds in each text alone: ``doc_id``, the columns ``also``, the character features, the
     frequent weights' sums and the other grams that may be weighed."""
-    # at most GRAMS half floats, 64 MB, a filter of 8 MB and 2 * FREQUENT weights, 3 MB
+    # at most GRAMS half floats, 64 MB, a filter of 8 MB and 2 * FREQUENT weights of 17 bytes, 36 MB
     shared = rows.sparkSession.sparkContext.broadcast((zlib.compress(model.table.tobytes(), 1), model.bits, model.frequent and tuple(model.frequent)))
     given = rows.select("doc_id", "text", *(c for c in also if c != "text"))
     carried = ["doc_id", *also]
