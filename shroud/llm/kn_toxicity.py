@@ -12,8 +12,10 @@ relative entropy of their counts) are left to the shared backoff, which is the s
 for both classes: their ratio is 0.  The others' log ratios are a table keyed by a
 64-bit hash.  Grams of more than one in ``FREQUENT`` of all places, which are few, are
 broadcast and summed where the text is read.  A text's other grams that a filter of fixed
-size lets through are joined with the rest of the table and summed by row: by broadcast
-if it is small (``BROADCAST_ROWS``, counted), else shuffled.
+size lets through are dealt into buckets by their keys, and so is the rest of the table:
+many grams travel packed in one row, a task holds the weights of one bucket
+(``BUCKET_ROWS`` on average) and the grams pass it block by block, however many they are.
+What comes back are sums by row.
 
 Character models: one of toxic and one of ordinary texts, of order five, for words
 that were never learned.  They share their lower orders: what neither class has seen
@@ -60,8 +62,10 @@ LABEL_ROWS = 2_000_000
 LEAST_PLAIN = 4
 #: Labelled documents, at most, on which the logistic is fitted.
 FIT_ROWS = 6000
-#: Grams of more than one in so many places are at most so many words and pairs each; other weights that are broadcast at most (16 bytes each).
-FREQUENT, BROADCAST_ROWS = 1 << 20, 1_000_000
+#: Grams of more than one in so many places are at most so many words and pairs each; other weights that a task holds at once, on average (17 bytes each).
+FREQUENT, BUCKET_ROWS = 1 << 20, 1_000_000
+#: Grams of texts that are packed together.
+BLOCK = 1 << 18
 #: Bits of the filter of the other grams' keys (two probes a key), whatever their number: 8 MB.
 RARE_BITS = 26
 #: A gram is weighed if 2 * n * relative entropy (of its classes' counts to the corpus') reaches this: one in ten by chance.
@@ -465,12 +469,86 @@ def _numbered(read: DataFrame) -> DataFrame:
     return written(read).withColumn("row_no", F.monotonically_increasing_id())
 
 
+_PACKED = "bucket int, kind int, base bigint, gram binary, value binary, no binary"
+
+
+def _dealt(kind: int, base: int, gram: np.ndarray, value: np.ndarray, no: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that holds any of the keys; the order within a bucket is kept."""
+    bucket = (gram % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, gram, value, no = bucket[order], gram[order], value[order], no[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    parts = [[c[i:j].tobytes() for i, j in zip(first, [*first[1:], len(bucket)], strict=True)] for c in (gram, value, no)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first]), pa.array(np.full(len(first), kind, np.int32)), pa.array(np.full(len(first), base, np.int64)), *(pa.array(p, pa.binary()) for p in parts)],
+        ["bucket", "kind", "base", "gram", "value", "no"],
+    )
+
+
+def _packed_weights(weights: DataFrame, buckets: int) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            gram, n, ratio = (batch.column(i).to_numpy() for i in range(3))
+            yield _dealt(0, 0, gram.view(np.uint64), ratio, n.astype(np.int8), buckets)
+
+    return weights.select("gram", "n", "ratio").mapInArrow(run, _PACKED)
+
+
+def _packed_grams(numbered: DataFrame, buckets: int) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts, 4096):
+            row, grams = batch.column(0).to_numpy(), batch.column(1)
+            gram, times = (grams.flatten().field(i).to_numpy() for i in (0, 1))
+            sizes = grams.value_lengths().to_numpy()
+            no = np.repeat((row - row[0]).astype(np.uint32), sizes) if len(row) else np.zeros(0, np.uint32)  # rows of a batch are neighbours
+            for at in range(0, len(gram), BLOCK):
+                here = slice(at, at + BLOCK)
+                yield _dealt(1, int(row[0]), gram[here].view(np.uint64), times[here].astype(np.int32), no[here], buckets)
+
+    return numbered.select("row_no", "grams").mapInArrow(run, _PACKED)
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """``row_no, sum1, sum2, most`` of every block: in each bucket the weights come first."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, known = None, [], None
+        for batch in parts:
+            for i in range(batch.num_rows):
+                own, kind, base = (batch.column(j)[i].as_py() for j in range(3))
+                value = [batch.column(j)[i].as_buffer() for j in (3, 4, 5)]
+                if own != bucket:
+                    bucket, held, known = own, [], None
+                key = np.frombuffer(value[0], np.uint64)
+                if kind == 0:
+                    held.append((key.copy(), np.frombuffer(value[2], np.int8).copy(), np.frombuffer(value[1], np.float64).copy()))
+                    continue
+                if not held:
+                    continue
+                if known is None:
+                    known = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    order = np.argsort(known[0])
+                    known, held = [c[order] for c in known], held[:1]
+                at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+                hit = np.flatnonzero(known[0][at] == key)
+                if not len(hit):
+                    continue
+                n, ratio, no = known[1][at[hit]], known[2][at[hit]], np.frombuffer(value[2], np.uint32)[hit]
+                first = np.flatnonzero(np.r_[True, no[1:] != no[:-1]])  # a row's grams stand together
+                total = np.frombuffer(value[1], np.int32)[hit] * ratio
+                sums = [np.add.reduceat(np.where(n == k, total, 0.0), first) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(base + no[first].astype(np.int64)), *map(pa.array, sums), pa.array(np.maximum.reduceat(ratio, first))], ["row_no", "sum1", "sum2", "most"])
+
+    return dealt.mapInArrow(run, "row_no bigint, sum1 double, sum2 double, most double")
+
+
 def _features(numbered: DataFrame, weights: DataFrame, also: list[str]) -> DataFrame:
     """``row_no``, the columns ``also`` and the features of numbered rows."""
     zero = F.lit(0.0)
-    grams = numbered.select("row_no", F.explode("grams").alias("g")).select("row_no", "g.*")
-    met = grams.join(F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights.hint("merge"), "gram")
-    sums = met.groupBy("row_no").agg(*(F.sum(F.when(F.col("n") == n, F.col("times") * F.col("ratio")).otherwise(0.0)).alias(f"sum{n}") for n in (1, 2)), F.max("ratio").alias("most"))
+    buckets = max(numbered.sparkSession.sparkContext.defaultParallelism, -(-weights.count() // BUCKET_ROWS))
+    dealt = _packed_weights(weights, buckets).unionByName(_packed_grams(numbered, buckets))
+    met = _met(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind"))
+    sums = met.groupBy("row_no").agg(F.sum("sum1").alias("sum1"), F.sum("sum2").alias("sum2"), F.max("most").alias("most"))
     joined = numbered.select("row_no", *also, "mean", "top", "own1", "own2", "own_most", "places").join(sums, "row_no", "left")
     per_place = lambda n: ((F.col(f"own{n}") + F.coalesce(f"sum{n}", zero)) / F.greatest("places", F.lit(1))).alias(f"word{n}")
     return joined.select("row_no", *also, "mean", "top", per_place(1), per_place(2), F.coalesce(F.greatest("most", "own_most"), zero).alias("most"))

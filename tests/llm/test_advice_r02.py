@@ -46,12 +46,12 @@ def test_word_models_tell_expressions_that_the_signs_fold_together(spark):
     assert rounded(twice) == rounded(frame.limit(1))
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, kn_toxicity.BROADCAST_ROWS])
-def test_frequent_and_rare_weights_give_the_same_features(spark, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("bucket_rows", [50, kn_toxicity.BUCKET_ROWS])
+def test_frequent_and_rare_weights_give_the_same_features(spark, monkeypatch, bucket_rows):
     words = "a b c d e f g h i j".split()
     frame = spark.createDataFrame([(i, " ".join(words[(i * k) % 10] for k in range(1, 9)) + (" bad thing" if i % 2 else " good thing"), "a") for i in range(60)] + [(60, None, "a"), (61, "", "a")], SCHEMA)
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
-    monkeypatch.setattr(kn_toxicity, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(kn_toxicity, "BUCKET_ROWS", bucket_rows)
     found = []
     for frequent in (1, 20, 1 << 16):  # no weight is frequent, some, all of them
         monkeypatch.setattr(kn_toxicity, "FREQUENT", frequent)
