@@ -36,6 +36,7 @@ empty, every text gets the share of toxic labels; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -64,13 +65,15 @@ LEAST_PLAIN = 4
 FIT_ROWS = 6000
 #: Grams of more than one in so many places are at most so many words and pairs each; other weights that a task holds at once, on average (17 bytes each).
 FREQUENT, BUCKET_ROWS = 1 << 20, 1_000_000
-#: Grams of texts that are packed together.
-BLOCK = 1 << 18
+#: Grams of texts that are packed together, and those that pass a bucket, on average.
+BLOCK, BUCKET_GRAMS = 1 << 18, 1 << 23
 #: Bits of the filter of the other grams' keys (two probes a key), whatever their number: 8 MB.
 RARE_BITS = 26
 #: A gram is weighed if 2 * n * relative entropy (of its classes' counts to the corpus') reaches this: one in ten by chance.
 LEAST_G = 2.71
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]")
+#: The same words of ASCII alone, by the faster module; and what is beyond ASCII.
+ASCII_WORDS, BEYOND_ASCII = re.compile(r"\w+|[^\s\w]", re.ASCII), re.compile(r"[^\x00-\x7f]+")
 FEATURES = ("mean", "top", "word1", "word2", "most")
 
 
@@ -182,9 +185,22 @@ START, END = np.uint64(0), np.uint64(1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """``WORDS.findall(text)``; only what lies between two spaces around signs beyond ASCII needs their classes."""
+    found, at = [], 0
+    for run in () if text.isascii() else BEYOND_ASCII.finditer(text):
+        if run.start() >= at:
+            lo, hi = text.rfind(" ", at, run.start()), text.find(" ", run.end())
+            lo, hi = at if lo < 0 else lo, len(text) if hi < 0 else hi
+            found += ASCII_WORDS.findall(text, at, lo)
+            found += WORDS.findall(text, lo, hi)
+            at = hi
+    return found + ASCII_WORDS.findall(text, at)
+
+
 def word_hashes(text: bytes, hashes: WordHashes) -> np.ndarray:
     """Hashes of the words between a start and an end."""
-    words = WORDS.findall(text.decode().lower())
+    words = words_of(text.decode().lower())
     return np.r_[START, np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), END]
 
 
@@ -545,7 +561,8 @@ def _met(dealt: DataFrame) -> DataFrame:
 def _features(numbered: DataFrame, weights: DataFrame, also: list[str]) -> DataFrame:
     """``row_no``, the columns ``also`` and the features of numbered rows."""
     zero = F.lit(0.0)
-    buckets = max(numbered.sparkSession.sparkContext.defaultParallelism, -(-weights.count() // BUCKET_ROWS))
+    grams = numbered.agg(F.sum(F.size("grams"))).first()[0] or 0
+    buckets = max(numbered.sparkSession.sparkContext.defaultParallelism, -(-weights.count() // BUCKET_ROWS), -(-grams // BUCKET_GRAMS))
     dealt = _packed_weights(weights, buckets).unionByName(_packed_grams(numbered, buckets))
     met = _met(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind"))
     sums = met.groupBy("row_no").agg(F.sum("sum1").alias("sum1"), F.sum("sum2").alias("sum2"), F.max("most").alias("most"))

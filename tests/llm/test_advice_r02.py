@@ -85,6 +85,13 @@ def test_no_link_is_lost_in_crowded_postings_below_two_bits(spark, bits):
     assert same(lambda f: got.get(f, f)) == same(lambda f: want[f])
 
 
+def test_words_are_those_of_the_one_pattern():
+    rng = np.random.default_rng(3)
+    signs = list("ab Z_9.,!\n\t\r\x0b\x1c\x1f\x85\xa0\u0301\u2003 é日ж½²  ")
+    texts = ["".join(rng.choice(signs, size=int(n))) for n in rng.integers(0, 40, size=3000)] + ["", " ", "é", "a" * 5000 + "é", "x é " * 2000]
+    assert all(kn_toxicity.words_of(t) == kn_toxicity.WORDS.findall(t) for t in texts)
+
+
 def test_word_weights_against_plain_kneser_ney(spark):
     """Counts, shared backoff, pruning and ratios of the word models, by dictionaries."""
     rng = np.random.default_rng(6)
