@@ -213,16 +213,17 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _docs_stream(spark, sf_dir):
+    """documents as a file stream.  A pattern as path: it may name one file or a folder of files, and a plain path must be a folder."""
+    return spark.readStream.schema("doc_id long, text string").parquet(f"{sf_dir}/documents.parque[t]")
+
+
 def stream_redact(spark, sf_dir):
     """documents as a file stream -> redaction -> exactly-once parquet sink, read back."""
     from shroud.streaming.stream import redact_stream
 
     base = _scratch(spark, "stream-redact")
-    sdf = (
-        spark.readStream.schema("doc_id long, text string")
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    sdf = _docs_stream(spark, sf_dir)
     q = (
         redact_stream(sdf, "doc_id", "text")
         .select("doc_id", "redacted_text")
@@ -251,7 +252,7 @@ def stream_vault(spark, sf_dir):
     from shroud.streaming.stream import read_committed, redact_stream, write_redacted_and_vault
 
     base = _scratch(spark, "stream-vault")
-    sdf = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    sdf = _docs_stream(spark, sf_dir)
     red = redact_stream(sdf, "doc_id", "text", with_vault=True)
     write_redacted_and_vault(red, ["doc_id"], base + "/out", base + "/checkpoint", vault_path=base + "/vault").awaitTermination()
     return read_committed(spark, base + "/out", base + "/vault").drop("stream_id", "batch_id", "text_id")
