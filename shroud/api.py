@@ -29,7 +29,7 @@ from shroud.operators.detect import (
     row_toggle_filter_sql,
     with_candidates,
 )
-from shroud.operators.redact import REPLACEMENT_TYPE, count_map_sql, restore_sql, rewrite_sql, token_prefix_sql
+from shroud.operators.redact import REPLACEMENT_TYPE, count_map_sql, redacted_text_sql, replacements_sql, restore_sql, token_prefix_sql, token_to_original_sql, work_sql
 from shroud.operators.resolve import resolve_sql
 
 NORM = "__shroud_text"
@@ -37,6 +37,7 @@ CANDS = "__shroud_cands"
 TOGGLES = "__shroud_toggles"
 KEYWORDS = "__shroud_keywords"
 SEL = "__shroud_sel"
+WORK = "__shroud_work"
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -57,6 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+def evened(df: DataFrame) -> DataFrame:
+    """The rows over tasks of like size, which adaptive execution takes from the bytes (streams: as many as shuffles have).
+
+    For inputs whose files or row groups are large or uneven, before work that costs far more than a shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if df.isStreaming else df.hint("rebalance")
+
+
 def prepared(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -141,22 +150,23 @@ def redact(
     """
     ks = _keys(keys)
     s = with_selection(df, ks, text, config, normalize, ner, row_toggles, row_keywords)
-    s = s.select(*ks, F.col(NORM), F.expr(rewrite_sql(ident(NORM), ident(SEL))).alias("r"))
+    # each column by itself, from the records or the selection: Spark leaves out what a query does not read
+    s = s.select(*ks, NORM, SEL, F.expr(work_sql(ident(SEL))).alias(WORK))
     cols = [
         *ks,
-        F.col("r.redacted_text").alias("redacted_text"),
+        F.expr(redacted_text_sql(ident(NORM), ident(WORK))).alias("redacted_text"),
         F.expr(
-            "transform(r.replacements, h_ -> named_struct('output_start', h_.output_start, "
+            f"transform({ident(WORK)}, h_ -> named_struct('output_start', h_.output_start, "
             "'output_end', h_.output_end, 'token', h_.token, 'entity_type', h_.entity_type, 'category', h_.category))"
         ).alias("highlights"),
-        F.col("r.counts_by_type").alias("counts_by_type"),
-        F.col("r.counts_by_category").alias("counts_by_category"),
+        F.expr(count_map_sql(f"transform({ident(SEL)}, m_ -> {token_prefix_sql('m_.entity_type')})")).alias("counts_by_type"),
+        F.expr(count_map_sql(f"transform({ident(SEL)}, m_ -> m_.category)")).alias("counts_by_category"),
     ]
     if with_vault:
         cols += [
             F.col(NORM).alias("original_text"),
-            F.col("r.replacements").alias("replacements"),
-            F.col("r.token_to_original").alias("token_to_original"),
+            F.expr(replacements_sql(ident(WORK))).alias("replacements"),
+            F.expr(token_to_original_sql(ident(WORK))).alias("token_to_original"),
         ]
     return s.select(*cols)
 
@@ -222,7 +232,8 @@ def restore(edited: DataFrame, vault_df: DataFrame, keys, text: str = "redacted_
     own = vault_df if "text_id" in vault_df.columns else vault_df.withColumn("text_id", F.lit(0).cast("long"))
     # position order: the order of a collected set is not defined after a shuffle; equal rows count once
     per_text = own.groupBy(*ks, "text_id").agg(F.sort_array(F.collect_set(F.struct(*names))).cast(REPLACEMENT_TYPE).alias("__reps"))
-    per_key = own.groupBy(*ks).agg(F.min("text_id").alias("__one"), (F.min("text_id") != F.max("text_id")).alias("__several"))
+    # from the texts, not from the replacements: the vault is read and grouped by text once, and few rows are left
+    per_key = per_text.groupBy(*ks).agg(F.min("text_id").alias("__one"), (F.min("text_id") != F.max("text_id")).alias("__several"))
     marked = edited.select(*ks, F.col(text).alias("__text")).join(per_key, on=ks, how="left")
     marked = marked.withColumn("text_id", F.when(F.col("__several"), text_id("__text")).otherwise(F.col("__one")))
     j = marked.join(per_text, on=[*ks, "text_id"], how="left")

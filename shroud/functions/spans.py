@@ -49,9 +49,15 @@ def empty(type_sql: str) -> str:
     return f"CAST(array() AS {type_sql})"
 
 
+#: Up to so many elements are walked in one level: copies of a short accumulator cost less than a second level.
+ONE_LEVEL = 32
+#: Pieces of a text with up to four hits.
+FEW_PIECES = 9
+
+
 def chunk_width(items: str) -> str:
-    """Square root of the number of elements, rounded up, at least 1."""
-    return f"greatest(CAST(ceil(sqrt(size({items}))) AS INT), 1)"
+    """Square root of the number of elements, rounded up; all of a few elements, at least 1."""
+    return f"greatest(IF(size({items}) <= {ONE_LEVEL}, size({items}), CAST(ceil(sqrt(size({items}))) AS INT)), 1)"
 
 
 def chunks(items: str, width: str) -> str:
@@ -68,32 +74,31 @@ def running(items: str, init: str, step: str, emit: str, out_type: str) -> str:
     ``emit`` and ``step`` are SQL over the state before the element (``st_``) and
     the element (``x_``).  ``aggregate`` copies its accumulator at every step, so
     the walk has two levels, chunks of square-root size and the elements of one:
-    n outputs cost n * sqrt(n) copies instead of n * n.
+    n outputs cost n * sqrt(n) copies instead of n * n.  A few elements take one level.
     """
     emitted = let("si_.s", "st_", f"named_struct('s', {step}, 'o', concat(si_.o, array({emit})))")
     inner = f"aggregate(sc_, named_struct('s', so_.s, 'o', {empty(out_type)}), (si_, x_) -> {emitted})"
     outer = let(inner, "sr_", "named_struct('s', sr_.s, 'o', concat(so_.o, sr_.o))")
-    return let(
-        items,
-        "sq_",
-        let(
-            chunk_width("sq_"),
-            "sw_",
-            f"aggregate({chunks('sq_', 'sw_')}, named_struct('s', {init}, 'o', {empty(out_type)}), "
-            f"(so_, sc_) -> {outer}, so_ -> so_.o)",
-        ),
-    )
+    begin = f"named_struct('s', {init}, 'o', {empty(out_type)})"
+    few = f"aggregate(sq_, {begin}, (si_, x_) -> {emitted}, si_ -> si_.o)"
+    many = let(chunk_width("sq_"), "sw_", f"aggregate({chunks('sq_', 'sw_')}, {begin}, (so_, sc_) -> {outer}, so_ -> so_.o)")
+    return let(items, "sq_", f"IF(size(sq_) <= {ONE_LEVEL}, {few}, {many})")
 
 
 def _from_pieces(pieces: str) -> str:
-    """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces."""
-    body = let(
+    """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces; with a few hits the text before each is put together and measured."""
+    before = "length(array_join(slice(pp_, 1, {}), ''))"
+    few = (
+        "transform(sequence(1, size(pp_) - 2, 2), "
+        f"i_ -> named_struct('start', {before.format('i_')}, 'end', {before.format('i_ + 1')}, 'value', get(pp_, i_)))"
+    )
+    many = let(
         running("transform(pp_, e_ -> length(e_))", "0", "st_ + x_", "st_", "ARRAY<INT>"),
         "cc_",
         "transform(sequence(1, size(pp_) - 2, 2), "
         "i_ -> named_struct('start', get(cc_, i_), 'end', get(cc_, i_) + length(get(pp_, i_)), 'value', get(pp_, i_)))",
     )
-    return let(pieces, "pp_", f"IF(size(pp_) < 3, {empty(SPAN_TYPE)}, {body})")
+    return let(pieces, "pp_", f"IF(size(pp_) < 3, {empty(SPAN_TYPE)}, IF(size(pp_) <= {FEW_PIECES}, {few}, {many}))")
 
 
 def _two_pass(text: str, p: str) -> str:

@@ -39,7 +39,7 @@ from shroud.functions.seams import cut, seam_pattern, seams
 from shroud.functions.spans import empty, ident
 from shroud.operators.detect import CAND_TYPE, NER_TYPE, with_candidates
 from shroud.operators.ner import coerce_spans
-from shroud.operators.redact import rewrite_sql, token_prefix_sql
+from shroud.operators.redact import redacted_text_sql, replacements_sql, token_prefix_sql, work_sql
 from shroud.operators.resolve import resolve_sql
 from shroud.session import ensure_checkpoint_dir
 
@@ -238,8 +238,9 @@ def redact_chunks(pieces: DataFrame, keys, config: RedactionConfig | None = None
     prefixes = hits.where(F.size("sel") > 0).select(*PLACE, F.explode("sel").alias("m")).select(*PLACE, F.expr(token_prefix_sql("m.entity_type")).alias("p"))
     numbered = running(prefixes.groupBy(*PLACE, "p").agg(F.count("*").alias("k")), [ROW, "p"], "k", "before")
     given = numbered.groupBy(*PLACE).agg(F.collect_list(F.struct("p", F.col("before").cast("int").alias("n"))).alias("given"))  # a chunk's token prefixes
-    rewritten = hits.join(given, PLACE, "left").withColumn("r", F.expr(rewrite_sql("rest", "sel", "coalesce(given, array())")))
-    written = settled(rewritten.select(*ks, *PLACE, TEXT, (F.col(START) + F.col("gone")).alias("base"), F.col("r.redacted_text").alias("redacted_text"), F.col("r.replacements").alias("reps"), F.coalesce(F.length("r.redacted_text"), F.lit(0)).cast("long").alias("__n")))
+    rewritten = hits.join(given, PLACE, "left").withColumn("work", F.expr(f"IF(rest IS NULL, NULL, {work_sql('sel', 'coalesce(given, array())')})"))
+    rewritten = rewritten.withColumn("redacted_text", F.expr(redacted_text_sql("rest", "work"))).withColumn("reps", F.expr(replacements_sql("work")))
+    written = settled(rewritten.select(*ks, *PLACE, TEXT, (F.col(START) + F.col("gone")).alias("base"), "redacted_text", "reps", F.coalesce(F.length("redacted_text"), F.lit(0)).cast("long").alias("__n")))
     out = running(written, [ROW], "__n", "__out")
     at = lambda r: F.struct(
         (r["original_start"] + F.col("base")).alias("original_start"), (r["original_end"] + F.col("base")).alias("original_end"),

@@ -23,9 +23,10 @@ REPLACEMENT_TYPE = f"ARRAY<{REPLACEMENT_STRUCT}>"
 
 
 def token_prefix_sql(entity_type: str) -> str:
-    """Upper case, runs outside ``A-Z0-9`` -> ``_``, strip ``_``; empty -> REDACTED."""
+    """Upper case, runs outside ``A-Z0-9`` -> ``_``, strip ``_``; empty -> REDACTED.  The built-in types are their own prefix."""
+    known = ", ".join(lit(t) for t in [*R.TOGGLES_BY_TYPE, "CUSTOM"])
     raw = f"regexp_replace(upper({entity_type}), '[^A-Z0-9]+', '_')"
-    return f"coalesce(nullif(regexp_replace({raw}, '^_+|_+$', ''), ''), {lit(R.FALLBACK_PREFIX)})"
+    return f"IF({entity_type} IN ({known}), {entity_type}, coalesce(nullif(regexp_replace({raw}, '^_+|_+$', ''), ''), {lit(R.FALLBACK_PREFIX)}))"
 
 
 _COUNTS_TYPE = "ARRAY<STRUCT<`p`: STRING, `n`: INT>>"
@@ -69,11 +70,16 @@ def count_map_sql(keys: str) -> str:
     return let(keys, "ks_", "map_from_entries(transform(array_distinct(ks_), k_ -> named_struct('key', k_, 'value', size(filter(ks_, y_ -> y_ = k_)))))")
 
 
-def rewrite_sql(text: str, selected: str, given: str = "array()") -> str:
-    """SQL struct<redacted_text, replacements, token_to_original, counts_by_type, counts_by_category>.
+def work_sql(selected: str, given: str = "array()") -> str:
+    """SQL array of replacement records with their prefix; null for null.
 
     ``given``: array of (prefix, number) that went out before this text, where it is a piece of a longer one.
     """
+    return f"CASE WHEN {selected} IS NULL THEN NULL ELSE {_work(selected, given)} END"
+
+
+def redacted_text_sql(text: str, work: str) -> str:
+    """The text with ``work_sql``'s tokens in place of their values."""
     # substring walks its text from the front: cut each chunk of hits out first, then its gaps
     gap_from = "IF(i_ = 0, from_, get(q_, i_ - 1).original_end)"
     pieces = (
@@ -84,15 +90,17 @@ def rewrite_sql(text: str, selected: str, given: str = "array()") -> str:
     joined = let("coalesce(get(rs_, j_ * w_ - 1).original_end, 0)", "from_", let(part, "part_", f"array_join({pieces}, '')"))
     body_text = let(chunk_width("rs_"), "w_", f"array_join(transform({chunks('rs_', 'w_')}, (q_, j_) -> {joined}), '')")
     tail_from = "coalesce(try_element_at(rs_, -1).original_end, 0)"
-    redacted = f"concat({body_text}, substring({text}, {tail_from} + 1))"
-    public = "transform(rs_, r_ -> named_struct(" + ", ".join(f"'{n}', r_.{n}" for n in REPLACEMENT_NAMES) + "))"
-    body = (
-        f"named_struct('redacted_text', {redacted}, 'replacements', {public}, "
-        f"'token_to_original', map_from_entries(transform(rs_, r_ -> named_struct('key', r_.token, 'value', r_.original_value))), "
-        f"'counts_by_type', {count_map_sql('transform(rs_, r_ -> r_.prefix)')}, "
-        f"'counts_by_category', {count_map_sql('transform(rs_, r_ -> r_.category)')})"
-    )
-    return f"CASE WHEN {text} IS NULL THEN NULL ELSE {let(_work(selected, given), 'rs_', body)} END"
+    redacted = let(work, "rs_", f"concat({body_text}, substring({text}, {tail_from} + 1))")
+    return f"CASE WHEN {text} IS NULL THEN NULL WHEN size({work}) = 0 THEN {text} ELSE {redacted} END"
+
+
+def replacements_sql(work: str) -> str:
+    """``work_sql`` without the prefixes."""
+    return f"transform({work}, r_ -> named_struct(" + ", ".join(f"'{n}', r_.{n}" for n in REPLACEMENT_NAMES) + "))"
+
+
+def token_to_original_sql(work: str) -> str:
+    return f"map_from_entries(transform({work}, r_ -> named_struct('key', r_.token, 'value', r_.original_value)))"
 
 
 #: What a token looks like.
