@@ -7,6 +7,8 @@ Column names are identical on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,13 +165,13 @@ def status_summary(spark, sf_dir):
 
 
 def roundtrip_audit(spark, sf_dir):
-    red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True)
+    red = api.redact(api.evened(_docs(spark, sf_dir)), "doc_id", "text", with_vault=True)
     return api.restore_own(red, "doc_id")
 
 
 def restore_join(spark, sf_dir):
-    # redact once for both sides; values stay with the executors and are written nowhere
-    red = api.redact(_docs(spark, sf_dir), "doc_id", "text", with_vault=True).persist()
+    # redact once for both sides, and keep what they read; values stay with the executors and are written nowhere
+    red = api.redact(api.evened(_docs(spark, sf_dir)), "doc_id", "text", with_vault=True).select("doc_id", "redacted_text", "replacements").persist()
     v = api.vault(red, "doc_id")
     edited = red.select("doc_id", F.concat(F.lit("EDITED: "), F.col("redacted_text")).alias("redacted_text"))
     return api.restore(edited, v, "doc_id").select("doc_id", "restored_text")
@@ -280,6 +282,16 @@ def chunked_offsets(spark, sf_dir):
 RANGE_FILES = 8
 
 
+def _read_tasks(spark, path: str) -> int:
+    """Tasks to read a folder with: as many as the session's ``maxPartitionBytes`` gives, four a core at least."""
+    from shroud.sources.ranges import listed
+
+    total = listed(spark, path, None).agg(F.sum("length")).first()[0] or 0
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    most = int(number) << 10 * "bkmgtp".index(unit or "b")
+    return max(4 * spark.sparkContext.defaultParallelism, -(-total // most))
+
+
 def file_ranges_offsets(spark, sf_dir):
     """Documents as a few long files, read in byte ranges far smaller than a file; hits with their place in the file."""
     from shroud.sources.ranges import read_text_chunks
@@ -289,6 +301,8 @@ def file_ranges_offsets(spark, sf_dir):
     lines.repartition(RANGE_FILES, "part").sortWithinPartitions("part", "doc_id").select("text", "part").write.partitionBy("part").text(base)
     session = spark.newSession()  # the size of a range is this reader's own setting
     session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    # ranges stay as small; a task takes as many as this session's own setting gives it bytes, and every core some
+    session.conf.set("spark.sql.files.maxPartitionNum", _read_tasks(spark, base))
     pieces = read_text_chunks(session, base, chunk_chars=CHUNK_CHARS)
     found = chunked.vault(chunked.redact_chunks(pieces, "path", with_vault=True), "path")
     part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")
