@@ -18,6 +18,10 @@ are the most that one task sees of it.
 Chunk rows carry a row number from the cut, so texts of equal keys never mix; they are
 written to the shared checkpoint folder once, before anything refers to that number.
 
+``redact_long`` keeps the chunks of a text that is one block of up to ``TOGETHER_CHARS``
+characters in one row, with the places of their ends: no sum has to leave such a row,
+and its spans come by key.  Its chunks become rows at the end.  Longer texts go as above.
+
 Defined results: a null text is one chunk with a null text; an empty one, one empty
 chunk; chunks in the order of (``block``, ``idx``) concatenate to what ``api.redact``
 gives for the whole text, with the same tokens and offsets (as longs).
@@ -25,6 +29,7 @@ gives for the whole text, with the same tokens and offsets (as longs).
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +41,7 @@ from shroud.config import RedactionConfig
 from shroud.functions import rules as R
 from shroud.functions.normalize import normalize_column
 from shroud.functions.seams import cut, seam_pattern, seams
-from shroud.functions.spans import empty, ident
+from shroud.functions.spans import empty, ident, let
 from shroud.operators.detect import CAND_TYPE, NER_TYPE, with_candidates
 from shroud.operators.ner import coerce_spans
 from shroud.operators.redact import redacted_text_sql, replacements_sql, token_prefix_sql, work_sql
@@ -47,8 +52,12 @@ ROW, BLOCK_COL, IDX, N, START = "row", "block", "idx", "n_chars", "start"
 PLACE = [ROW, BLOCK_COL, IDX]
 TEXT = "chunk_text"
 RESERVED = {*PLACE, N, START, TEXT}
+#: Ends of the chunks that one row holds; null where the row is a chunk.
+ENDS = "__ends"
 #: Characters of a chunk, at least; chunks of a block.
 CHUNK_CHARS, BLOCK = 1 << 16, 64
+#: Characters of a text, at most, whose chunks stay in one row.
+TOGETHER_CHARS = 1 << 16
 #: Characters that a task hands on at a time while it cuts.
 HANDED_ON = 1 << 23
 
@@ -92,34 +101,55 @@ def normalized(chunks: DataFrame, normalize: str) -> DataFrame:
     return bom if normalize == "bom" else normalize_column(bom.withColumn("__raw", F.concat(F.lit("."), TEXT)), "__raw", "__out").withColumn(TEXT, F.expr("substring(__out, 2)")).drop("__raw", "__out")
 
 
-def chunks(df: DataFrame, keys, text: str, config: RedactionConfig | None = None, normalize: str = "nfkc", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """keys, ``row, block, idx, chunk_text``: every text in chunks, normalised."""
-    ks = [keys] if isinstance(keys, str) else list(keys)
+def _normal(piece: str, normalize: str, first: bool) -> str:
+    """``normalized`` of one piece."""
+    bare = piece.lstrip("\ufeff") if first and normalize != "none" else piece
+    return bare if normalize in ("none", "bom") else unicodedata.normalize("NFKC", bare)
+
+
+def _cut(df: DataFrame, ks: list[str], text: str, config: RedactionConfig | None, normalize: str, chunk_chars: int, together: int) -> DataFrame:
+    """keys, ``row, block, idx, chunk_text, __ends``: a row per chunk as it stands in the text, or, of texts of
+    one block and up to ``together`` characters, a row with all chunks, normalised, and their ends."""
     if clash := RESERVED & set(ks):
         raise ValueError(f"key columns named {sorted(clash)} clash with the chunks' own")
     marks = active_seams(config)
     rows = api.spread(df.select(*ks, F.col(text).alias(TEXT))).withColumn(ROW, F.monotonically_increasing_id())
     at = len(ks)
-    names = [*ks, ROW, BLOCK_COL, IDX, TEXT]
+    names = [*ks, ROW, BLOCK_COL, IDX, TEXT, ENDS]
+
+    def joined(value: str | None, pattern) -> tuple[str | None, list[int]] | None:
+        """The text and its chunks' ends, if they stay in one row."""
+        if len(value or "") > together:
+            return None
+        own = [_normal(piece, normalize, k == 0) for k, piece in enumerate(cut(value or "", pattern, chunk_chars))]
+        ends = [0]
+        for piece in own:
+            ends.append(ends[-1] + len(piece))
+        if len(own) > BLOCK or ends[-1] > together:
+            return None
+        return (None if value is None else "".join(own)), ends[1:]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = seam_pattern(marks)
         for batch in parts:
-            held: list[tuple[int, int, str | None]] = []
+            held: list[tuple[int, int, str | None, list[int] | None]] = []
             size = 0
 
             def handed(batch=batch) -> pa.RecordBatch:
-                source = pa.array([i for i, _, _ in held], pa.int64())
-                own = [batch.column(i).take(source) for i in (*range(at), at + 1)]
-                idx = [i for _, i, _ in held]
-                new = [pa.array([i // BLOCK for i in idx], pa.int64()), pa.array(idx, pa.int64()), pa.array([t for _, _, t in held], pa.string())]
+                source, idx, texts, ends = map(list, zip(*held))
+                own = [batch.column(i).take(pa.array(source, pa.int64())) for i in (*range(at), at + 1)]
+                new = [pa.array([i // BLOCK for i in idx], pa.int64()), pa.array(idx, pa.int64()), pa.array(texts, pa.string()), pa.array(ends, pa.list_(pa.int32()))]
                 held.clear()
                 return pa.RecordBatch.from_arrays([*own, *new], names)
 
             for i in range(batch.num_rows):
                 value = batch.column(at)[i].as_py()
-                for k, piece in enumerate([None] if value is None else cut(value, pattern, chunk_chars)):
-                    held.append((i, k, piece))
+                if whole := joined(value, pattern):
+                    found = [(0, *whole)]
+                else:
+                    found = ((k, piece, None) for k, piece in enumerate([None] if value is None else cut(value, pattern, chunk_chars)))
+                for k, piece, ends in found:
+                    held.append((i, k, piece, ends))
                     size += len(piece or "")
                     if size >= HANDED_ON:
                         yield handed()
@@ -128,8 +158,13 @@ def chunks(df: DataFrame, keys, text: str, config: RedactionConfig | None = None
                 yield handed()
 
     kinds = [f"{ident(k)} {rows.schema[k].dataType.simpleString()}" for k in ks]
-    pieces = rows.mapInArrow(run, ", ".join([*kinds, f"{ROW} bigint", f"{BLOCK_COL} bigint", f"{IDX} bigint", f"{TEXT} string"]))
-    return settled(normalized(dealt(pieces), normalize))
+    return dealt(rows.mapInArrow(run, ", ".join([*kinds, f"{ROW} bigint", f"{BLOCK_COL} bigint", f"{IDX} bigint", f"{TEXT} string", f"{ENDS} array<int>"])))
+
+
+def chunks(df: DataFrame, keys, text: str, config: RedactionConfig | None = None, normalize: str = "nfkc", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """keys, ``row, block, idx, chunk_text``: every text in chunks, normalised."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    return settled(normalized(_cut(df, ks, text, config, normalize, chunk_chars, -1).drop(ENDS), normalize))
 
 
 def dealt(pieces: DataFrame) -> DataFrame:
@@ -138,6 +173,12 @@ def dealt(pieces: DataFrame) -> DataFrame:
     return pieces.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACE)
 
 
+def _usable_spans(ner: DataFrame, ks: list[str], config: RedactionConfig) -> DataFrame:
+    """Spans of an external table with an active label and a place that can be."""
+    wanted = [label for labels, toggle in ((R.NER_PERSON_LABELS, "names"), (R.NER_LOCATION_LABELS, "addresses")) if config.enabled(toggle) for label in labels]
+    return coerce_spans(ner, ks).where(F.col("label").isin(*wanted)).where("start >= 0 AND start < `end`")
+
+
 def _model_spans(placed: DataFrame, ner: DataFrame, ks: list[str], config: RedactionConfig) -> DataFrame:
     """``row, block, idx, __ner``: the candidates of an external span table in the chunk where each starts.
 
@@ -147,10 +188,8 @@ def _model_spans(placed: DataFrame, ner: DataFrame, ks: list[str], config: Redac
     from their slices.
     """
     width = F.lit(CHUNK_CHARS).cast("long")
-    by_label = [(R.NER_PERSON_LABELS, "PERSON", "pii", R.NER_PERSON_EMISSION, "names"), (R.NER_LOCATION_LABELS, "LOCATION", "location", R.NER_LOCATION_EMISSION, "addresses")]
-    wanted = [label for labels, *_, toggle in by_label if config.enabled(toggle) for label in labels]
-    spans = coerce_spans(ner, ks).where(F.col("label").isin(*wanted)).where("start >= 0 AND start < `end`").distinct()
-    spans = spans.select(*ks, F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "label")
+    by_label = [(R.NER_PERSON_LABELS, "PERSON", "pii", R.NER_PERSON_EMISSION), (R.NER_LOCATION_LABELS, "LOCATION", "location", R.NER_LOCATION_EMISSION)]
+    spans = _usable_spans(ner, ks, config).distinct().select(*ks, F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "label")
     ranges = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
     extents = placed.where(F.col(N) > 0).select(*ks, *PLACE, F.col(START).alias("c"), (F.col(START) + F.col(N)).alias("d"))
     totals = extents.groupBy(ROW).agg(F.max("d").alias("total"))
@@ -247,15 +286,59 @@ def redact_chunks(pieces: DataFrame, keys, config: RedactionConfig | None = None
         (r["output_start"] + F.col("__out")).alias("output_start"), (r["output_end"] + F.col("__out")).alias("output_end"),
         r["token"].alias("token"), r["original_value"].alias("original_value"), r["entity_type"].alias("entity_type"), r["category"].alias("category"),
     )
-    out = out.withColumn("replacements", F.transform("reps", at).cast(REPLACEMENT))
+    return _chunk_columns(out.withColumn("replacements", F.transform("reps", at)).withColumn("original_text", F.col(TEXT)), ks, with_vault)
+
+
+def _chunk_columns(out: DataFrame, ks: list[str], with_vault: bool) -> DataFrame:
+    """What ``redact_chunks`` returns, from rows of chunks with their text, redacted text and replacements."""
+    out = out.withColumn("replacements", F.col("replacements").cast(REPLACEMENT))
     highlights = F.transform("replacements", lambda r: F.struct(*(r[x].alias(x) for x in ("output_start", "output_end", "token", "entity_type", "category"))))
     columns = [*ks, *PLACE, "redacted_text", highlights.alias("highlights")]
-    return out.select(*columns, *([F.col(TEXT).alias("original_text"), "replacements"] if with_vault else []))
+    return out.select(*columns, *(["original_text", "replacements"] if with_vault else []))
+
+
+def _redact_together(rows: DataFrame, ks: list[str], config: RedactionConfig, ner: DataFrame | None, with_vault: bool) -> DataFrame:
+    """``redact_chunks`` of texts whose chunks are one row each, with the chunks' ends.
+
+    No hit of a rule crosses a seam, so the row's text is searched at once; spans of the
+    model are resolved beside the hits, over its seams and inside its chunks.  A chunk
+    begins in the redacted text behind the last replacement that begins before it, and
+    as far on as the chunk does in the text.
+    """
+    if ner is None:
+        found = with_candidates(rows, TEXT, config, out_col="cands")
+    else:
+        spans = _usable_spans(ner, ks, config).where(F.col("end") <= TOGETHER_CHARS)
+        by_key = spans.groupBy(*ks).agg(F.collect_set(F.struct("start", "end", "label")).alias("__ner"))
+        found = with_candidates(rows.join(by_key, ks, "left"), TEXT, config, ner_col="__ner", out_col="cands").drop("__ner")
+    work = found.withColumn("sel", F.expr(resolve_sql("cands"))).withColumn("work", F.expr(work_sql("sel")))
+    redacted = work.withColumn("redacted", F.expr(redacted_text_sql(TEXT, "work"))).withColumn("reps", F.expr(replacements_sql("work")))
+    written = settled(redacted.select(*ks, ROW, TEXT, ENDS, "redacted", "reps"))
+
+    last = "try_element_at(filter(reps, r_ -> r_.original_start < a_), -1)"
+    begin = let(last, "l_", "coalesce(l_.output_end + greatest(a_ - l_.original_end, 0), a_)")
+    places = written.withColumn("starts", F.expr(f"concat(array(0), {ENDS})")).withColumn("outs", F.expr(f"transform(starts, a_ -> {begin})"))
+    each = places.withColumn(IDX, F.explode(F.expr(f"sequence(0L, size({ENDS}) - 1L)"))).withColumn("i", F.col(IDX).cast("int"))
+    share = "substring({0}, get({1}, i) + 1, get({1}, i + 1) - get({1}, i))"
+    out = each.withColumns({
+        BLOCK_COL: F.lit(0).cast("long"),
+        "original_text": F.expr(share.format(TEXT, "starts")),
+        "redacted_text": F.expr(share.format("redacted", "outs")),
+        "replacements": F.expr("filter(reps, r_ -> r_.original_start >= get(starts, i) AND r_.original_start < get(starts, i + 1))"),
+    })
+    return _chunk_columns(out, ks, with_vault)
 
 
 def redact_long(df: DataFrame, keys, text: str, config: RedactionConfig | None = None, normalize: str = "nfkc", ner: DataFrame | None = None, with_vault: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``redact_chunks`` of a table's texts."""
-    return redact_chunks(chunks(df, keys, text, config, normalize, chunk_chars), keys, config, ner, with_vault)
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    config = config or RedactionConfig()
+    pieces = settled(_cut(df, ks, text, config, normalize, chunk_chars, TOGETHER_CHARS))
+    together = _redact_together(pieces.where(f"{ENDS} IS NOT NULL").select(*ks, ROW, TEXT, ENDS), ks, config, ner, with_vault)
+    longer = pieces.where(f"{ENDS} IS NULL").drop(ENDS)
+    if longer.isEmpty():
+        return together
+    return together.unionByName(redact_chunks(settled(normalized(longer, normalize)), ks, config, ner, with_vault))
 
 
 def vault(redacted_chunks: DataFrame, keys) -> DataFrame:

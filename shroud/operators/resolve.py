@@ -49,8 +49,11 @@ def _by_islands() -> str:
     hits of two islands never overlap, so each is resolved by itself.
     """
     ends_before = running("transform(b_, e_ -> e_.`end`)", "0", "greatest(st_, x_)", "st_", "ARRAY<INT>")
+    # of two that overlap the better one stays, at a draw the first
+    rank = lambda i: f"get(g_, {i}).start - get(g_, {i}).`end`, get(g_, {i}).priority, get(g_, {i}).start, get(g_, {i}).emission"
+    better = f"slice(g_, IF(struct({rank(0)}) <= struct({rank(1)}), 1, 2), 1)"
     island = let(
-        "slice(b_, f_ + 1, coalesce(get(fs_, j_ + 1), size(b_)) - f_)", "g_", f"IF(size(g_) = 1, g_, {_greedy('g_')})"
+        "slice(b_, f_ + 1, coalesce(get(fs_, j_ + 1), size(b_)) - f_)", "g_", f"IF(size(g_) = 1, g_, IF(size(g_) = 2, {better}, {_greedy('g_')}))"
     )
     firsts = let(ends_before, "mx_", "filter(sequence(0, size(b_) - 1), n_ -> get(b_, n_).start >= get(mx_, n_))")
     return let(firsts, "fs_", f"flatten(transform(fs_, (f_, j_) -> {island}))")
