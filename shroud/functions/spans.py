@@ -87,7 +87,7 @@ def running(items: str, init: str, step: str, emit: str, out_type: str) -> str:
 
 def _from_pieces(pieces: str) -> str:
     """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces; with a few hits the text before each is put together and measured."""
-    before = "length(array_join(slice(pp_, 1, {}), ''))"
+    before = "length(concat_ws('', slice(pp_, 1, {})))"
     few = (
         "transform(sequence(1, size(pp_) - 2, 2), "
         f"i_ -> named_struct('start', {before.format('i_')}, 'end', {before.format('i_ + 1')}, 'value', get(pp_, i_)))"
