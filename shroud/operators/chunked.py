@@ -17,6 +17,8 @@ are the most that one task sees of it.
 
 Chunk rows carry a row number from the cut, so texts of equal keys never mix; they are
 written to the shared checkpoint folder once, before anything refers to that number.
+From there on hits and numbers travel without the texts, which are joined to the result
+by place; where it is read without them (``vault``), Spark leaves that join out.
 
 ``redact_long`` keeps the chunks of a text that is one block of up to ``TOGETHER_CHARS``
 characters in one row, with the places of their ends: no sum has to leave such a row,
@@ -256,37 +258,41 @@ def redact_chunks(pieces: DataFrame, keys, config: RedactionConfig | None = None
     ks = [keys] if isinstance(keys, str) else list(keys)
     config = config or RedactionConfig()
     sized = pieces.withColumn(N, F.coalesce(F.length(TEXT), F.lit(0)).cast("long"))
-    if ner is None:  # detection stays where the chunks were dealt to
-        found = with_candidates(sized, TEXT, config, out_col="cands").withColumn("sel", F.expr(resolve_sql("cands"))).drop("cands")
-        resolved = running(found, [ROW], N, START).withColumn("covered", F.lit(0).cast("long"))
+    if ner is None:  # no text goes with the hits: what follows moves numbers, and the values of the hits
+        found = with_candidates(sized, TEXT, config, out_col="cands").select(*ks, *PLACE, N, F.expr(resolve_sql("cands")).alias("sel"), F.col(TEXT).isNull().alias("__void"))
+        resolved = running(settled(found), [ROW], N, START).withColumn("covered", F.lit(0).cast("long"))
     else:
         found = with_candidates(sized.withColumn("__none", F.expr(empty(NER_TYPE))), TEXT, config, ner_col="__none", out_col="cands").drop("__none")
         own = settled(running(found, [ROW], N, START))
         spans = _model_spans(own, ner, ks, config)
         value = f"transform(__ner, c_ -> named_struct('start', c_.start, 'end', c_.`end`, 'entity_type', c_.entity_type, 'value', coalesce(c_.value, substring({TEXT}, c_.start + 1, c_.`end` - c_.start)), 'category', c_.category, 'source', c_.source, 'priority', c_.priority, 'emission', c_.emission))"
-        found = own.join(spans, PLACE, "left").withColumn("cands", F.expr(f"IF(cands IS NULL, NULL, concat(cands, CAST(coalesce({value}, array()) AS {CAND_TYPE})))")).drop("__ner")
+        found = own.join(spans, PLACE, "left").withColumn("cands", F.expr(f"IF(cands IS NULL, NULL, concat(cands, CAST(coalesce({value}, array()) AS {CAND_TYPE})))")).select(*ks, *PLACE, N, START, "cands", F.col(TEXT).isNull().alias("__void"))
         chosen = settled(_resolved_over_seams(settled(found.withColumn("cands", F.coalesce("cands", F.expr(empty(CAND_TYPE)))))))
         ends = chosen.withColumn("__last", F.when(F.size("sel") > 0, F.col(START) + F.element_at("sel", -1)["end"]).otherwise(F.lit(0).cast("long")))
         resolved = running(ends, [ROW], "__last", "covered", "max").drop("__last")
     # what an earlier chunk's span covers is gone from this chunk
-    from_ = "CAST(least(greatest(covered - start, 0), n_chars) AS INT)"
-    resolved = resolved.withColumn("gone", F.expr(from_)).withColumn("rest", F.expr(f"substring({TEXT}, gone + 1)"))
+    resolved = resolved.withColumn("gone", F.expr("CAST(least(greatest(covered - start, 0), n_chars) AS INT)"))
     moved = "transform(sel, m_ -> named_struct('start', m_.start - gone, 'end', m_.`end` - gone, 'entity_type', m_.entity_type, 'value', m_.value, 'category', m_.category, 'source', m_.source))"
-    hits = settled(resolved.select(*ks, *PLACE, START, "gone", "rest", F.col(TEXT), F.expr(moved).alias("sel")))
+    hits = settled(resolved.select(*ks, *PLACE, N, START, "gone", F.expr(f"IF(__void, NULL, {moved})").alias("sel")))
 
     prefixes = hits.where(F.size("sel") > 0).select(*PLACE, F.explode("sel").alias("m")).select(*PLACE, F.expr(token_prefix_sql("m.entity_type")).alias("p"))
     numbered = running(prefixes.groupBy(*PLACE, "p").agg(F.count("*").alias("k")), [ROW, "p"], "k", "before")
     given = numbered.groupBy(*PLACE).agg(F.collect_list(F.struct("p", F.col("before").cast("int").alias("n"))).alias("given"))  # a chunk's token prefixes
-    rewritten = hits.join(given, PLACE, "left").withColumn("work", F.expr(f"IF(rest IS NULL, NULL, {work_sql('sel', 'coalesce(given, array())')})"))
-    rewritten = rewritten.withColumn("redacted_text", F.expr(redacted_text_sql("rest", "work"))).withColumn("reps", F.expr(replacements_sql("work")))
-    written = settled(rewritten.select(*ks, *PLACE, TEXT, (F.col(START) + F.col("gone")).alias("base"), "redacted_text", "reps", F.coalesce(F.length("redacted_text"), F.lit(0)).cast("long").alias("__n")))
+    records = hits.join(given, PLACE, "left").withColumn("work", F.expr(work_sql("sel", "coalesce(given, array())")))
+    # a redacted chunk is as long as what is left of the chunk and what its tokens add, but for what a span takes from later chunks
+    last = "try_element_at(work, -1)"
+    length = f"IF(size(work) > 0, {last}.output_end + greatest(n_chars - gone - {last}.original_end, 0), n_chars - gone)"
+    written = settled(records.select(*ks, *PLACE, (F.col(START) + F.col("gone")).alias("base"), "gone", "work", F.expr(length).cast("long").alias("__n")))
     out = running(written, [ROW], "__n", "__out")
     at = lambda r: F.struct(
         (r["original_start"] + F.col("base")).alias("original_start"), (r["original_end"] + F.col("base")).alias("original_end"),
         (r["output_start"] + F.col("__out")).alias("output_start"), (r["output_end"] + F.col("__out")).alias("output_end"),
         r["token"].alias("token"), r["original_value"].alias("original_value"), r["entity_type"].alias("entity_type"), r["category"].alias("category"),
     )
-    return _chunk_columns(out.withColumn("replacements", F.transform("reps", at)).withColumn("original_text", F.col(TEXT)), ks, with_vault)
+    # the texts come back by their place: a row each, as the grouping tells Spark, which leaves the join out where no text is read
+    texts = pieces.groupBy(*PLACE).agg(F.first(TEXT).alias("original_text"))
+    whole = out.join(texts, PLACE, "left").withColumn("rest", F.expr("substring(original_text, gone + 1)"))
+    return _chunk_columns(whole.withColumn("replacements", F.transform("work", at)).withColumn("redacted_text", F.expr(redacted_text_sql("rest", "work"))), ks, with_vault)
 
 
 def _chunk_columns(out: DataFrame, ks: list[str], with_vault: bool) -> DataFrame:

@@ -292,18 +292,27 @@ def _read_tasks(spark, path: str) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, -(-total // most))
 
 
+def _dropped(spark, path: str) -> None:
+    """A scratch folder's files are given back."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def file_ranges_offsets(spark, sf_dir):
     """Documents as a few long files, read in byte ranges far smaller than a file; hits with their place in the file."""
     from shroud.sources.ranges import read_text_chunks
 
     base = _scratch(spark, "ranges")
-    lines = _docs(spark, sf_dir).withColumn("part", F.col("doc_id") % RANGE_FILES)
+    builder = spark.newSession()  # the rows that were dealt to the files leave the disk as soon as these are written
+    builder.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    lines = _docs(builder, sf_dir).withColumn("part", F.col("doc_id") % RANGE_FILES)
     lines.repartition(RANGE_FILES, "part").sortWithinPartitions("part", "doc_id").select("text", "part").write.partitionBy("part").text(base)
     session = spark.newSession()  # the size of a range is this reader's own setting
     session.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     # ranges stay as small; a task takes as many as this session's own setting gives it bytes, and every core some
     session.conf.set("spark.sql.files.maxPartitionNum", _read_tasks(spark, base))
     pieces = read_text_chunks(session, base, chunk_chars=CHUNK_CHARS)
+    _dropped(spark, base)  # the pieces are in the checkpoint folder
     found = chunked.vault(chunked.redact_chunks(pieces, "path", with_vault=True), "path")
     part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")
     return found.select(part, "token", "original_value", F.col("original_start").cast("int").alias("original_start"), F.col("output_start").cast("int").alias("output_start"))

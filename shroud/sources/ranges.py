@@ -6,7 +6,9 @@ inside a character.  A task puts the lines of its range together and cuts them b
 seams (``functions.seams``): what lies before its first seam and behind its last one
 may belong to a match with the neighbouring range, so these fragments are joined with
 the neighbours' by their order in the file.  The result is the chunk rows of
-``operators.chunked``; no value and no task ever holds a whole file.
+``operators.chunked``; no value and no task ever holds a whole file.  The list of files
+and the pieces of their ranges are written to the shared checkpoint folder, the only copy
+of the texts that is made here; nothing reads the files after that.
 
 Defined results: the texts are what the whole file's would be, with universal newlines
 and strict UTF-8: a file with other bytes has one row without text and the reason in
@@ -128,7 +130,7 @@ def read_text_chunks(
     ``config`` must be the one the chunks are redacted with: it decides where they may be cut.
     """
     marks = chunked.active_seams(config)
-    files = listed(spark, path, extensions, recursive)
+    files = chunked.settled(listed(spark, path, extensions, recursive))
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_name").alias("name"), "value")
     if extensions is not None:
@@ -159,4 +161,4 @@ def read_text_chunks(
     zero = F.lit(0).cast("long")
     unread = lambda df, why: df.select("path", "name", row, zero.alias(chunked.BLOCK_COL), zero.alias(chunked.IDX), F.lit(None).cast("string").alias(chunked.TEXT), F.lit(why).alias("error"))
     rows = rows.unionByName(unread(known.where(bad), "invalid utf-8")).unionByName(unread(files.where("NOT known"), "unsupported file type"))
-    return chunked.settled(chunked.normalized(chunked.dealt(rows), normalize))
+    return chunked.normalized(rows, normalize)
