@@ -27,6 +27,7 @@ from shroud.operators.detect import (
     dedupe_candidates_sql,
     row_keyword_candidates_sql,
     row_toggle_filter_sql,
+    row_toggle_sql,
     with_candidates,
 )
 from shroud.operators.redact import REPLACEMENT_TYPE, count_map_sql, redacted_text_sql, replacements_sql, restore_sql, token_prefix_sql, token_to_original_sql, work_sql
@@ -100,7 +101,9 @@ def prepared(
         ner_col = "__shroud_ner"
     out = with_candidates(base, NORM, config, ner_col=ner_col, out_col=CANDS)
     if row_keywords and config.enabled("custom"):
-        more = row_keyword_candidates_sql(ident(NORM), ident(KEYWORDS), config)
+        # keywords that the row's own switch would take out again are not searched
+        words = f"IF({row_toggle_sql(ident(TOGGLES), 'custom')}, {ident(KEYWORDS)}, NULL)" if row_toggles else ident(KEYWORDS)
+        more = row_keyword_candidates_sql(ident(NORM), words, config)
         out = out.withColumn(CANDS, F.expr(f"concat({ident(CANDS)}, coalesce({more}, {empty(CAND_TYPE)}))"))
     if row_toggles:
         out = out.withColumn(CANDS, F.expr(row_toggle_filter_sql(ident(CANDS), ident(TOGGLES))))

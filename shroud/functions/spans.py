@@ -9,8 +9,9 @@ code points, the same unit as Python string indices).
 
 Two guards keep this exact and cheap:
 
-* ``rlike`` first - texts without a hit (the vast majority for every rule)
-  cost one scan that stops at the first match and allocate nothing;
+* ``rlike`` first - longer texts without a hit (the vast majority for every rule)
+  cost one scan that stops at the first match and allocate nothing; a short text is
+  marked at once, and had no hit if it is as long as before;
 * a text that already contains the mark falls back to two passes with the
   same pattern (``split`` for the gaps, ``regexp_extract_all`` for the
   values); both use the same left-to-right ``Matcher.find`` loop, so they
@@ -23,6 +24,8 @@ Everything runs in the JVM.  Result type: ``SPAN_TYPE``.
 
 from __future__ import annotations
 
+import os.path
+
 MARK = "\ue000"  # private-use code point; texts containing it take the two-pass path
 SPAN_TYPE = "ARRAY<STRUCT<`start`: INT, `end`: INT, `value`: STRING>>"
 
@@ -53,6 +56,8 @@ def empty(type_sql: str) -> str:
 ONE_LEVEL = 32
 #: Pieces of a text with up to four hits.
 FEW_PIECES = 9
+#: Bytes of a text up to which marking its hits at once costs less than looking for one first.
+SHORT_BYTES = 1024
 
 
 def chunk_width(items: str) -> str:
@@ -85,9 +90,8 @@ def running(items: str, init: str, step: str, emit: str, out_type: str) -> str:
     return let(items, "sq_", f"IF(size(sq_) <= {ONE_LEVEL}, {few}, {many})")
 
 
-def _from_pieces(pieces: str) -> str:
-    """``[gap, match, gap, ..., gap]`` -> spans of the odd pieces; with a few hits the text before each is put together and measured."""
-    before = "length(concat_ws('', slice(pp_, 1, {})))"
+def _from_pieces(pieces: str, before: str) -> str:
+    """``[gap, match, gap, ..., gap]`` (``pp_``) -> spans of the odd pieces; with a few hits ``before`` is the text's length before piece ``{}``."""
     few = (
         "transform(sequence(1, size(pp_) - 2, 2), "
         f"i_ -> named_struct('start', {before.format('i_')}, 'end', {before.format('i_ + 1')}, 'value', get(pp_, i_)))"
@@ -105,7 +109,7 @@ def _two_pass(text: str, p: str) -> str:
     """The same pieces from two passes: gaps by ``split``, values by ``regexp_extract_all``."""
     zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
     pairs = f"flatten(transform({zipped}, z_ -> array(z_['0'], coalesce(z_['1'], ''))))"
-    return let(pairs, "zp_", _from_pieces("slice(zp_, 1, size(zp_) - 1)"))
+    return let(pairs, "zp_", _from_pieces("slice(zp_, 1, size(zp_) - 1)", "length(concat_ws('', slice(pp_, 1, {})))"))
 
 
 def find_all_sql(text: str, pattern: str, needs: tuple[str, ...] = (), guard: str | None = None) -> str:
@@ -125,15 +129,18 @@ def find_all_of_sql(text: str, p: str, needs: tuple[str, ...] = (), guard: str |
     """
     pre = f"WHEN NOT {guard} THEN {empty(SPAN_TYPE)} " if guard else ""
     if needs:
-        any_of = " OR ".join(f"instr({text}, {lit(n)}) > 0" for n in needs)
-        pre += f"WHEN NOT ({any_of}) THEN {empty(SPAN_TYPE)} "
-    marked = f"split(regexp_replace({text}, {p}, {lit(MARK + '$0' + MARK)}), {lit(MARK)}, -1)"
+        shared = os.path.commonprefix(needs) if len(needs) > 1 else ""
+        any_of = " OR ".join(f"contains({text}, {lit(n)})" for n in needs)
+        any_of = f"(contains({text}, {lit(shared)}) AND ({any_of}))" if shared else f"({any_of})"
+        pre += f"WHEN NOT {any_of} THEN {empty(SPAN_TYPE)} "
+    # what stands before a piece is measured with the marks in it, of which there is one for each earlier piece
+    marked = _from_pieces(f"split(mk_, {lit(MARK)}, -1)", f"length(substring_index(mk_, {lit(MARK)}, {{0}})) - ({{0}} - 1)")
+    found = f"CASE WHEN octet_length(mk_) = octet_length({text}) THEN {empty(SPAN_TYPE)} WHEN contains({text}, {lit(MARK)}) THEN {_two_pass(text, p)} ELSE {marked} END"
     return (
         f"CASE WHEN {text} IS NULL THEN NULL "
         f"{pre}"
-        f"WHEN NOT ({text} RLIKE {p}) THEN {empty(SPAN_TYPE)} "
-        f"WHEN instr({text}, {lit(MARK)}) = 0 THEN {_from_pieces(marked)} "
-        f"ELSE {_two_pass(text, p)} END"
+        f"WHEN octet_length({text}) > {SHORT_BYTES} AND NOT ({text} RLIKE {p}) THEN {empty(SPAN_TYPE)} "
+        f"ELSE {let(f'regexp_replace({text}, {p}, {lit(MARK + chr(36) + chr(48) + MARK)})', 'mk_', found)} END"
     )
 
 

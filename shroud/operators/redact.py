@@ -30,12 +30,14 @@ def token_prefix_sql(entity_type: str) -> str:
 
 
 _COUNTS_TYPE = "ARRAY<STRUCT<`p`: STRING, `n`: INT>>"
+#: Hits of a text up to which each looks at all before it.
+FEW_HITS = 8
 
 
 def _work(selected: str, given: str) -> str:
     """Replacement records (+ prefix) for matches sorted by start; ``given``: numbers per prefix that went out before.
 
-    One running walk over the hits carries only integers - the output shift
+    One running walk over many hits carries only integers - the output shift
     before each hit and its token number (from a tiny per-prefix counter); the
     records, with their strings, are then built by one ``transform``.
     """
@@ -62,7 +64,19 @@ def _work(selected: str, given: str) -> str:
         "'token', t_, 'original_value', m_.value, 'entity_type', m_.entity_type, 'category', m_.category, 'prefix', u_.p)"
     )
     per_hit = let("get(wk_, i_)", "u_", let("concat('[', u_.p, '_', CAST(u_.num AS STRING), ']')", "t_", rec))
-    return let(selected, "ms_", let(walk, "wk_", f"transform(ms_, (m_, i_) -> {per_hit})"))
+    many = let(walk, "wk_", f"transform(ms_, (m_, i_) -> {per_hit})")
+    # of a few hits each counts those of its prefix up to itself, and adds up what the tokens before it shift
+    before = "" if given == "array()" else f"coalesce(try_element_at(filter(CAST({given} AS {_COUNTS_TYPE}), c_ -> c_.p = p_), 1).n, 0) + "
+    tokens = f"transform(ps_, (p_, i_) -> concat('[', p_, '_', CAST({before}size(filter(slice(ps_, 1, i_ + 1), y_ -> y_ = p_)) AS STRING), ']'))"
+    shifts = "transform(ts_, (t_, i_) -> length(t_) - get(ms_, i_).`end` + get(ms_, i_).start)"
+    short = (
+        "transform(ms_, (m_, i_) -> named_struct('original_start', m_.start, 'original_end', m_.`end`, 'output_start', m_.start + get(ds_, i_), "
+        "'output_end', m_.start + get(ds_, i_) + length(get(ts_, i_)), 'token', get(ts_, i_), 'original_value', m_.value, "
+        "'entity_type', m_.entity_type, 'category', m_.category, 'prefix', get(ps_, i_)))"
+    )
+    deltas = "transform(sh_, (d_, i_) -> aggregate(slice(sh_, 1, i_), 0, (a_, b_) -> a_ + b_))"
+    few = let(f"transform(ms_, m_ -> {token_prefix_sql('m_.entity_type')})", "ps_", let(tokens, "ts_", let(shifts, "sh_", let(deltas, "ds_", short))))
+    return let(selected, "ms_", f"IF(size(ms_) <= {FEW_HITS}, {few}, {many})")
 
 
 def count_map_sql(keys: str) -> str:
