@@ -33,6 +33,8 @@ from shroud.sources.files import file_suffix
 #: What a task makes of its range: the fragment up to its first seam, whole chunks, and
 #: the fragment behind its last seam; a range without a seam is one inner fragment.
 HEAD, BODY, TAIL, INNER = range(4)
+#: Files whose names and lengths are sent to every task.
+SENT_FILES = 10_000
 _PIECES = "path string, split bigint, seq bigint, kind int, piece string, bytes bigint, bad boolean, returned boolean"
 
 
@@ -153,7 +155,9 @@ def read_text_chunks(
     known = files.where("known").join(read, "path", "left")
     bad = F.coalesce("bad", F.lit(False))
     unended = (F.col("read") == F.col("length") + 1) | (F.col("read") == F.col("length") - 2)
-    texts = bodies.unionByName(seam_chunks).join(known.where(~bad).select("path", "name", unended.alias("unended")), "path")
+    of_file = known.where(~bad).select("path", "name", unended.alias("unended"))
+    # texts stay where they are: a list of files is small beside them, which Spark cannot tell before it has dealt out both
+    texts = bodies.unionByName(seam_chunks).join(F.broadcast(of_file) if files.count() <= SENT_FILES else of_file, "path")
     texts = texts.withColumn("piece", F.when(F.col("unended") & ~F.col("returned") & (F.col("from_end") == 1), F.expr("substring(piece, 1, length(piece) - 1)")).otherwise(F.col("piece")))
     block = (F.col("split") + F.floor(F.col("seq") / chunked.BLOCK)).cast("long")
     row = F.col("path").alias(chunked.ROW)
